@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilake.session import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "d6_search_events"
@@ -15,7 +17,7 @@ def register(name: str, sql: str | None = None):
     """Register a query callable under `name`, with its SQL if SQL can express it."""
 
     def keep(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(importable(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return function
