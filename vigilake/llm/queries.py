@@ -5,18 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigilake.llm import quality
+from vigilake.llm import license as licenses
+from vigilake.llm import quality, simhash, urlfilter
+from vigilake.session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
+    """Register a query under its name."""
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(importable(spark), sf_dir)
     return function
 
 
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = simhash.near_duplicates(docs)
+    return found.withColumn("fingerprint", simhash.hex_form(F.col("fingerprint")))
+
+
+URL_RULES = (
+    urlfilter.Rule("block", "net", "/"),
+    urlfilter.Rule("allow", "example.net", "/en/"),
+    urlfilter.Rule("block", "example.com", "/de/"),
+    urlfilter.Rule("allow", "org", "/fr/"),
+)
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.filter_urls(pages, URL_RULES).drop("url")
+
+
+ORACLES["op4_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r(verdict, h, p) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+m AS (
+  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# The tables hold one-sentence notices alone; runs of several sentences are tested on fixtures.
+ORACLES["op7_license_scans"] = r"""
+WITH known(id, license, s) AS (
+  VALUES ('gpl-3-short', 'GPL-3.0-only', 'this work is licensed under the gnu general public license version 3'),
+         ('mit-short', 'MIT', 'released under the mit license'),
+         ('apache-2-short', 'Apache-2.0', 'licensed under the apache license version 2.0'),
+         ('cc-by-nc-4-short', 'CC-BY-NC-4.0', 'licensed under cc by nc 4.0'),
+         ('cc-by-4-short', 'CC-BY-4.0', 'licensed under cc by 4.0')),
+sentence AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '[.;!?](\s)', chr(1) || '\1', 'g'), '[.;!?]$', chr(1)), '[\n' || chr(1) || ']') AS l FROM documents)),
+normal AS (
+  SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '\.([^\p{N}]|$)', ' \1', 'g'), '(^|[^\p{N}])\.', '\1 ', 'g'), '[^\p{L}\p{N}.]+', ' ', 'g')) AS s
+  FROM sentence)
+SELECT doc_id, license, CAST(i AS INTEGER) AS first_sentence, CAST(i AS INTEGER) AS last_sentence, [id] AS sentence_ids
+FROM normal JOIN known USING (s)
+"""
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
