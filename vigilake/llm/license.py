@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.llm.text import let
+
 
 class LicenseRule(NamedTuple):
     """Holds where the sentence identifiers occur in this order, in sentences at most `gap` apart."""
@@ -53,6 +55,9 @@ RULES = (
 SENTENCE_END = r"\n|[.;!?](?=\s|$)"
 
 
+HITS = "array<struct<license:string,first_sentence:int,last_sentence:int,sentence_ids:array<string>>>"
+
+
 def normal_form(sentence: Column) -> Column:
     """Lower case; runs of anything but letters, digits and inner dots become one space."""
     stops = F.regexp_replace(F.lower(sentence), r"\.(?!\p{N})|(?<!\p{N})\.", " ")
@@ -97,57 +102,65 @@ def _recognised(parts: str, known: Column) -> Column:
 
 
 def _apply_rules(held: DataFrame, rules: Sequence[LicenseRule]) -> DataFrame:
-    """Rows (id, hit) from rows (id, free: array of (at, s) in text order)."""
-    hit_type = "array<struct<license:string,first_sentence:int,last_sentence:int,sentence_ids:array<string>>>"
-    held = held.withColumn("hits", F.array().cast(hit_type))
-    for rule in rules:
-        held = held.withColumn("runs", F.when(_has(F.col("free"), rule.sentences[0]), _runs(F.col("free"), rule)))
-        used = F.flatten(F.col("runs"))
-        free = F.filter("free", lambda x: ~F.array_contains(used, x["at"]))  # noqa: B023
-        held = held.select(
-            "id",
-            F.when(F.col("runs").isNull(), F.col("free")).otherwise(free).alias("free"),
-            F.when(F.col("runs").isNull(), F.col("hits")).otherwise(F.concat("hits", _hits("runs", rule))).alias("hits"),
+    """Rows (id, hit) from rows (id, free: array of (at, s) in text order): one fold over the rules within the row."""
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(r.license).alias("license"),
+                F.array(*[F.lit(s) for s in r.sentences]).alias("sentences"),
+                F.lit(r.gap).alias("gap"),
+            )
+            for r in rules
+        ]
+    )
+    zero = F.struct(F.col("free"), F.array().cast(HITS).alias("hits"))
+
+    def apply(acc: Column, rule: Column) -> Column:
+        return let(
+            _runs(acc["free"], rule),
+            lambda runs: F.struct(
+                F.filter(acc["free"], lambda x: ~F.array_contains(F.flatten(runs), x["at"])).alias("free"),
+                F.concat(acc["hits"], _hits(runs, rule)).alias("hits"),
+            ),
         )
-    return held.select("id", F.explode("hits").alias("hit"))
-
 
-def _has(free: Column, sentence: str) -> Column:
-    return F.exists(free, lambda x: x["s"] == sentence)
+    hits = F.aggregate(listed, zero, apply, lambda acc: acc["hits"])
+    return held.select("id", F.explode(hits).alias("hit"))
 
 
-def _hits(runs: str, rule: LicenseRule) -> Column:
+def _hits(runs: Column, rule: Column) -> Column:
     return F.transform(
         runs,
         lambda run: F.struct(
-            F.lit(rule.license).alias("license"),
+            rule["license"].alias("license"),
             F.get(run, F.lit(0)).alias("first_sentence"),
             F.element_at(run, -1).alias("last_sentence"),
-            F.array(*[F.lit(s) for s in rule.sentences]).alias("sentence_ids"),
+            rule["sentences"].alias("sentence_ids"),
         ),
     )
 
 
-def _runs(free: Column, rule: LicenseRule) -> Column:
+def _runs(free: Column, rule: Column) -> Column:
     """The disjoint runs of the rule's identifiers, as arrays of sentence numbers, in one pass over the row."""
-    wanted = F.array(*[F.lit(s) for s in rule.sentences])
-    n = len(rule.sentences)
-    empty = F.array().cast("array<int>")
-    zero = F.struct(empty.alias("open"), F.array().cast("array<array<int>>").alias("done"))
+    none = F.array().cast("array<int>")
+    zero = F.struct(none.alias("open"), F.array().cast("array<array<int>>").alias("done"))
+    wanted = lambda k: F.get(rule["sentences"], k)
 
     def step(acc: Column, x: Column) -> Column:
-        near = (F.size(acc["open"]) > 0) & (x["at"] - F.element_at(acc["open"], -1) <= rule.gap)
-        goes_on = near & (x["s"] == F.get(wanted, F.size(acc["open"])))
-        stale = (F.size(acc["open"]) > 0) & (x["at"] - F.element_at(acc["open"], -1) > rule.gap)
-        held = (
-            F.when(goes_on, F.concat(acc["open"], F.array(x["at"])))
-            .when(x["s"] == rule.sentences[0], F.array(x["at"]))
-            .when(stale, empty)
-            .otherwise(acc["open"])
+        n = F.size(acc["open"])
+        fresh = (n > 0) & (x["at"] - F.get(acc["open"], n - 1) <= rule["gap"])
+        grown = (
+            F.when(fresh & (x["s"] == wanted(n)), F.concat(acc["open"], F.array(x["at"])))
+            .when(x["s"] == wanted(F.lit(0)), F.array(x["at"]))
+            .when(fresh, acc["open"])
+            .otherwise(none)
         )
-        return F.struct(
-            F.when(F.size(held) == n, empty).otherwise(held).alias("open"),
-            F.when(F.size(held) == n, F.concat(acc["done"], F.array(held))).otherwise(acc["done"]).alias("done"),
+        return let(
+            grown,
+            lambda g: F.when(
+                F.size(g) == F.size(rule["sentences"]),
+                F.struct(none.alias("open"), F.concat(acc["done"], F.array(g)).alias("done")),
+            ).otherwise(F.struct(g.alias("open"), acc["done"].alias("done"))),
         )
 
     return F.aggregate(free, zero, step, lambda acc: acc["done"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import license as licenses
-from vigilake.llm import quality, simhash, urlfilter
+from vigilake.llm import decontam, linededup, quality, simhash, urlfilter
 from vigilake.session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,37 @@ def query(function):
     return function
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
+ORACLES["op1_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+k AS (SELECT *, array_to_string(ws, ' ') AS t FROM w WHERE len(ws) > 0),
+f AS (SELECT t, any_value(ws) AS ws, min((doc_id, i)) AS f FROM k GROUP BY t),
+d AS (
+  SELECT t, f, j, array_to_string(list_concat(ws[1:j - 1], ws[j + 1:]), ' ') AS v
+  FROM f, unnest(range(1, len(ws) + 1)) AS u(j) WHERE len(ws) >= 8),
+late AS (
+  SELECT b.t FROM d AS a JOIN d AS b ON a.v = b.v AND a.j = b.j AND a.f < b.f
+  UNION SELECT d.t FROM d JOIN f ON d.v = f.t AND len(f.ws) >= 8 AND f.f < d.f
+  UNION SELECT f.t FROM d JOIN f ON d.v = f.t AND len(f.ws) >= 8 AND d.f < f.f),
+s AS (
+  SELECT k.doc_id, k.i FROM k JOIN f ON k.t = f.t AND (k.doc_id, k.i) = f.f WHERE k.t NOT IN (SELECT t FROM late)
+  UNION ALL SELECT doc_id, i FROM w WHERE len(ws) = 0),
+g AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM l JOIN s USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(g.n, 0) AS BIGINT) AS n_dropped
+FROM documents AS d LEFT JOIN g USING (doc_id)
+"""
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -28,6 +59,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_form(F.col("fingerprint")))
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op3_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+dg AS (SELECT doc_id, len(ws) AS n, p, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM d, unnest(range(0, len(ws) - 4)) AS u(p)),
+bg AS (SELECT item_id, len(ws) AS m, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM b, unnest(range(0, len(ws) - 4)) AS u(p)),
+bc AS (SELECT item_id, m, g, count(*) AS c FROM bg GROUP BY ALL),
+a AS (SELECT dg.doc_id, bc.item_id, bc.m, dg.n, dg.p FROM dg JOIN bc USING (g)),
+s AS (SELECT DISTINCT doc_id, item_id, m, n, unnest(range(least(greatest(0, p - m + 5), greatest(0, least(p, n - m))), greatest(0, least(p, n - m)) + 1)) AS start FROM a),
+wc AS (
+  SELECT s.doc_id, s.item_id, s.start, s.m, s.n, dg.g, count(*) AS c
+  FROM s JOIN dg ON dg.doc_id = s.doc_id AND dg.p BETWEEN s.start AND s.start + s.m - 5 GROUP BY ALL),
+c AS (
+  SELECT wc.doc_id, wc.item_id, wc.start, wc.m, wc.n, sum(least(wc.c, bc.c)) AS common
+  FROM wc JOIN bc ON bc.item_id = wc.item_id AND bc.g = wc.g GROUP BY ALL),
+j AS (SELECT doc_id, item_id, start, CAST(common AS DOUBLE) / (least(m, n) - 4 + m - 4 - common) AS similarity FROM c)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(arg_max(start, (similarity, -start)) AS BIGINT) AS start
+FROM j WHERE similarity >= 0.8 - 1e-9 GROUP BY doc_id, item_id
+"""
+
+
 URL_RULES = (
     urlfilter.Rule("block", "net", "/"),
     urlfilter.Rule("allow", "example.net", "/en/"),
