@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import license as licenses
-from vigilake.llm import decontam, linededup, quality, simhash, urlfilter
+from vigilake.llm import decontam, html, linededup, packing, pii, quality, simhash, toxicity, urlfilter
 from vigilake.session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,17 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pii.pseudonymise(docs, spark.conf.get("spark.vigilake.pii.key", "a key for tests alone"))
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 @query
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -140,6 +151,12 @@ FROM normal JOIN known USING (s)
 """
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -166,3 +183,16 @@ SELECT *, NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 2 * n_dup_lin
           AND NOT word_chars < 2 * n_words AND NOT word_chars > 15 * n_words AS kept
 FROM b
 """
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(docs, tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the public tokenizers, where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
