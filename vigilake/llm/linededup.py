@@ -11,11 +11,11 @@ joined, their edit distance is verified on the words, and the earliest stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.storage import written
-from vigilake.llm.text import lines, prefix_length, replace_columns, reversed_prefix_length, words
+from vigilake.llm.text import BLANKS, lines, prefix_length, reversed_prefix_length, words
 
 #: The fewest words of a line that an edited line can repeat; shorter lines repeat only if they are equal.
 MIN_WORDS = 8
@@ -37,20 +37,36 @@ def _ends(ws: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _variants(ws: Column) -> Column:
-    """Keys with roles: 0 the whole line, 1 the line without one word (meets role 0 of a shorter line), 2 the same with
-    the word's place (meets the same of a line of equal length)."""
-    left_out = F.transform(
-        F.sequence(F.lit(1), F.size(ws)),
-        lambda i: F.struct(
-            F.xxhash64(F.concat(F.slice(ws, F.lit(1), i - 1), F.slice(ws, i + 1, F.size(ws)))).alias("h"), i.alias("i")
-        ),
-    )
-    return F.concat(
-        F.array(F.struct(F.xxhash64(ws).alias("key"), F.lit(0).alias("role"))),
-        F.transform(left_out, lambda x: F.struct(x["h"].alias("key"), F.lit(1).alias("role"))),
-        F.transform(left_out, lambda x: F.struct(F.xxhash64(x["h"], x["i"]).alias("key"), F.lit(2).alias("role"))),
+def _turned(h: Column, by: Column) -> Column:
+    """The 64 bits of h rotated to the left."""
+    r = F.pmod(by, F.lit(64)).cast("int")
+    left, right = F.call_function("shiftleft", h, r), F.call_function("shiftrightunsigned", h, F.pmod(64 - r, F.lit(64)))
+    return left.bitwiseOR(right)
+
+
+def _whole(ws: Column) -> Column:
+    """The line's hash: its words' hashes, each turned by its place, in one xor. Without word i, the words after it move
+    up one place, so every deletion variant's hash comes from two parts of this one."""
+    turned = F.transform(ws, lambda w, i: _turned(F.xxhash64(w), i))
+    return F.aggregate(turned, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+
+
+def _variants(lined: DataFrame) -> DataFrame:
+    """Keys with roles of each line (h1, h2, ws): 0 the whole line, 1 the line without one word (meets role 0 of a
+    shorter line), 2 the same with the word's place (meets the same of a line of equal length)."""
+    placed = lined.select("h1", "h2", F.size("ws").alias("n"), _whole(F.col("ws")).alias("whole"), F.posexplode("ws"))
+    placed = placed.withColumn("turned", _turned(F.xxhash64("col"), F.col("pos")))
+    upto = F.bit_xor("turned").over(Window.partitionBy("h1", "h2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("upto", upto)
+    after = F.col("whole").bitwiseXOR(F.col("upto"))
+    rest = F.col("upto").bitwiseXOR(F.col("turned")).bitwiseXOR(_turned(after, F.lit(63)))
+    rest = placed.select("h1", "h2", "n", "pos", rest.alias("rest"))
+    keys = F.array(
+        F.struct(F.xxhash64("rest", F.col("n") - 1).alias("key"), F.lit(1).alias("role")),
+        F.struct(F.xxhash64("rest", "n", "pos").alias("key"), F.lit(2).alias("role")),
     )
+    whole = F.xxhash64(_whole(F.col("ws")), F.size("ws")).alias("key")
+    return rest.select("h1", "h2", F.inline(keys)).union(lined.select("h1", "h2", whole, F.lit(0).alias("role")))
 
 
 def _one_edit_apart(a: Column, b: Column) -> Column:
@@ -73,7 +89,7 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     told = told.select("x.first", "x.h1", "x.h2", words(F.get("lines", F.col("x.first.line_no"))).alias("ws"))
     lined = written(told.dropDuplicates(["h1", "h2"]), "lines")
 
-    keyed = lined.select("h1", "h2", F.inline(_variants(F.col("ws"))))
+    keyed = _variants(lined)
     meet = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     keyed = written(keyed.join(meet, "key").join(lined.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
     low = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "h1", "h2")))
@@ -89,9 +105,7 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     return verified.select("first.k1", "first.k2", "first.line_no").distinct()
 
 
-def dedup_lines(
-    docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the lines that repeat an earlier line taken out of the text, and n_lines, n_dropped (of the text's
     newline-separated lines) added; input columns of these names give way.
 
@@ -103,7 +117,7 @@ def dedup_lines(
         raise ValueError("edits must be 0 or 1")
     text, ident = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
     texts = docs.select(
-        F.struct("*").alias("row") if len(docs.columns) > 2 else F.struct(ident, F.col(f"`{text_col}`")).alias("row"),
+        F.struct("*").alias("row"),
         text.alias("text"),
         F.xxhash64(text, ident).alias("k1"),
         F.xxhash64(ident, F.lit("row"), text).alias("k2"),
@@ -124,16 +138,16 @@ def dedup_lines(
         kept = kept.join(_near_lines(firsts, texts), ["k1", "k2", "line_no"], "left_anti")
     kept = kept.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("kept"))
     held = texts.join(kept, ["k1", "k2"], "left")
-    stays = F.filter(
-        lines(F.col("text")), lambda x, i: (F.size(words(x)) == 0) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i)
-    )
+    numbers = F.coalesce("kept", F.array().cast("array<int>"))
+    stays = F.filter(lines(F.col("text")), lambda x, i: F.array_contains(numbers, i) | (F.translate(x, BLANKS, "") == ""))
     held = held.select("row", F.col("text"), F.size(lines(F.col("text"))).alias("n"), stays.alias("stays"))
     known = F.col("text").isNotNull()
     held = held.select(
-        "row.*",
+        "row",
         F.when(known, F.array_join("stays", "\n")).alias("_text"),
         F.when(known, F.col("n")).otherwise(0).cast("long").alias("_n"),
         F.when(known, F.col("n") - F.size("stays")).otherwise(0).cast("long").alias("_dropped"),
     )
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    columns = [F.col("_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
     return held.select(*columns, F.col("_n").alias("n_lines"), F.col("_dropped").alias("n_dropped"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.text import let, lines, replace_columns, words
+from vigilake.llm.text import BLANKS, let, lines, replace_columns, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -63,10 +63,10 @@ def repeat_words(ws: Column) -> Column:
 def features(text: Column, ws: Column) -> dict[str, Column]:
     """The features rules draw on. `ws` must be `words(text)`, best as a column of its own."""
     t = F.coalesce(text, F.lit(""))
-    filled = F.filter(lines(text), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    filled = F.filter(lines(text), lambda x: F.translate(x, BLANKS, "") != "")
     return {
         "n_words": F.size(ws).cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size(filled).cast("long"),
         "n_dup_lines": let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.graph import connected_components
@@ -222,3 +222,18 @@ def near_duplicates(
     return prints.join(member, "fp").select(
         F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+def keep_one(
+    docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with one document of each group of near-duplicates, that of the lowest id; columns stay as they are.
+
+    Rows with one id are one document; of those that repeat its text one row stays. Null ids stay only in groups
+    that have no other id.
+    """
+    found = near_duplicates(docs, size, radius, id_col, text_col)
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
+    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
