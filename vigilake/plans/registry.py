@@ -23,3 +23,8 @@ def register(name: str, sql: str | None = None):
         return function
 
     return keep
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from vigilake.plans import case_queries, stream_queries  # noqa: F401
