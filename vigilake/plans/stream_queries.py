@@ -258,7 +258,7 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "a6_decode_events",
-    """SELECT 'm-' || event_id AS event_id, event_type AS source, epoch_ms(ts) AS timestamp_ms, event_type, CAST(NULL AS BIGINT) AS source_pts,
+    """SELECT 'm-' || event_id AS event_id, event_type AS source, epoch_us(ts) // 1000 AS timestamp_ms, event_type, CAST(NULL AS BIGINT) AS source_pts,
        user_id AS track_id, CASE WHEN event_id % 10 = 0 THEN 'malformed' END AS problem FROM events WHERE event_id % 10 <> 0
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'malformed' FROM events WHERE event_id % 10 = 0""",
 )

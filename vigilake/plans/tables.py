@@ -97,7 +97,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNALS = """sig AS (
-  SELECT event_id, event_type AS source, user_id AS track_id, epoch_us(ts) AS at_us, epoch_ms(ts) AS timestamp_ms,
+  SELECT event_id, event_type AS source, user_id AS track_id, epoch_us(ts) AS at_us, epoch_us(ts) // 1000 AS timestamp_ms,
          CAST(round(value * 1000) AS BIGINT) AS total_us, value, props
   FROM events)"""
 
