@@ -61,7 +61,7 @@ def repeat_words(ws: Column) -> Column:
 
 
 def features(text: Column, ws: Column) -> dict[str, Column]:
-    """The features rules draw on. `ws` must be `words(text)`, best as a column of its own."""
+    """The features rules draw on. `ws` must be `words(text)`, bound once for the row."""
     t = F.coalesce(text, F.lit(""))
     filled = F.filter(lines(text), lambda x: F.translate(x, BLANKS, "") != "")
     return {
@@ -96,6 +96,10 @@ RULES = (
 )
 
 
+def _rejected(rule: Rule, text: Column) -> Column:
+    return let(words(text), lambda ws: rule.rejects(features(text, ws)))
+
+
 def order_rules(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> list[Rule]:
@@ -107,10 +111,9 @@ def order_rules(
     if not drawn:
         return list(rules)
     sample = docs.sparkSession.createDataFrame(drawn, "text string").repartition(1)
-    sample = sample.withColumn("ws", words(F.col("text")))
     rated = []
     for rule in rules:
-        verdict = F.count_if(rule.rejects(features(F.col("text"), F.col("ws")))).alias("n")
+        verdict = F.count_if(_rejected(rule, F.col("text"))).alias("n")
         began = time.perf_counter()
         rejected = sample.agg(verdict).first()["n"]
         rated.append(((rejected + 0.5) / len(drawn) / (time.perf_counter() - began), rule))
@@ -135,11 +138,8 @@ def judge(
     """
     order = order or order_rules(docs, rules, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    held = docs.select(F.struct("*").alias("row"), text.alias("t"), words(text).alias("ws"))
-    held = held.select("row", cascade(order, features(F.col("t"), F.col("ws"))).alias("kept"))
-    return replace_columns(held.select("row.*", F.col("kept").alias("_verdict")), {"kept": F.col("_verdict")}).drop(
-        "_verdict"
-    )
+    # bound inside the expression: as a column of its own, the words would be taken anew for each use in a filter
+    return replace_columns(docs, {"kept": let(words(text), lambda ws: cascade(order, features(text, ws)))})
 
 
 def measure(
@@ -152,8 +152,8 @@ def measure(
     """Per row: its id, every feature, `base_failed` and `kept`; here the features are wanted for every row."""
     order = order or order_rules(docs, rules, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    held = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), words(text).alias("ws"))
-    held = held.select("id", *[v.alias(k) for k, v in features(F.col("t"), F.col("ws")).items()])
+    found = let(words(text), lambda ws: F.struct(*[v.alias(k) for k, v in features(text, ws).items()]))
+    held = docs.select(F.col(f"`{id_col}`").alias("id"), found.alias("found")).select("id", "found.*")
     f = {k: F.col(k) for k in held.columns if k != "id"}
     base = BASE_RULES[0].rejects(f) | BASE_RULES[1].rejects(f)
     return held.select(
