@@ -51,7 +51,7 @@ def test_streamed_ledger_is_idempotent(spark, tmp_path):
 
 def test_cooldown_stream_matches_batch(spark, tmp_path):
     schema = "event_id string, ingress_id string, source string, track_id bigint, timestamp_ms bigint"
-    rows = [(f"e{k}", str(k), "c", k % 3, k * 4_000) for k in range(60)]
+    rows = [(f"e{k}", str(k), "c", k % 3, 1_700_000_000_000 + k * 4_000) for k in range(60)]  # a first watermark is 0, at which rows are late
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
     stream = ingest.cooldown_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), 30_000)
     query = stream.writeStream.format("memory").queryName("taken").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()

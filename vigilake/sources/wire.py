@@ -111,7 +111,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     A label file is a few kilobytes, read as one row so that its lines keep their order.
     """
     whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r\n|\r|\n").alias("lines"))
-    kept = F.filter(F.transform("lines", F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    kept = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return whole.select(F.posexplode(kept).alias("class_id", "label"))
 
 
