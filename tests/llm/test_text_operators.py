@@ -1,0 +1,392 @@
+"""The text operators against brute force on small fixtures, with nulls, empty texts, repeats and clashing columns."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+
+from vigilake.llm import decontam, html, linededup, packing, pii, quality, simhash, toxicity, urlfilter
+from vigilake.llm import license as licenses
+from vigilake.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string"
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def split(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def sentence(rng, n):
+    return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()) for _ in range(n)]
+
+
+# ---------------------------------------------------------------- line dedup
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    if abs(len(a) - len(b)) != 1:
+        return False
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def dedup_by_hand(docs):
+    seen, out = [], {}
+    for doc_id, text in sorted(docs):
+        kept = []
+        for line in text.split("\n"):
+            ws = split(line)
+            near = any(w == ws or min(len(w), len(ws)) >= linededup.MIN_WORDS and one_edit(w, ws) for w in seen)
+            if ws and ws not in seen:
+                seen.append(ws)
+            if not ws or not near:
+                kept.append(line)
+        out[doc_id] = "\n".join(kept)
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng, base, docs = random.Random(1), [], []
+    for k in range(40):
+        lines = []
+        for _ in range(4):
+            ws = list(rng.choice(base)) if base and rng.random() < 0.6 else sentence(rng, rng.choice((3, 7, 8, 9, 16, 17, 33)))
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                at = rng.randrange(len(ws))
+                ws[at : at + rng.choice((0, 1))] = rng.choice(([], ["other"]))
+            base.append(ws or ["x"])
+            lines.append(rng.choice((" ", "  ", "\t")).join(ws or ["x"]))
+        docs.append((k, "\n".join([*lines, ""])))
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, docs)).collect()}
+    assert {k: r.text for k, r in got.items()} == dedup_by_hand(docs)
+    assert all(r.n_lines - r.n_dropped == len(r.text.split("\n")) for r in got.values() if r.text)
+
+
+def test_line_dedup_edges(spark):
+    rows = [(None, "a b", 1), (1, None, 2), (2, "", 3), (3, "a b\nc", 4), (3, "a b\nc", 5)]
+    got = linededup.dedup_lines(frame(spark, rows, "doc_id long, text string, n_lines long")).collect()
+    found = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got)
+    assert found == Counter({(None, "a b", 1, 0): 1, (1, None, 0, 0): 1, (2, "", 1, 0): 1, (3, "c", 2, 1): 2})
+    assert linededup.dedup_lines(frame(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- SimHash
+
+
+def print_by_hand(text, size):
+    ws = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not ws:
+        return 0
+    shingles = [" ".join(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def components_by_hand(prints, radius=4):
+    """prints: [(id, fingerprint)] -> {id: lowest id reachable}."""
+    root = {i: i for i, _ in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, x in prints:
+        for b, y in prints:
+            if (x ^ y).bit_count() <= radius:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: find(i) for i in root}
+
+
+def test_simhash_matches_brute_force(spark):
+    rng, docs = random.Random(2), []
+    for k in range(90):
+        ws = split(rng.choice(docs)[1]) if docs and rng.random() < 0.6 else sentence(rng, 120)
+        if rng.random() < 0.7:
+            ws[rng.randrange(len(ws))] = "Changed"
+        docs.append((k, " ".join(ws)))
+    docs += [(90, None), (91, ""), (92, "Two words"), (93, "two  WORDS\n"), (94, "É two")]
+    prints = [(i, print_by_hand(t, 4)) for i, t in docs]
+    want = components_by_hand(prints)
+    got = simhash.near_duplicates(frame(spark, docs)).withColumn("fingerprint", simhash.hex_form("fingerprint")).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{p:016x}", want[i]) for i, p in prints}
+    kept = simhash.keep_one(frame(spark, docs)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_simhash_links_across_parts_of_a_hot_block(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    prints = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(7))) & (1 << 64) - 1 for _ in range(150)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.hamming_links(frame(spark, [(signed(p),) for p in prints], "fp long"), 4, group_rows=8).collect()
+    assert all((r.child ^ r.root).bit_count() <= 64 for r in links)
+    root = {signed(p): signed(p) for p in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        low, high = sorted((find(r.child), find(r.root)))
+        root[high] = low
+    want = components_by_hand([(signed(p), p) for p in prints])
+    assert {i: find(i) for i in root} == want
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice((4, 12, 30))))) for k in range(8)]
+    docs = []
+    for k in range(24):
+        ws = [f"w{rng.randrange(400)}" for _ in range(60)]
+        leak = items[k % 8][1].split()
+        for _ in range(k % 4):
+            leak[rng.randrange(len(leak))] = "changed"
+        docs.append((k, ", ".join(ws[:30] + (leak if k < 20 else []) + ws[30:])))
+    docs += [(50, None), (51, ""), (52, items[1][1].upper())]
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = words(text), words(item)
+            if len(b) < 5 or not a:
+                continue
+            for s in range(max(1, len(a) - len(b) + 1)):
+                x, y = grams(a[s : s + len(b)]), grams(b)
+                sim = sum((x & y).values()) / max(1, sum((x | y).values()))
+                if sim >= 0.8 - 1e-9 and sim > want.get((d, i), (0,))[0]:
+                    want[d, i] = (sim, s)
+    got = decontam.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got} == {k: (round(v, 6), s) for k, (v, s) in want.items()}
+    clean = decontam.decontaminate(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert decontam.find_leaks(frame(spark, []), frame(spark, [], "item_id long, text string")).count() == 0
+
+
+# ---------------------------------------------------------------- URL filters
+
+
+def test_url_filters(spark):
+    rules = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("allow", "org", "/fr/")]
+    rows = [
+        (1, "https://A.example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
+        (2, "http://example.net/english", "example.net", "/english", "net/", "block"),
+        (3, "http://badexample.net/en/", "badexample.net", "/en/", "net/", "block"),
+        (4, "http://x.net", "x.net", "", None, "allow"), (5, None, "", "", None, "allow"), (6, "no scheme/en/", "", "", None, "allow"),
+        (7, "http://w.org/fr/a?b=/c", "w.org", "/fr/a", "org/fr/", "allow"), (8, "", "", "", None, "allow"),
+    ]
+    pages = frame(spark, [(i, u, "clash") for i, u, *_ in rows], "page_id long, url string, Host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules).collect()}
+    assert got == {i: tuple(x) for i, _, *x in rows}
+    with pytest.raises(ValueError):
+        urlfilter.build_trie(rules, 2)
+
+
+# ---------------------------------------------------------------- PII
+
+
+def test_pseudonyms_keep_formats_link_and_undo(spark):
+    text = "Mail jo.doe@mail.example or card 4111 1111 1111 1111, born 1987-03-21 and 31/12/1999, ip 10.0.0.7, ssn 123-45-6789, call (555) 123-4567; not 1234 5678 9012 3456 or 2024-02-31."
+    docs = frame(spark, [(1, text, "x"), (2, "again jo.doe@mail.example", "y"), (3, None, ""), (4, "", None)], f"{DOCS}, kinds string")
+    made = pii.pseudonymise(docs, "key")
+    got = {r.doc_id: r for r in made.collect()}
+    assert got[1].kinds == ["email", "card", "date", "date", "ip", "ssn", "phone"] and got[1].n_replaced == 7
+    assert got[1].text.endswith("not 1234 5678 9012 3456 or 2024-02-31.") and "4111 1111" not in got[1].text
+    assert pii.luhn_ok(re.sub(r"\D", "", re.search(r"card ([\d ]+),", got[1].text)[1]))
+    mail = re.search(r"\S+@mail\.example", got[1].text)[0]
+    assert got[2].text == f"again {mail}" and mail != "jo.doe@mail.example"
+    assert (got[3].text, got[3].n_replaced, got[4].text) == (None, 0, "")
+    back = {r.doc_id: r.text for r in pii.pseudonymise(made, "key", undo=True).collect()}
+    assert back[1] == text
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    for n in (1, 2, 7, 100, 365):
+        image = [f.permute(x, n, "t") for x in range(n)]
+        assert sorted(image) == list(range(n)) and [f.permute(y, n, "t", undo=True) for y in image] == list(range(n))
+
+
+# ---------------------------------------------------------------- HTML
+
+
+def test_html_extraction(spark):
+    article = "<nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<br>three<p>x<script>1</script> &#233;</p></article><footer>f</footer>"
+    shared = "<p>all rights of this site are reserved by its many owners today</p>"
+    pages = [(1, "http://a.example/1", article), (2, None, None), (3, "x", "")]
+    pages += [(k, f"http://h.example/{k}", f"<body>{shared}<p>only page number {k} says so</p></body>") for k in (10, 11, 12)]
+    got = {r.page_id: r for r in html.extract_text(frame(spark, [(*p, 9) for p in pages], "page_id long, url string, html string, text long")).collect()}
+    assert got[1].text == "A & B\n\none two three\n\nx é" and got[1].n_chars == len(got[1].text)
+    assert (got[2].text, got[2].n_chars, got[3].text) == ("", 0, "")
+    assert [got[k].text for k in (10, 11, 12)] == [f"only page number {k} says so" for k in (10, 11, 12)]
+
+
+def test_repeated_tokens_match_brute_force():
+    rng = random.Random(5)
+    pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(6)]
+    for run in (1, 3, 5):
+        for k, covered in enumerate(html.repeated_tokens(pages, run)):
+            want = [False] * len(pages[k])
+            for i in range(len(pages[k]) - run + 1):
+                part = pages[k][i : i + run]
+                if any(part == p[j : j + run] for o, p in enumerate(pages) if o != k for j in range(len(p) - run + 1)):
+                    want[i : i + run] = [True] * run
+            assert covered.tolist() == want
+
+
+# ---------------------------------------------------------------- licences
+
+
+def test_license_rules(spark):
+    text = {
+        1: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        2: "Hello. Released under the MIT License! Licensed under CC-BY-4.0. Released under the mit license.",
+        3: None, 4: "", 5: "Not released under the MIT licenses.",
+    }
+    rows = [(k, t, "clash") for k, t in text.items()]
+    got = licenses.scan_licenses(frame(spark, rows, f"{DOCS}, license string")).collect()
+    assert sorted((r.doc_id, r.license, r.first_sentence, r.last_sentence) for r in got) == [
+        (1, "MIT", 0, 2), (2, "CC-BY-4.0", 2, 2), (2, "MIT", 1, 1), (2, "MIT", 3, 3)]
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    assert scored.count() == docs.count() and scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+    held = scored.where("held_out").join(labels, "doc_id")
+    hit, miss, false = (held.where(x).count() for x in ("predicted = 1 AND toxic = 1", "predicted = 0 AND toxic = 1", "predicted = 1 AND toxic = 0"))
+    assert hit >= 0.7 * (hit + miss) and hit >= 0.7 * (hit + false)
+
+
+def test_toxicity_edges(spark):
+    model = toxicity.Model((("idiot ", 4.0),), (" idiot proof ",), (-3.0, 3.0, 1.0))
+    rows = [(1, "You 1d10t"), (2, "an idiot proof thing"), (3, None), (4, ""), (None, "іdіоt")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, None: 1}
+    assert toxicity.learn(frame(spark, rows), frame(spark, [], "doc_id long, toxic int")) == toxicity.Model()
+
+
+# ---------------------------------------------------------------- quality
+
+
+def quality_by_hand(text):
+    t, ws = text or "", split(text)
+    spans = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    repeated = {i + k for i in range(len(ws) - 4) if spans[tuple(ws[i : i + 5])] > 1 for k in range(5)}
+    filled = [x for x in t.split("\n") if split(x)]
+    f = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(filled) - len(set(filled)), len(repeated))
+    base = f[0] < 10 or 100 * f[4] > 20 * f[0]
+    kept = not (base or 10 * f[2] > f[0] or 2 * f[3] > len(filled) or f[1] < 2 * f[0] or f[1] > 15 * f[0])
+    return (*f, base, kept)
+
+
+def test_quality_matches_brute_force_in_any_order(spark):
+    rng = random.Random(6)
+    texts = [None, "", "a", "x " * 30, "# " * 12 + " ".join(sentence(rng, 20)), "\n".join(["same line here of words"] * 4 + ["other"])]
+    for _ in range(30):
+        ws = sentence(rng, rng.randrange(5, 60))
+        texts.append(rng.choice((" ", "\n", "\t ")).join(ws + ws[: rng.choice((0, 6, 12))]))
+    docs = frame(spark, [(k, t, True) for k, t in enumerate(texts)], f"{DOCS}, Kept boolean")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = {k: quality_by_hand(t) for k, t in enumerate(texts)}
+    for order in (quality.RULES, quality.RULES[::-1]):
+        got = {r.doc_id: tuple(r[n] for n in names) for r in quality.measure(docs, order=order).collect()}
+        assert got == want
+        assert {r.doc_id: r.kept for r in quality.judge(docs, order=order).collect()} == {k: v[-1] for k, v in want.items()}
+    assert len(quality.order_rules(docs)) == len(quality.RULES)
+    assert quality.judge(frame(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- packing
+
+
+def assert_packed(rows, ids_by_doc, window=2048):
+    """Every id lies in exactly one piece, and sequences have no gap, no overflow and full or power-of-two lengths."""
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(ids_by_doc)
+    for doc_id, pieces in by_doc.items():
+        at, ids = 0, ids_by_doc[doc_id]
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == packing._crc(ids[at : at + p.length])
+            at += p.length
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= window and at & (at - 1) == 0
+
+
+def test_packing_round_trip(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    texts = [" ".join(sentence(rng, rng.choice((0, 5, 300, 5000)))) for _ in range(40)]
+    texts += [None, "", "é" * 50, "a <|endoftext|> b", "it's\n\n  many   spaces \t", "1234567 ünïcode 漢字 🙂", "x" * 20_000]
+    docs = frame(spark, [(k, t, 1) for k, t in enumerate(texts)], f"{DOCS}, start int")
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = {k: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in enumerate(texts)}
+    assert_packed(packing.pack(docs, tokenizer_path(), shard_docs=16).collect(), ids)
+    assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
+
+
+def test_neighbours_are_packed_together(spark):
+    import numpy as np
+
+    docs = [np.array(x, "<u4") for x in ([5, 6, 7, 8], [1, 2, 3, 4], [1, 2, 3, 9], [5, 6, 7, 9])]
+    idf = np.ones(10)
+    sequences = list(packing.pack_shard(docs, idf, window=8))
+    assert [{k for k, _, _ in s} for s in sequences] == [{0, 3}, {1, 2}]
+
+
+# ---------------------------------------------------------------- the pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    results = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        results.append(docs := spark.read.parquet(str(tmp_path / str(k))))
+    texts = [{r.doc_id: r.text for r in x.collect()} for x in results[:-1]]
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert texts[0] == {k: t for k, t in before.items() if quality_by_hand(t)[-1]}
+    assert texts[1] == dedup_by_hand(list(texts[0].items()))
+    want = components_by_hand([(i, print_by_hand(t, 5)) for i, t in texts[1].items()])
+    assert texts[2] == {i: t for i, t in texts[1].items() if want[i] == i}
+    assert texts[3].items() <= texts[2].items()
+    for x in results[:-1]:
+        assert x.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    import numpy as np
+
+    ids = {k: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in texts[3].items()}
+    assert_packed(results[-1].collect(), ids)

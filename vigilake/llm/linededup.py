@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.storage import written
-from vigilake.llm.text import BLANKS, lines, prefix_length, reversed_prefix_length, words
+from vigilake.llm.text import BLANKS, SPACE_RUN, lines, prefix_length, reversed_prefix_length, words
 
 #: The fewest words of a line that an edited line can repeat; shorter lines repeat only if they are equal.
 MIN_WORDS = 8
@@ -54,7 +54,9 @@ def _whole(ws: Column) -> Column:
 def _variants(lined: DataFrame) -> DataFrame:
     """Keys with roles of each line (h1, h2, ws): 0 the whole line, 1 the line without one word (meets role 0 of a
     shorter line), 2 the same with the word's place (meets the same of a line of equal length)."""
-    placed = lined.select("h1", "h2", F.size("ws").alias("n"), _whole(F.col("ws")).alias("whole"), F.posexplode("ws"))
+    # the hash of the whole comes first: beside the generator it would be taken for each of its rows
+    wholes = lined.select("h1", "h2", F.size("ws").alias("n"), _whole(F.col("ws")).alias("whole"), "ws")
+    placed = wholes.select("h1", "h2", "n", "whole", F.posexplode("ws"))
     placed = placed.withColumn("turned", _turned(F.xxhash64("col"), F.col("pos")))
     upto = F.bit_xor("turned").over(Window.partitionBy("h1", "h2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("upto", upto)
@@ -76,11 +78,18 @@ def _one_edit_apart(a: Column, b: Column) -> Column:
     return (longer - shorter <= 1) & (same >= longer - 1)
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose key another line has too."""
+    keys = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
+    return keyed.join(keys, "key", "left_semi")
+
+
 def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     """(k1, k2, line_no) of distinct lines that repeat an earlier line by one edit."""
-    ends = firsts.select("h1", "h2", F.explode("ends").alias("key"))
-    shared = ends.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    maybe = ends.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    ends = _shared(firsts.select("h1", "h2", "n", F.explode("ends").alias("key")))
+    # one edit changes the length by one at most: every length meets itself and the next
+    sized = F.explode(F.array(F.xxhash64("key", "n"), F.xxhash64("key", F.col("n") + 1)))
+    maybe = _shared(ends.select("h1", "h2", sized.alias("key"))).select("h1", "h2").distinct()
     # the lines' words: each document is asked for those of its own first occurrences
     wanted = maybe.join(firsts, ["h1", "h2"]).select("first", "h1", "h2")
     asked = wanted.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first", "h1", "h2")).alias("asked"))
@@ -90,8 +99,7 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     lined = written(told.dropDuplicates(["h1", "h2"]), "lines")
 
     keyed = _variants(lined)
-    meet = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    keyed = written(keyed.join(meet, "key").join(lined.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
+    keyed = written(_shared(keyed).join(lined.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
     low = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "h1", "h2")))
     lows = keyed.groupBy("key").agg(low(0).alias("low0"), low(1).alias("low1"), low(2).alias("low2"))
     met = keyed.join(lows, "key")
@@ -124,14 +132,18 @@ def dedup_lines(docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_co
     )
     occurrences = texts.select(
         F.struct(F.col("row").getField(id_col).alias("id"), "k1", "k2").alias("d"), F.posexplode(lines(F.col("text")))
-    ).select("d", F.col("pos").alias("line_no"), words(F.col("col")).alias("ws"))
-    occurrences = occurrences.where(F.size("ws") > 0).select(
+    ).select("d", F.col("pos").alias("line_no"), F.trim("col", F.lit(BLANKS)).alias("line"))
+    # split once: a filter on the words would split again
+    occurrences = occurrences.where("line != ''").withColumn("ws", F.split("line", SPACE_RUN)).select(
         F.xxhash64(F.col("ws")).alias("h1"),
         F.xxhash64(F.lit("line"), F.col("ws")).alias("h2"),
         F.struct("d.id", "d.k1", "d.k2", "line_no").alias("first"),
-        (F.when(F.size("ws") >= MIN_WORDS, _ends(F.col("ws")))).alias("ends"),
+        F.size("ws").alias("n"),
+        F.when(F.size("ws") >= MIN_WORDS, _ends(F.col("ws"))).alias("ends"),
+    )
+    firsts = occurrences.groupBy("h1", "h2").agg(
+        F.min("first").alias("first"), F.first("n").alias("n"), F.first("ends").alias("ends")
     )
-    firsts = occurrences.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("ends").alias("ends"))
     firsts = written(firsts, "firsts")
     kept = firsts.select("first.k1", "first.k2", "first.line_no")
     if edits:
