@@ -11,11 +11,11 @@ joined, their edit distance is verified on the words, and the earliest stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm.storage import written
-from vigilake.llm.text import BLANKS, SPACE_RUN, lines, prefix_length, reversed_prefix_length, words
+from vigilake.llm.text import BLANKS, SPACE_RUN, let, lines, prefix_length, reversed_prefix_length, words
 
 #: The fewest words of a line that an edited line can repeat; shorter lines repeat only if they are equal.
 MIN_WORDS = 8
@@ -44,31 +44,46 @@ def _turned(h: Column, by: Column) -> Column:
     return left.bitwiseOR(right)
 
 
-def _whole(ws: Column) -> Column:
-    """The line's hash: its words' hashes, each turned by its place, in one xor. Without word i, the words after it move
-    up one place, so every deletion variant's hash comes from two parts of this one."""
+def _running_xor(values: Column, span: int = 32) -> Column:
+    """The xor of all values up to each; in parts of `span`, so that a long line takes linear time."""
+    none = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long"))
+    within = lambda a: F.aggregate(a, none, lambda acc, x: F.concat(acc, F.array(last(acc).bitwiseXOR(x))))
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(span))
+    parts = F.transform(starts, lambda s: within(F.slice(values, s, span)))
+
+    def joined(parts: Column, ends: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0).cast("long"))
+        return F.flatten(F.transform(parts, lambda part, k: F.transform(part, lambda x: x.bitwiseXOR(before(k)))))
+
+    return let(parts, lambda p: let(within(F.transform(p, lambda part: last(part))), lambda ends: joined(p, ends)))
+
+
+def _hashes(ws: Column) -> Column:
+    """Of a line with words: `whole`, its words' hashes, each turned by its place, in one xor; and `rests`, the same
+    for the line without each of its words. The words after a lacking one move up a place, so that a rest comes from
+    two parts of the whole."""
+
+    def of(upto: Column) -> Column:
+        whole = F.element_at(upto, -1)
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0).cast("long"))
+        rests = F.transform(upto, lambda u, i: before(i).bitwiseXOR(_turned(whole.bitwiseXOR(u), F.lit(63))))
+        return F.struct(whole.alias("whole"), rests.alias("rests"))
+
     turned = F.transform(ws, lambda w, i: _turned(F.xxhash64(w), i))
-    return F.aggregate(turned, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+    return let(turned, lambda t: let(_running_xor(t), of))
 
 
 def _variants(lined: DataFrame) -> DataFrame:
-    """Keys with roles of each line (h1, h2, ws): 0 the whole line, 1 the line without one word (meets role 0 of a
-    shorter line), 2 the same with the word's place (meets the same of a line of equal length)."""
-    # the hash of the whole comes first: beside the generator it would be taken for each of its rows
-    wholes = lined.select("h1", "h2", F.size("ws").alias("n"), _whole(F.col("ws")).alias("whole"), "ws")
-    placed = wholes.select("h1", "h2", "n", "whole", F.posexplode("ws"))
-    placed = placed.withColumn("turned", _turned(F.xxhash64("col"), F.col("pos")))
-    upto = F.bit_xor("turned").over(Window.partitionBy("h1", "h2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("upto", upto)
-    after = F.col("whole").bitwiseXOR(F.col("upto"))
-    rest = F.col("upto").bitwiseXOR(F.col("turned")).bitwiseXOR(_turned(after, F.lit(63)))
-    rest = placed.select("h1", "h2", "n", "pos", rest.alias("rest"))
+    """Keys with roles of each line (h1, h2, n, whole, rests): 0 the whole line, 1 the line without one word (meets
+    role 0 of a shorter line), 2 the same with the word's place (meets the same of a line of equal length)."""
+    rest = lined.select("h1", "h2", "n", F.posexplode("rests").alias("pos", "rest"))
     keys = F.array(
         F.struct(F.xxhash64("rest", F.col("n") - 1).alias("key"), F.lit(1).alias("role")),
         F.struct(F.xxhash64("rest", "n", "pos").alias("key"), F.lit(2).alias("role")),
     )
-    whole = F.xxhash64(_whole(F.col("ws")), F.size("ws")).alias("key")
-    return rest.select("h1", "h2", F.inline(keys)).union(lined.select("h1", "h2", whole, F.lit(0).alias("role")))
+    whole = lined.select("h1", "h2", F.xxhash64("whole", "n").alias("key"), F.lit(0).alias("role"))
+    return rest.select("h1", "h2", F.inline(keys)).union(whole)
 
 
 def _one_edit_apart(a: Column, b: Column) -> Column:
@@ -96,7 +111,8 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     told = texts.join(asked, ["k1", "k2"]).select("asked", lines(F.col("text")).alias("lines"))
     told = told.select(F.explode("asked").alias("x"), "lines")
     told = told.select("x.first", "x.h1", "x.h2", words(F.get("lines", F.col("x.first.line_no"))).alias("ws"))
-    lined = written(told.dropDuplicates(["h1", "h2"]), "lines")
+    told = told.dropDuplicates(["h1", "h2"]).withColumn("made", _hashes(F.col("ws")))
+    lined = written(told.select("first", "h1", "h2", "ws", F.size("ws").alias("n"), "made.*"), "lines")
 
     keyed = _variants(lined)
     keyed = written(_shared(keyed).join(lined.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
