@@ -69,7 +69,7 @@ def _filtered(history: Column, axis: str) -> Column:
     """An axis' state after all observations of a run, as a fold over them in order."""
     first = F.get(history, F.lit(0))
     zero = F.struct(
-        F.struct(first[axis].alias("p"), F.lit(0.0).alias("v"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d")).alias("s"),
+        F.struct(first[axis].alias("p"), F.lit(0.0).alias("v"), F.lit(MEASUREMENT_NOISE).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d")).alias("s"),
         first["pts_ns"].alias("t"),
     )
 
