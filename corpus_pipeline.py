@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import decontam, linededup, packing, quality, simhash
+from vigilake.llm import decontam, linededup, packing, quality, similar
 from vigilake.llm.queries import tokenizer_path
 from vigilake.llm.storage import written
 from vigilake.session import importable
@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs, size=5)
+    return similar.keep_one(docs, size=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

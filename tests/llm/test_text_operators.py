@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 import xxhash
 
+import corpus_pipeline
 from vigilake.llm import decontam, html, linededup, packing, pii, quality, simhash, toxicity, urlfilter
 from vigilake.llm import license as licenses
 from vigilake.llm.queries import tokenizer_path
@@ -146,6 +147,38 @@ def test_simhash_links_across_parts_of_a_hot_block(spark):
     assert {i: find(i) for i in root} == want
 
 
+def test_pipeline_near_dedup_matches_brute_force_jaccard(spark):
+    rng, docs = random.Random(7), []
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(60))  # common to half of the documents
+    for k in range(160):
+        ws = split(rng.choice(docs)[1]) if docs and rng.random() < 0.6 else [rng.choice(vocabulary) for _ in range(rng.choice((6, 40, 150, 400)))] + split(passage) * (k % 2)
+        for _ in range(rng.choice((0, 1, 2, 4, 8))):
+            ws[rng.randrange(len(ws))] = f"changed{rng.random()}"
+        docs.append((k, " ".join(ws)))
+    docs += [(160, None), (161, ""), (162, "Two words"), (163, "two  WORDS\n")]
+    sets = {i: {" ".join(w[k : k + 5]) for w in [split((t or "").lower())] for k in range(max(1, len(w) - 4))} for i, t in docs}
+    prints = {i: print_by_hand(t, 5) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    beyond = 0
+    for a in sets:
+        for b in sets:
+            near, alike = (prints[a] ^ prints[b]).bit_count() <= 4, len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            beyond += alike and not near
+            if near or alike:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert beyond > 20
+    assert sorted(r.doc_id for r in stage(spark, frame(spark, docs), SF).collect()) == sorted({find(i) for i in root})
+
+
 # ---------------------------------------------------------------- decontamination
 
 

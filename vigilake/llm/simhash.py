@@ -30,27 +30,36 @@ BUFFER_ROWS, STEP_PAIRS = 60_000, 1_000_000
 COUNT_ROWS = 65_536
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
-    """The majority bits over the XXH64 of all `size`-word shingles of the text with A-Z lower-cased.
+def shingle_hashes(text: str | None, size: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 of all `size`-word shingles of the text with A-Z lower-cased, in order.
 
-    Words are runs of anything but ASCII white space. A text of fewer words is one shingle; one without words is 0.
+    Words are runs of anything but ASCII white space. A text of fewer words is one shingle; one without words has none.
     """
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
     if len(ws) <= size:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], "<u8")
     lengths = np.fromiter(map(len, ws), np.int64, len(ws))
     ends = np.cumsum(lengths) + np.arange(len(ws))
     starts = (ends - lengths)[: len(ws) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), "<u8", len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), COUNT_ROWS):
-        part = slice(at, at + COUNT_ROWS)
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[part], ends[part], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+    for at in range(0, len(h), COUNT_ROWS):
+        part = h[at : at + COUNT_ROWS].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
+    """The majority bits over the hashes of all shingles of the text; 0 for a text without words."""
+    return majority(shingle_hashes(text, size, seed))
 
 
 def fingerprint_column(text: Column, size: int = 4) -> Column:
