@@ -299,6 +299,51 @@ def test_license_rules(spark):
         (1, "MIT", 0, 2), (2, "CC-BY-4.0", 2, 2), (2, "MIT", 1, 1), (2, "MIT", 3, 3)]
 
 
+def test_wrapped_license_headers(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    apache = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+"""
+    bsd2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    bsd3 = bsd2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+    gpl2 = gpl.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    rows = list(enumerate([mit, apache, bsd2, bsd3, gpl, gpl2, "Some line\nReleased under the MIT License\nand more"]))
+    got = licenses.scan_licenses(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license, r.first_sentence) for r in got) == [
+        (0, "MIT", 0), (1, "Apache-2.0", 2), (2, "BSD-2-Clause", 0), (3, "BSD-3-Clause", 0),
+        (4, "GPL-3.0-or-later", 0), (5, "GPL-2.0-or-later", 1), (6, "MIT", 1)]
+
+
 # ---------------------------------------------------------------- toxicity
 
 

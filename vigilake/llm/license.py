@@ -36,9 +36,22 @@ SENTENCES = {
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: Further known sentences, as the licences and their standard headers have them, with the identifier that each counts as.
+VARIANTS = {
+    "licensed under the apache license version 2.0 the license": "apache-2-short",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2-header",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-share",
+    "either version 2 of the license or at your option any later version": "gpl-2-later",
+}
 #: Rules in order of precedence: a rule's sentences are no longer free for the rules after it.
 RULES = (
     LicenseRule("GPL-3.0-or-later", ("gpl-share", "gpl-3-later")),
+    LicenseRule("GPL-3.0-or-later", ("gpl-3-header",)),
+    LicenseRule("GPL-2.0-or-later", ("gpl-share", "gpl-2-later")),
+    LicenseRule("GPL-2.0-or-later", ("gpl-2-header",)),
     LicenseRule("GPL-3.0-only", ("gpl-3-short",)),
     LicenseRule("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse"), 8),
     LicenseRule("BSD-2-Clause", ("bsd-redistribution",)),
@@ -53,6 +66,10 @@ RULES = (
 
 #: Where a sentence ends: a line end, or a stop before white space or the end of the text.
 SENTENCE_END = r"\n|[.;!?](?=\s|$)"
+#: A line end at which a sentence goes on: after a word, comma or bracket, and before a line that starts with a word (after
+#: a comment's marks) and isn't a numbered item. Joined sentences hold WRAP in its place.
+WRAP = "\x01"
+WRAPPED = r"""(?<=[\p{L}\p{N},)"'\]][ \t\r]{0,4})\n(?=[^\p{L}\p{N}\n]{0,12}(?:\p{L}|\p{N}+(?:\.\p{N}+)*[\s,(]))"""
 
 
 HITS = "array<struct<license:string,first_sentence:int,last_sentence:int,sentence_ids:array<string>>>"
@@ -70,39 +87,61 @@ def scan_licenses(
     rules: Sequence[LicenseRule] = RULES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    variants: dict[str, str] = VARIANTS,
 ) -> DataFrame:
     """Per licence and place found: id, license, first and last sentence number (from 0), and sentence_ids.
 
     A sentence is known where its normal form is one of `sentences`; what precedes or follows it in the same line
-    after a stop is another sentence. Rules run in order over a document's known sentences; each takes the earliest
+    after a stop is another sentence. Every line end counts as one in the numbers; a known sentence may also be wrapped
+    over lines, and has the number of its first line. A rule's gap counts whole sentences that have a letter. Rules run in order over a document's known sentences; each takes the earliest
     free run of its identifiers, again and again, until it finds none. Null and empty texts, and texts without a known
     sentence, give no row. Repeated rows give a row each; a null id stays null; other columns aren't returned.
 
     The known sentences are a fixed list, so they go into the plan as a literal map. Everything is done within the
     row: a text is never exploded or shuffled, and texts with no sentence that could be known drop out at one scan.
     """
-    known = F.create_map(*[F.lit(x) for pair in sorted((s, k) for k, s in sentences.items()) for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in sorted({**{s: k for k, s in sentences.items()}, **variants}.items()) for x in pair])
     text = F.col(f"`{text_col}`").cast("string")
-    held = docs.select(F.col(f"`{id_col}`").alias("id"), F.split(text, SENTENCE_END).alias("parts"))
-    held = held.where(F.exists("parts", lambda s: s.rlike(_hint(sentences)))).select("id", _recognised("parts", known))
+    held = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    hint = _hint([*sentences.values(), *variants])
+    held = held.where(F.col("text").rlike(hint))
+    held = held.select("id", F.split(F.regexp_replace("text", WRAPPED, WRAP), SENTENCE_END).alias("parts"))
+    held = held.select("id", _recognised("parts", known, hint))
     return _apply_rules(held.where(F.size("free") > 0), rules).select(
         F.col("id").alias(id_col), "hit.license", "hit.first_sentence", "hit.last_sentence", "hit.sentence_ids"
     )
 
 
-def _hint(sentences: dict[str, str]) -> str:
+def _hint(sentences: list[str]) -> str:
     """A pattern that finds something in every known sentence: the longest word of each, in any case."""
-    return "(?i)" + "|".join(sorted({re.escape(max(s.split(), key=len)) for s in sentences.values()}))
-
+    return "(?i)" + "|".join(sorted({re.escape(max(s.split(), key=len)) for s in sentences}))
+
+
+def _recognised(parts: str, known: Column, hint: str) -> Column:
+    """The known sentences of an array of joined sentences, in order, as (at, s, no): the number of the first line or
+    sentence, the identifier, and the number of whole sentences with a letter before it."""
+    none = F.array().cast("array<struct<at:int,s:string,no:int>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), none.alias("free"))
+
+    def named(acc: Column, joined: Column) -> Column:
+        hit = lambda x, at: F.struct(at.cast("int").alias("at"), F.try_element_at(known, normal_form(x)).alias("s"), acc["no"].alias("no"))
+        lines = F.transform(F.split(joined, WRAP), lambda x, i: hit(x, acc["at"] + i))
+        whole = F.filter(F.array(hit(joined, acc["at"])), lambda x: x["s"].isNotNull())
+        lines = F.when(F.size(whole) > 0, whole).otherwise(F.filter(lines, lambda x: x["s"].isNotNull()))
+        return F.when(joined.rlike(hint), lines).otherwise(none)
+
+    def step(acc: Column, joined: Column) -> Column:
+        return F.struct(
+            (acc["at"] + F.size(F.split(joined, WRAP))).cast("int").alias("at"),
+            (acc["no"] + joined.rlike(r"\p{L}").cast("int")).cast("int").alias("no"),
+            F.concat(acc["free"], named(acc, joined)).alias("free"),
+        )
 
-def _recognised(parts: str, known: Column) -> Column:
-    """The known sentences of an array of sentences, in order, as (at, s)."""
-    named = F.transform(parts, lambda s, i: F.struct(i.alias("at"), F.try_element_at(known, normal_form(s)).alias("s")))
-    return F.filter(named, lambda x: x["s"].isNotNull()).alias("free")
+    return F.aggregate(parts, zero, step, lambda acc: acc["free"]).alias("free")
 
 
 def _apply_rules(held: DataFrame, rules: Sequence[LicenseRule]) -> DataFrame:
-    """Rows (id, hit) from rows (id, free: array of (at, s) in text order): one fold over the rules within the row."""
+    """Rows (id, hit) from rows (id, free: array of (at, s, no) in text order): one fold over the rules within the row."""
     listed = F.array(
         *[
             F.struct(
@@ -143,24 +182,26 @@ def _hits(runs: Column, rule: Column) -> Column:
 def _runs(free: Column, rule: Column) -> Column:
     """The disjoint runs of the rule's identifiers, as arrays of sentence numbers, in one pass over the row."""
     none = F.array().cast("array<int>")
-    zero = F.struct(none.alias("open"), F.array().cast("array<array<int>>").alias("done"))
+    zero = F.struct(none.alias("open"), F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("done"))
     wanted = lambda k: F.get(rule["sentences"], k)
 
     def step(acc: Column, x: Column) -> Column:
         n = F.size(acc["open"])
-        fresh = (n > 0) & (x["at"] - F.get(acc["open"], n - 1) <= rule["gap"])
+        fresh = (n > 0) & (x["no"] - acc["last"] <= rule["gap"])
         grown = (
             F.when(fresh & (x["s"] == wanted(n)), F.concat(acc["open"], F.array(x["at"])))
             .when(x["s"] == wanted(F.lit(0)), F.array(x["at"]))
             .when(fresh, acc["open"])
             .otherwise(none)
         )
+        goes_on = fresh & (x["s"] != wanted(n)) & (x["s"] != wanted(F.lit(0)))
+        last = F.when(goes_on, acc["last"]).otherwise(x["no"])
         return let(
             grown,
             lambda g: F.when(
                 F.size(g) == F.size(rule["sentences"]),
-                F.struct(none.alias("open"), F.concat(acc["done"], F.array(g)).alias("done")),
-            ).otherwise(F.struct(g.alias("open"), acc["done"].alias("done"))),
+                F.struct(none.alias("open"), last.alias("last"), F.concat(acc["done"], F.array(g)).alias("done")),
+            ).otherwise(F.struct(g.alias("open"), last.alias("last"), acc["done"].alias("done"))),
         )
 
     return F.aggregate(free, zero, step, lambda acc: acc["done"])
