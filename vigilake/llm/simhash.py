@@ -215,7 +215,11 @@ def near_duplicates(
 
     Null and empty texts have fingerprint 0 and link like any others. A null id is never a component's id unless all
     ids of the component are null. Repeated rows give a row each; an empty table gives none; other columns aren't
-    returned. Texts are read once and never shuffled; exact copies meet as one fingerprint.
+    returned. A very long text is hashed whole, its bits counted in parts of COUNT_ROWS shingles. Texts are read once
+    and never shuffled; exact copies meet as one fingerprint.
+
+    A block value of more than GROUP_ROWS fingerprints, v of them, copies its rows v / GROUP_ROWS times, so that all
+    pairs of parts meet: none is lost, and the work on that value grows with the square of v.
     """
     prints = docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -242,7 +246,21 @@ def keep_one(
     that have no other id.
     """
     found = near_duplicates(docs, size, radius, id_col, text_col)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+    heads = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("head"))
+    return keep_rows(docs, heads.distinct(), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, heads: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the rows whose id is one of `heads.head` (distinct); of rows of one id and text, one.
+
+    Rows that nothing repeats, nearly all, aren't sorted: only hashes are counted to find the others.
+    """
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    held = docs.select(F.struct("*").alias("row"), ident.alias("id"), F.xxhash64(text).alias("h"))
+    counts = docs.select(ident.alias("of_id"), F.xxhash64(text).alias("of_h")).groupBy("of_id", "of_h")
+    twice = counts.agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = held.join(heads, F.col("id").eqNullSafe(F.col("head")), "left_semi")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("h").eqNullSafe(F.col("of_h"))
+    nth = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))
+    first = kept.join(twice, same, "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return kept.join(twice, same, "left_anti").unionByName(first).select("row.*")

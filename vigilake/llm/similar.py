@@ -4,6 +4,10 @@ Documents meet first as equal shingle sets, then by SimHash's trie. What these l
 with all shingles in one order, two sets of at least the wanted similarity share a shingle among the first
 n - ceil(threshold * n) + 1 of each. Any order loses none; rare shingles come first, by counts over a sample. Sets that
 share one are compared with the first set there; then all pairs that are still in different components are compared.
+
+Before sets are compared, a pair must pass a bound that loses none: each set's shingles are counted by their hashes' low
+bits, and no two sets share more than the lesser counts add up to. That is a byte for every two shingles or fewer, so
+whole sets travel only for pairs that are nearly sure to be similar.
 """
 
 from __future__ import annotations
@@ -14,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import simhash
 from vigilake.llm.graph import connected_components
-from vigilake.llm.storage import written
+from vigilake.llm.storage import discard, written
 
 #: Documents (about) whose shingles are counted for the order, and shingles that are known as common at most.
 SAMPLE_DOCS, COMMON = 5_000, 100_000
@@ -37,6 +41,23 @@ def set_key(distinct: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), 43)], "<u8").view("<i8")[0])
 
 
+def low_bit_counts(distinct: np.ndarray) -> bytes:
+    """How many hashes have each value of their low bits, a byte each, over as many values as there are two hashes or
+    fewer; empty, which bounds nothing, if a count doesn't fit."""
+    width = 1 << max(0, len(distinct) // 2 - 1).bit_length()
+    counts = np.bincount((distinct & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """No two sets with these counts share more hashes than this."""
+    if not a or not b:
+        return math.inf
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    width = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, width).sum(axis=0), y.reshape(-1, width).sum(axis=0)).sum())
+
+
 def prefix(distinct: np.ndarray, common: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
     """The first hashes of a set in the order of (commonness, hash), as many as a similar set can't all miss."""
     n = len(distinct)
@@ -102,11 +123,26 @@ def _could_be(na: Column, i: Column, nb: Column, j: Column, threshold: float) ->
     return lengths & (F.least(na - i, nb - j) >= threshold / (1 + threshold) * (na + nb) - EPSILON)
 
 
+def _possible(pairs: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of set keys, those that the bound of `counts` (key, n, counts) leaves."""
+
+    @F.pandas_udf("int")
+    def most(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([min(most_shared(x, y), 2**31 - 1) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    both = pairs.join(counts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
+    both = both.join(counts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
+    need = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - EPSILON
+    return both.where(most("ca", "cb") >= need).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of set keys, those whose sets have the similarity."""
-    pairs = written(pairs, "pairs")
+    """Of pairs (a, b) of set keys, those whose sets have the similarity, as a written table."""
+    counts = prints.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    pairs = written(_possible(pairs, counts, threshold), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     ids = prints.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("of")).select("of").distinct()
+    ids = written(ids, "ids")  # its size is known, so that few ids are broadcast and the texts stay where they are
     held = texts.join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi")
 
     @F.pandas_udf("key long, hs array<long>")
@@ -119,13 +155,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, size: int,
     both = pairs.join(held.select(F.col("key").alias("a"), F.col("hs").alias("x")), "a")
     both = both.join(held.select(F.col("key").alias("b"), F.col("hs").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")) - EPSILON).select("a", "b")
+    both = both.where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")) - EPSILON)
+    links = written(both.select("a", "b"), "links")
+    for done in (pairs, ids, held):
+        discard(done)
+    return links
 
 
 def similar_sets(texts: DataFrame, prints: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links (a, b) between keys of distinct sets that span all pairs of at least the similarity; none is lost.
 
-    `texts` has id and text; `prints` one row for each of its rows, with id, key, n and the set's prefix.
+    `texts` has id and text; `prints` one row for each of its rows, with id, key, n and the set's prefix and counts.
     """
     firsts = prints.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = firsts.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -136,7 +176,7 @@ def similar_sets(texts: DataFrame, prints: DataFrame, size: int, threshold: floa
     could = _could_be(F.col("lead_n"), F.col("lead_pos"), F.col("n"), F.col("pos"), threshold)
     to_lead = met.where((F.col("key") != F.col("lead_key")) & could)
     to_lead = to_lead.select(F.least("lead_key", "key").alias("a"), F.greatest("lead_key", "key").alias("b")).distinct()
-    links = written(_verified(to_lead, texts, prints, size, threshold), "links")
+    links = _verified(to_lead, texts, prints, size, threshold)
 
     roots = connected_components(links)
     placed = met.join(roots, met["key"] == roots["node"], "left")
@@ -148,7 +188,9 @@ def similar_sets(texts: DataFrame, prints: DataFrame, size: int, threshold: floa
     others = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & could)
     others = others.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     others = others.join(to_lead, ["a", "b"], "left_anti")
-    return links.union(_verified(others, texts, prints, size, threshold))
+    links = links.union(_verified(others, texts, prints, size, threshold))
+    discard(met)
+    return links
 
 
 def keep_one(
@@ -158,18 +200,21 @@ def keep_one(
 
     Two documents link where their fingerprints differ in at most `radius` bits or their sets of `size`-word shingles
     (words as in `simhash.fingerprint`) have a Jaccard similarity of at least `threshold`. Ids as in `simhash.keep_one`.
+    Null and empty texts have an empty set and meet by their fingerprint; an empty table stays empty; a very long text
+    takes part whole, its set travelling only where the bound on shared shingles asks for it.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     common, weight = _common(texts, size)
 
-    @F.pandas_udf("fp long, key long, n int, prefix array<long>")
+    @F.pandas_udf("fp long, key long, n int, prefix array<long>, counts binary")
     def described(column: pd.Series) -> pd.DataFrame:
         out = []
         for text in column:
             h, distinct = shingle_set(text, size)
             fp = np.array([simhash.majority(h)], "uint64").view("int64")[0]
-            out.append((fp, set_key(distinct), len(distinct), prefix(distinct, common, weight, threshold).view("<i8")))
-        return pd.DataFrame(out, columns=["fp", "key", "n", "prefix"])
+            first = prefix(distinct, common, weight, threshold).view("<i8")
+            out.append((fp, set_key(distinct), len(distinct), first, low_bit_counts(distinct)))
+        return pd.DataFrame(out, columns=["fp", "key", "n", "prefix", "counts"])
 
     prints = written(texts.select("id", described("text").alias("d")).select("id", "d.*"), "prints")
     fps = prints.select("fp").distinct()
@@ -185,7 +230,5 @@ def keep_one(
     roots = connected_components(same.union(links.select("ra", "rb")))
     ends = placed.join(roots, placed["root"] == roots["node"], "left")
     ends = ends.select("id", F.coalesce(roots["root"], placed["root"]).alias("end"))
-    lowest = ends.groupBy("end").agg(F.min("id").alias("_head")).select("_head").distinct()
-    kept = docs.join(lowest, docs[id_col].eqNullSafe(lowest["_head"]), "left_semi")
-    nth = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
+    lowest = ends.groupBy("end").agg(F.min("id").alias("head")).select("head").distinct()
+    return simhash.keep_rows(docs, lowest, id_col, text_col)

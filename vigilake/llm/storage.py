@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one of our own."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session, as in tests, gets a temporary one
+    of its own; on a cluster, whose machines share no temporary folder, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         set_already = spark.sparkContext.getCheckpointDir()
         if set_already:
             return set_already
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigilake-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
