@@ -22,6 +22,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def filled(line: Column) -> Column:
+    """Whether a line has a word; it looks at the leading white space alone."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
 def lines(text: Column) -> Column:
     """The newline-separated lines of a text; one empty line for null or an empty text."""
     return F.split(F.coalesce(text, F.lit("")), "\n")
