@@ -47,7 +47,7 @@ def dedup_by_hand(docs):
         kept = []
         for line in text.split("\n"):
             ws = split(line)
-            near = any(w == ws or min(len(w), len(ws)) >= linededup.MIN_WORDS and one_edit(w, ws) for w in seen)
+            near = any(w == ws or max(len(w), len(ws)) >= 5 and one_edit(w, ws) for w in seen)
             if ws and ws not in seen:
                 seen.append(ws)
             if not ws or not near:
@@ -61,9 +61,9 @@ def test_line_dedup_matches_brute_force(spark):
     for k in range(40):
         lines = []
         for _ in range(4):
-            ws = list(rng.choice(base)) if base and rng.random() < 0.6 else sentence(rng, rng.choice((3, 7, 8, 9, 16, 17, 33)))
+            ws = list(rng.choice(base)) if base and rng.random() < 0.6 else sentence(rng, rng.choice((1, 2, 3, 4, 5, 6, 7, 8, 9, 16, 17, 33)))
             for _ in range(rng.choice((0, 1, 1, 2))):
-                at = rng.randrange(len(ws))
+                at = rng.randrange(max(1, len(ws)))
                 ws[at : at + rng.choice((0, 1))] = rng.choice(([], ["other"]))
             base.append(ws or ["x"])
             lines.append(rng.choice((" ", "  ", "\t")).join(ws or ["x"]))

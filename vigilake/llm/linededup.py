@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line goes if an earlier line of the corpus has the same words, or, for lines of at least MIN_WORDS words, differs from
-it by one word put in, left out or replaced. Earlier is by (document id, the row's own hashes, line number).
+A line goes if an earlier line of the corpus has the same words, or differs from it by one word put in, left out or
+replaced and is similar enough by that: the edit is at most 1 - SIMILARITY of the longer line's words. Earlier is by
+(document id, the row's own hashes, line number).
 
 Only hashes travel: equal lines meet by the hash of their words, and the first occurrence stays. Of the distinct lines,
 one edit leaves the first or the last few words as they were, so lines that share neither with another line have no
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm.storage import written
-from vigilake.llm.text import BLANKS, SPACE_RUN, let, lines, prefix_length, reversed_prefix_length, words
+from vigilake.llm.text import BLANKS, SPACE_RUN, filled, let, lines, prefix_length, reversed_prefix_length, words
 
-#: The fewest words of a line that an edited line can repeat; shorter lines repeat only if they are equal.
-MIN_WORDS = 8
+#: The least similarity of near lines: one less the edit's share of the longer line's words.
+SIMILARITY = 0.8
 #: Lengths of the compared ends; a line takes the longest that fits its half.
-ENDS = (4, 8, 16)
+ENDS = (1, 2, 4, 8, 16)
 
 
 def _ends(ws: Column) -> Column:
@@ -99,7 +100,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(keys, "key", "left_semi")
 
 
-def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
+def _near_lines(firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(k1, k2, line_no) of distinct lines that repeat an earlier line by one edit."""
     ends = _shared(firsts.select("h1", "h2", "n", F.explode("ends").alias("key")))
     # one edit changes the length by one at most: every length meets itself and the next
@@ -108,9 +109,10 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     # the lines' words: each document is asked for those of its own first occurrences
     wanted = maybe.join(firsts, ["h1", "h2"]).select("first", "h1", "h2")
     asked = wanted.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first", "h1", "h2")).alias("asked"))
-    told = texts.join(asked, ["k1", "k2"]).select("asked", lines(F.col("text")).alias("lines"))
-    told = told.select(F.explode("asked").alias("x"), "lines")
-    told = told.select("x.first", "x.h1", "x.h2", words(F.get("lines", F.col("x.first.line_no"))).alias("ws"))
+    found = lambda ls: F.transform(
+        "asked", lambda x: F.struct(x["first"].alias("first"), x["h1"].alias("h1"), x["h2"].alias("h2"), words(F.get(ls, x["first"]["line_no"])).alias("ws"))
+    )
+    told = texts.join(asked, ["k1", "k2"]).select(F.inline(let(lines(F.col("text")), found)))
     told = told.dropDuplicates(["h1", "h2"]).withColumn("made", _hashes(F.col("ws")))
     lined = written(told.select("first", "h1", "h2", "ws", F.size("ws").alias("n"), "made.*"), "lines")
 
@@ -125,17 +127,28 @@ def _near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     here = lined.select("h1", "h2", "first", F.col("ws"))
     there = lined.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("ws").alias("other_ws"))
     verified = pairs.join(here, ["h1", "h2"]).join(there, ["o1", "o2"])
-    verified = verified.where(_one_edit_apart(F.col("ws"), F.col("other_ws")))
+    verified = verified.where(_one_edit_apart(F.col("ws"), F.col("other_ws")) & _similar("ws", "other_ws", similarity))
     return verified.select("first.k1", "first.k2", "first.line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar(a: str, b: str, similarity: float) -> Column:
+    """Whether one edit leaves lines of these lengths similar enough."""
+    return 1.0 / F.greatest(F.size(a), F.size(b)) <= 1 - similarity + 1e-9
+
+
+def dedup_lines(
+    docs: DataFrame, edits: int = 1, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """`docs` with the lines that repeat an earlier line taken out of the text, and n_lines, n_dropped (of the text's
     newline-separated lines) added; input columns of these names give way.
 
+    Near lines are at most `edits` (0 or 1) words apart and at least `similarity` alike by 1 - edits / words of the longer one:
+    at 0.8, one word in five or more; at 0, any two lines of one word would be near.
+
     Lines without words stay. Null texts stay null with no lines; an empty text has one line. Rows with equal id and
     text count as one document and get equal results; rows with one id and different texts are different documents;
-    null ids come first. A table without rows gives none. `edits` is 1, or 0 for equal lines alone.
+    null ids come first. A table without rows gives none. Very long texts and lines are treated whole, in time that
+    grows with their length.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
@@ -155,7 +168,8 @@ def dedup_lines(docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_co
         F.xxhash64(F.lit("line"), F.col("ws")).alias("h2"),
         F.struct("d.id", "d.k1", "d.k2", "line_no").alias("first"),
         F.size("ws").alias("n"),
-        F.when(F.size("ws") >= MIN_WORDS, _ends(F.col("ws"))).alias("ends"),
+        # a line one word short of the least length can still be near a longer one
+        F.when((F.size("ws") + 1) * (1 - similarity) >= 1 - 1e-9, _ends(F.col("ws"))).alias("ends"),
     )
     firsts = occurrences.groupBy("h1", "h2").agg(
         F.min("first").alias("first"), F.first("n").alias("n"), F.first("ends").alias("ends")
@@ -163,12 +177,17 @@ def dedup_lines(docs: DataFrame, edits: int = 1, id_col: str = "doc_id", text_co
     firsts = written(firsts, "firsts")
     kept = firsts.select("first.k1", "first.k2", "first.line_no")
     if edits:
-        kept = kept.join(_near_lines(firsts, texts), ["k1", "k2", "line_no"], "left_anti")
+        kept = kept.join(_near_lines(firsts, texts, similarity), ["k1", "k2", "line_no"], "left_anti")
     kept = kept.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("kept"))
     held = texts.join(kept, ["k1", "k2"], "left")
     numbers = F.coalesce("kept", F.array().cast("array<int>"))
-    stays = F.filter(lines(F.col("text")), lambda x, i: F.array_contains(numbers, i) | (F.translate(x, BLANKS, "") == ""))
-    held = held.select("row", F.col("text"), F.size(lines(F.col("text"))).alias("n"), stays.alias("stays"))
+
+    def left(ls: Column) -> Column:
+        blank = F.array_compact(F.transform(ls, lambda x, i: F.when(~filled(x), i)))
+        at = F.array_sort(F.concat(numbers, blank))
+        return F.struct(F.size(ls).alias("n"), F.transform(at, lambda i: F.get(ls, i)).alias("stays"))
+
+    held = held.select("row", F.col("text"), let(lines(F.col("text")), left).alias("x")).select("row", "text", "x.*")
     known = F.col("text").isNotNull()
     held = held.select(
         "row",

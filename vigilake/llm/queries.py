@@ -36,11 +36,11 @@ k AS (SELECT *, array_to_string(ws, ' ') AS t FROM w WHERE len(ws) > 0),
 f AS (SELECT t, any_value(ws) AS ws, min((doc_id, i)) AS f FROM k GROUP BY t),
 d AS (
   SELECT t, f, j, array_to_string(list_concat(ws[1:j - 1], ws[j + 1:]), ' ') AS v
-  FROM f, unnest(range(1, len(ws) + 1)) AS u(j) WHERE len(ws) >= 8),
+  FROM f, unnest(range(1, len(ws) + 1)) AS u(j) WHERE len(ws) >= 5),
 late AS (
   SELECT b.t FROM d AS a JOIN d AS b ON a.v = b.v AND a.j = b.j AND a.f < b.f
-  UNION SELECT d.t FROM d JOIN f ON d.v = f.t AND len(f.ws) >= 8 AND f.f < d.f
-  UNION SELECT f.t FROM d JOIN f ON d.v = f.t AND len(f.ws) >= 8 AND d.f < f.f),
+  UNION SELECT d.t FROM d JOIN f ON d.v = f.t AND f.f < d.f
+  UNION SELECT f.t FROM d JOIN f ON d.v = f.t AND d.f < f.f),
 s AS (
   SELECT k.doc_id, k.i FROM k JOIN f ON k.t = f.t AND (k.doc_id, k.i) = f.f WHERE k.t NOT IN (SELECT t FROM late)
   UNION ALL SELECT doc_id, i FROM w WHERE len(ws) = 0),
