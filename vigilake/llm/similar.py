@@ -3,7 +3,8 @@
 Documents meet first as equal shingle sets, then by SimHash's trie. What these leave apart is found by a prefix filter:
 with all shingles in one order, two sets of at least the wanted similarity share a shingle among the first
 n - ceil(threshold * n) + 1 of each. Any order loses none; rare shingles come first, by counts over a sample. Sets that
-share one are compared with the first set there; then all pairs that are still in different components are compared.
+share one are compared with one set there, which joins large groups at a pair for each member; that is done again with
+other sets, and then all pairs that are still in different components are compared.
 
 Before sets are compared, a pair must pass a bound that loses none: each set's shingles are counted by their hashes' low
 bits, and no two sets share more than the lesser counts add up to. That is a byte for every two shingles or fewer, so
@@ -27,6 +28,8 @@ from vigilake.llm.storage import discard, written
 
 #: Documents (about) whose shingles are counted for the order, and shingles that are known as common at most.
 SAMPLE_DOCS, COMMON = 5_000, 100_000
+#: How often the sets that share a shingle are compared with one of them before all pairs still apart are.
+LEADS = 3
 EPSILON = 1e-9
 
 
@@ -136,8 +139,11 @@ def _possible(pairs: DataFrame, counts: DataFrame, threshold: float) -> DataFram
     return both.where(most("ca", "cb") >= need).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of set keys, those whose sets have the similarity, as a written table."""
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, bases: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of set keys with different roots, those whose sets have the similarity, as a written table."""
+    for end in ("a", "b"):
+        pairs = pairs.join(bases.select(F.col("key").alias(end), F.col("root").alias(f"root_{end}")), end)
+    pairs = pairs.where("root_a <> root_b").select("a", "b")
     counts = prints.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     pairs = written(_possible(pairs, counts, threshold), "pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -150,6 +156,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, size: int,
         made = [shingle_set(t, size)[1] for t in column]
         return pd.DataFrame({"key": [set_key(s) for s in made], "hs": [s.view("<i8") for s in made]})
 
+    # a filter on the key would otherwise be moved below the join with the ids, and all texts be hashed for it
+    sets = sets.asNondeterministic()
     held = held.select(sets("text").alias("s")).select("s.key", "s.hs").join(needed, "key", "left_semi")
     held = written(held.dropDuplicates(["key"]), "sets")
     both = pairs.join(held.select(F.col("key").alias("a"), F.col("hs").alias("x")), "a")
@@ -162,35 +170,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, size: int,
     return links
 
 
-def similar_sets(texts: DataFrame, prints: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links (a, b) between keys of distinct sets that span all pairs of at least the similarity; none is lost.
+def _components(bases: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, root) of `bases` once the links (a, b) between keys have joined their roots."""
+    ends = links.join(bases.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a")
+    ends = ends.join(bases.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b").select("ra", "rb")
+    joined = connected_components(ends).withColumnRenamed("root", "now")
+    return bases.join(joined, bases["root"] == joined["node"], "left").select("key", F.coalesce("now", "root").alias("root"))
+
+
+def similar_components(texts: DataFrame, prints: DataFrame, bases: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(key, root) of the distinct sets' keys, joined beyond their roots in `bases` wherever two sets have at least the
+    similarity; no such pair stays apart.
 
     `texts` has id and text; `prints` one row for each of its rows, with id, key, n and the set's prefix and counts.
     """
     firsts = prints.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = firsts.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
-    rows = rows.repartition("h").sortWithinPartitions("h", "n", "key")
+    # keys are hashes: the set of the lowest key is any of those that share a shingle, and the same one for many shingles
+    rows = rows.repartition("h").sortWithinPartitions("h", "key")
     schema = "key long, n int, pos int, h long, lead_key long, lead_n int, lead_pos int"
     met = written(rows.mapInPandas(_meet, schema), "met")
+    pair = (F.least("lead_key", "key").alias("a"), F.greatest("lead_key", "key").alias("b"))
+
+    for turn in range(LEADS):
+        if turn:
+            placed = _apart(met, bases)
+            # another set of each shingle leads now
+            order = F.xxhash64("key", F.lit(turn))
+            leads = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "pos", "root"), order).alias("lead"))
+            led = placed.join(leads.select("h", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("key", "n", "pos", "root")]), "h")
+            led = led.where("root <> lead_root")
+        else:
+            led = met.where("key <> lead_key")
+        could = _could_be(F.col("lead_n"), F.col("lead_pos"), F.col("n"), F.col("pos"), threshold)
+        links = _verified(led.where(could).select(*pair).distinct(), texts, prints, bases, size, threshold)
+        bases = written(_components(bases, links), "bases")
 
-    could = _could_be(F.col("lead_n"), F.col("lead_pos"), F.col("n"), F.col("pos"), threshold)
-    to_lead = met.where((F.col("key") != F.col("lead_key")) & could)
-    to_lead = to_lead.select(F.least("lead_key", "key").alias("a"), F.greatest("lead_key", "key").alias("b")).distinct()
-    links = _verified(to_lead, texts, prints, size, threshold)
-
-    roots = connected_components(links)
-    placed = met.join(roots, met["key"] == roots["node"], "left")
-    placed = placed.select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    placed = placed.join(apart, "h", "left_semi")
+    placed = _apart(met, bases)
     x, y = placed.alias("x"), placed.alias("y")
     could = _could_be(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), threshold)
     others = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & could)
     others = others.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    others = others.join(to_lead, ["a", "b"], "left_anti")
-    links = links.union(_verified(others, texts, prints, size, threshold))
+    bases = written(_components(bases, _verified(others, texts, prints, bases, size, threshold)), "bases")
     discard(met)
-    return links
+    return bases
+
+
+def _apart(met: DataFrame, bases: DataFrame) -> DataFrame:
+    """(h, key, n, pos, root) of the shingles that sets of different roots share."""
+    placed = met.select("h", "key", "n", "pos").join(bases, "key")
+    apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    return placed.join(apart, "h", "left_semi")
 
 
 def keep_one(
@@ -222,13 +252,11 @@ def keep_one(
     placed = prints.select("id", "fp", "key").join(tries, F.col("fp") == F.col("node"), "left")
     placed = written(placed.select("id", "key", F.coalesce("root", "fp").alias("root")), "placed")
 
-    of_key = placed.groupBy("key").agg(F.min("root").alias("low"))
-    same = placed.select("key", "root").distinct().join(of_key, "key").where("root <> low").select("root", "low")
-    links = similar_sets(texts, prints, size, threshold)
-    links = links.join(of_key.select(F.col("key").alias("a"), F.col("low").alias("ra")), "a")
-    links = links.join(of_key.select(F.col("key").alias("b"), F.col("low").alias("rb")), "b")
-    roots = connected_components(same.union(links.select("ra", "rb")))
-    ends = placed.join(roots, placed["root"] == roots["node"], "left")
-    ends = ends.select("id", F.coalesce(roots["root"], placed["root"]).alias("end"))
+    of_key = written(placed.groupBy("key").agg(F.min("root").alias("root")), "bases")
+    same = placed.select("key", "root").distinct().join(of_key.withColumnRenamed("root", "low"), "key").where("root <> low")
+    merged = connected_components(same.select("root", "low")).withColumnRenamed("root", "now")
+    bases = of_key.join(merged, of_key["root"] == merged["node"], "left").select("key", F.coalesce("now", "root").alias("root"))
+    ends = similar_components(texts, prints, written(bases, "bases"), size, threshold)
+    ends = placed.select("id", "key").join(ends, "key").select("id", F.col("root").alias("end"))
     lowest = ends.groupBy("end").agg(F.min("id").alias("head")).select("head").distinct()
     return simhash.keep_rows(docs, lowest, id_col, text_col)
