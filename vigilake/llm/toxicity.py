@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,26 +30,26 @@ TRAIN_ROWS = 10_000
 STEMS = (4, 5, 6)
 #: An entry's least toxic texts (and share of all toxic ones), and the least log ratio of its rates.
 LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 5, 0.004, 2.5
-#: Entries and exception phrases at most: what is broadcast doesn't grow with the corpus.
-MAX_ENTRIES, MAX_EXCEPTIONS = 5_000, 2_000
 #: Clean texts in which a phrase around an entry must stand, with no toxic one, to be an exception.
 EXCEPTION_TEXTS = 3
 
-# Letters of other scripts, digits and signs that pass for Latin letters.
-_LOOKALIKES = dict(
-    zip(
-        "аеорсухівһԁјѕɡıοανρτυκ01345789@$",
-        "aeopcyxibhdjsgioavptukoieastbgas",
-        strict=True,
-    )
-)
-_FOLD = str.maketrans(_LOOKALIKES)
+# Letters of other scripts (Cyrillic, Greek, Latin extensions), digits and signs that pass for Latin letters,
+# after compatibility forms (full-width and mathematical letters and the like) have become plain ones.
+_LOOKALIKES = {
+    "a": "аαɑ4@", "b": "вβьƅ8", "c": "сϲᴄ", "d": "ԁɗ", "e": "еєεҽ3", "f": "ғƒ", "g": "ɡց9", "h": "һнћ", "i": "іιɩıї1!|", "j": "јϳ",
+    "k": "кκᴋ", "l": "ӏⅼ", "m": "мᴍ", "n": "ոпηᴎ", "o": "оοσօө0", "p": "рρ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱ5$", "t": "тτᴛ7", "u": "υսᴜц",
+    "v": "ѵνᴠ", "w": "ԝωɯшᴡ", "x": "хχ×", "y": "уүγʏ", "z": "ᴢʐ2",
+}
+_FOLD = str.maketrans({sign: letter for letter, signs in _LOOKALIKES.items() for sign in signs})
 _OTHER = re.compile(r"[\W_]+")
 
 
 def fold(text: str | None) -> str:
     """The folded text, its words between single spaces, with a space at both ends."""
-    return f" {_OTHER.sub(' ', (text or '').lower().translate(_FOLD)).strip()} "
+    plain = text or ""
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKC", plain)
+    return f" {_OTHER.sub(' ', plain.lower().translate(_FOLD)).strip()} "
 
 
 @dataclass(frozen=True)
@@ -78,11 +81,15 @@ def matched(model: Model, text: str | None) -> tuple[float, int]:
     hits, safe = [], []
     if len(automaton):
         for end, (length, weight) in automaton.iter(folded):
-            (safe if weight is None else hits).append((end - length + 1, end, weight))
+            (safe if weight is None else hits).append((end - length + 1, end, weight or 0.0))
+    # phrases by start, with the farthest end of each and those before it: one that starts in time covers a hit if any does
+    safe.sort()
+    starts, reach = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
     total = 0.0
     for start, end, weight in hits:
+        k = bisect_right(starts, start)
         # one white space belongs to two neighbours, so phrases may share their ends
-        if not any(a <= start and end <= b + 1 for a, b, _ in safe):
+        if not k or end > reach[k - 1] + 1:
             total += weight
     return total, len(folded.split())
 
@@ -150,7 +157,8 @@ def _choose(counts: DataFrame, toxic: int, clean: int) -> tuple[tuple[str, float
 
     ratio = F.log((F.col("toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
     found = counts.where((F.col("toxic") >= least) & (ratio >= LEAST_WEIGHT))
-    rows = found.orderBy(F.desc("toxic"), F.desc(ratio), "feature").limit(MAX_ENTRIES).collect()
+    # as many as the fitted rows give; those are bounded
+    rows = found.collect()
     count = {r["feature"]: (r["toxic"], r["clean"]) for r in rows}
     taken: Counter = Counter()  # texts of chosen features under a beginning, by (beginning, label)
     chosen = []
@@ -196,7 +204,8 @@ def learn(
     """A model from the labelled rows that aren't held out, at most `train_rows` of them, those of the lowest hash.
 
     Null ids and null labels teach nothing. Equal texts count once. Without labelled rows, or without entries that
-    tell the classes apart, every score is the same and under one half.
+    tell the classes apart, every score is the same and under one half. `train_rows` bounds what is learned from, and so
+    the lexicon and its exceptions; nothing else does.
     """
     chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     chosen = chosen.where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isin(0, 1))
@@ -216,7 +225,7 @@ def learn(
             return Model()
         phrases = train.mapInPandas(_count(_phrases(entries)), schema).groupBy("feature").agg(*add)
         safe = phrases.where((F.col("toxic") == 0) & (F.col("clean") >= EXCEPTION_TEXTS))
-        safe = [r["feature"] for r in safe.orderBy(F.desc("clean"), "feature").limit(MAX_EXCEPTIONS).collect()]
+        safe = [r["feature"] for r in safe.collect()]
         model = Model(entries, tuple(sorted(safe)))
         inputs = train.select(_inputs_column(model, F.col("text")).alias("x"), "label").select("x.*", "label").toPandas()
         beta = _fit(inputs[["x", "y"]].to_numpy(), inputs["label"].to_numpy())
@@ -237,7 +246,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per row its id, held_out, score (0 to 1) and predicted (1 from one half on).
 
     Null and empty texts match nothing and get the score of a text without matches. Repeated rows are scored alike, a
-    null id stays null and isn't held out, an empty table gives no rows; other columns aren't returned.
+    null id stays null and isn't held out, an empty table gives no rows; other columns aren't returned. Very long texts
+    are matched whole, in time that grows with their length.
     """
 
     @F.pandas_udf("double")
