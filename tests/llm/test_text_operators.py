@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
 import xxhash
 
 import corpus_pipeline
@@ -228,8 +227,23 @@ def test_url_filters(spark):
     pages = frame(spark, [(i, u, "clash") for i, u, *_ in rows], "page_id long, url string, Host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules).collect()}
     assert got == {i: tuple(x) for i, _, *x in rows}
-    with pytest.raises(ValueError):
-        urlfilter.build_trie(rules, 2)
+    joined = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules, max_rules=2).collect()}
+    assert joined == got
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, table, max_rules=0).collect()} == {i: x[-1] for i, _, *x in rows}
+    assert urlfilter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_url_join_matches_trie(spark):
+    rng = random.Random(11)
+    part = lambda: rng.choice(("a", "b", "en", "enx", ""))
+    host = lambda: ".".join(rng.choice(("a", "b", "net", "org")) for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "/".join(part() for _ in range(rng.randrange(4)))
+    rules = [urlfilter.Rule(rng.choice(("allow", "block")), host(), path()) for _ in range(60)]
+    pages = frame(spark, [(k, f"http://{host()}{path()}") for k in range(200)], "page_id long, url string")
+    pages = pages.union(pages)
+    one, two = (sorted(map(tuple, urlfilter.filter_urls(pages, rules, max_rules=n).collect()), key=str) for n in (100, 0))
+    assert one == two and len({r[-2] for r in one}) > 20
 
 
 # ---------------------------------------------------------------- PII
