@@ -285,17 +285,49 @@ def test_html_extraction(spark):
     assert [got[k].text for k in (10, 11, 12)] == [f"only page number {k} says so" for k in (10, 11, 12)]
 
 
-def test_repeated_tokens_match_brute_force():
-    rng = random.Random(5)
-    pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(6)]
-    for run in (1, 3, 5):
-        for k, covered in enumerate(html.repeated_tokens(pages, run)):
-            want = [False] * len(pages[k])
-            for i in range(len(pages[k]) - run + 1):
-                part = pages[k][i : i + run]
-                if any(part == p[j : j + run] for o, p in enumerate(pages) if o != k for j in range(len(p) - run + 1)):
-                    want[i : i + run] = [True] * run
-            assert covered.tolist() == want
+def test_html_elements(spark):
+    pages = {
+        1: "<article><header><h1>Title</h1></header><p class='share price'>A share price.</p><a class=related-word>word</a> <span class='search-term'>x</span><label>L</label></article>",
+        2: "<main><p>Yes.</p><section id='respond'><p>reader comment</p></section><div class='ad box'>no</div><p class=ad>no</p></main>",
+        3: "<!-- <article>no</article> --><script>'<article>'</script><body><p>only text</p></body>",
+        4: "<div role='main'><p>unclosed <b>bold<p>next &lt;tag&gt; &nbsp; end",
+        5: "<article><p>" + "long words here " * 30_000 + "</p></article>",
+    }
+    rows = [(k, "http://e.example/", t) for k, t in pages.items()]
+    got = {r.page_id: r.text for r in html.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Title\n\nA share price.\n\nword xL" and got[2] == "Yes." and got[3] == "only text"
+    assert got[4] == "unclosed bold\n\nnext <tag> end" and len(got[5]) == 30_000 * 16 - 1
+    assert html.extract_text(frame(spark, [], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_host_repeats_match_brute_force(spark):
+    rng, run = random.Random(5), html.RUN_TOKENS
+    block = lambda: " ".join(rng.choice("abcd") for _ in range(rng.choice((3, 8, 12, 20))))
+    stock = [block() for _ in range(12)]
+    pages = []
+    for k in range(60):
+        host = "big.example" if k % 3 else f"h{k % 5}.example"
+        pages.append((k, host, [rng.choice(stock) if rng.random() < 0.4 else block() for _ in range(rng.randrange(1, 6))]))
+    pages += [(100, "big.example", pages[1][2]), (101, "big.example", pages[1][2])]  # repeated rows
+    want = {}
+    for k, host, blocks in pages:
+        tokens = " ".join(blocks).split()
+        others = {tuple(o) for _, h, o in pages if h == host and o != blocks}
+        runs = {tuple(t[i : i + run]) for o in others for t in [" ".join(o).split()] for i in range(len(t) - run + 1)}
+        covered = [False] * len(tokens)
+        for i in range(len(tokens) - run + 1):
+            if tuple(tokens[i : i + run]) in runs:
+                covered[i : i + run] = [True] * run
+        at, kept = 0, []
+        for b in blocks:
+            n = len(b.split())
+            if sum(covered[at : at + n]) < html.COVERED * n:
+                kept.append(b)
+            at += n
+        want[k] = "\n\n".join(kept)
+    rows = [(k, f"http://{h}/{k}", "".join(f"<p>{b}</p>" for b in blocks)) for k, h, blocks in pages]
+    got = html.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and any(len(want[k]) < len("\n\n".join(b)) for k, _, b in pages)
 
 
 # ---------------------------------------------------------------- licences
