@@ -209,6 +209,11 @@ def test_decontamination_matches_brute_force(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got} == {k: (round(v, 6), s) for k, (v, s) in want.items()}
     clean = decontam.decontaminate(frame(spark, docs), frame(spark, items, "item_id long, text string"))
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    again = frame(spark, [(*r, "x") for r in docs * 2 + [(None, items[1][1])]], f"{DOCS}, leak string")
+    twice = decontam.find_leaks(again, frame(spark, items * 2, "item_id long, text string")).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, [*got, *[r for r in twice if r.doc_id is None]])) and len(twice) > len(got)
+    kept = decontam.decontaminate(again, frame(spark, items, "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "leak"] and kept.count() == 2 * clean.count()
     assert decontam.find_leaks(frame(spark, []), frame(spark, [], "item_id long, text string")).count() == 0
 
 
