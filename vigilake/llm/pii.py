@@ -2,14 +2,17 @@
 
 Validated values are permuted within their format by a keyed Feistel network: a card number that passes its check digit
 becomes another that passes, a date another date, an address another address. The permutation depends on the key and
-the kind alone, so equal values get equal pseudonyms in all documents, and the holder of the key can undo them.
+the kind alone, and works on the value, not on how it is written: equal values get equal pseudonyms in all documents,
+written each as it was found, and the holder of the key can undo them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -112,11 +115,12 @@ def _iban(f: Feistel, s: str, undo: bool) -> str | None:
 
 
 def _phone(f: Feistel, s: str, undo: bool) -> str | None:
+    """The last ten digits are permuted for their country code; numbers without one are taken for code 1's."""
     digits = re.sub(r"\D", "", s)
     if not 10 <= len(digits) <= 15:
         return None
-    code = len(digits) - 10 if s.lstrip().startswith("+") else 0
-    return _onto(s, digits[:code] + f.symbols(digits[code:], f"phone|{digits[:code]}", undo))
+    code = digits[:-10] if s.lstrip().startswith("+") else ""
+    return _onto(s, code + f.symbols(digits[len(code) :], f"phone|{code or 1}", undo))
 
 
 def _ssn(f: Feistel, s: str, undo: bool) -> str | None:
@@ -138,28 +142,34 @@ def _ip(f: Feistel, s: str, undo: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _ip6(f: Feistel, s: str, undo: bool) -> str | None:
+    """Written in its shortest form."""
+    try:
+        value = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    if not any(c in DIGITS for c in s) or sum(map(bool, s.split(":"))) < 2:
+        return None
+    return ipaddress.IPv6Address(f.permute(value, 1 << 128, "ip6", undo)).compressed
+
+
 def _date(f: Feistel, s: str, undo: bool) -> str | None:
-    a, b, c = re.split(r"[-/.]", s)
-    marks = re.findall(r"[-/.]", s)
-    # year first, then day first, then month first; what doesn't make a day of the range is no date
-    orders = ((0, 1, 2),) if len(a) == 4 else ((2, 1, 0), (2, 0, 1))
-    for order in orders:
-        y, m, d = ((int(a), int(b), int(c))[k] for k in order)
+    """Year first, else day first, else month first; what doesn't make a day of the range is no date. Days up to the
+    twelfth, which could be a month's number, are permuted among themselves: so each form reads its pseudonym the same
+    way as the date, and a date has one pseudonym in all forms."""
+    marks, parts = re.findall(r"[-/.]", s), re.split(r"[-/.]", s)
+    for order in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
         try:
-            day = dt.date(y, m, d)
+            day = dt.date(*(int(parts[k]) for k in order))
         except ValueError:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             continue
-        kind = "date|" + "".join(map(str, order))
-        if order == (2, 1, 0):  # days that could be read either way stay among themselves, so that all can be undone
-            return _ambiguous_date(f, s, day, marks, kind, undo)
-        n = (LAST_DAY - FIRST_DAY).days + 1
-        at = (day - FIRST_DAY).days
+        new, early = day, day.day <= 12
         while True:
-            at = f.permute(at, n, kind, undo)
+            at = f.permute((new - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", undo)
             new = FIRST_DAY + dt.timedelta(at)
-            if order != (2, 0, 1) or new.day > 12:
+            if (new.day <= 12) == early:
                 break
         out = ["", "", ""]
         out[order[0]], out[order[1]], out[order[2]] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
@@ -167,27 +177,51 @@ def _date(f: Feistel, s: str, undo: bool) -> str | None:
     return None
 
 
-def _ambiguous_date(f: Feistel, s: str, day: dt.date, marks: list[str], kind: str, undo: bool) -> str:
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    new = FIRST_DAY + dt.timedelta(f.permute((day - FIRST_DAY).days, n, kind, undo))
-    return f"{new.day:02d}{marks[0]}{new.month:02d}{marks[1]}{new.year:04d}"
-
-
 def _email(f: Feistel, s: str, undo: bool) -> str | None:
     local, _, domain = s.partition("@")
     return f"{f.symbols(local, f'email|{domain.lower()}', undo)}@{domain}"
 
 
-def _secret(f: Feistel, s: str, undo: bool) -> str | None:
-    """Keys and tokens: the AKIA mark stays; hex digits stay hex digits of their case."""
-    if s.startswith("AKIA"):
-        return "AKIA" + f.symbols(s[4:], "key", undo)
-    alphabet = DIGITS + ("ABCDEF" if s.upper() == s else "abcdef")
-    if not set(s) <= set(alphabet):
-        return None
-    x = f.permute(int(s, 16), 16 ** len(s), f"hex|{len(s)}", undo)
-    made = f"{x:0{len(s)}x}"
-    return made.upper() if alphabet[-1] == "F" else made
+def _hex(s: str) -> str | None:
+    """The hex alphabet that a text is wholly written in, if it has a letter of it."""
+    for letters in ("abcdef", "ABCDEF"):
+        if set(s) <= set(DIGITS + letters) and not set(s) <= set(DIGITS):
+            return letters
+    return None
+
+
+def _value(f: Feistel, s: str, undo: bool) -> str:
+    """A password or token: hex digits stay hex digits of their case, others stay digits and letters of theirs."""
+    letters = _hex(s)
+    if letters is None:
+        while True:
+            s = f.symbols(s, "value", undo)
+            if _hex(s) is None:
+                return s
+    while True:
+        x = f.permute(int(s, 16), 16 ** len(s), "hex", undo)
+        s = f"{x:0{len(s)}x}"
+        if _hex(s):
+            return s.upper() if letters == "ABCDEF" else s
+
+
+def _key(f: Feistel, s: str, undo: bool) -> str | None:
+    """Keys that begin with their issuer's mark, which stays."""
+    mark = _MARK.match(s)[0]
+    return mark + f.symbols(s[len(mark) :], f"key|{mark}", undo)
+
+
+def _credential(f: Feistel, s: str, undo: bool) -> str | None:
+    """The name and sign stay; the value is a secret by where it stands."""
+    start = _NAMED.match(s).end()
+    return s[:start] + _value(f, s[start:], undo)
+
+
+# Marks of issued keys, and names that a secret value follows.
+_MARK = re.compile(r"AKIA|ASIA|sk_(?:live|test)_|rk_live_|gh[pousr]_|github_pat_|glpat-|xox[abps]-|AIza")
+_NAMED = re.compile(
+    r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|auth[_ -]?key|client[_ -]?secret)[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?"
+)
 
 
 class Kind(NamedTuple):
@@ -202,12 +236,13 @@ class Kind(NamedTuple):
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", "@", _email),
     Kind("iban", r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", r"\d\d", _iban),
-    Kind("secret", r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)", "AKIA", _secret),
-    Kind("secret", r"(?<!\w)(?=[0-9]{0,31}[a-fA-F])(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?!\w)", r"\d", _secret),
+    Kind("secret", rf"(?<!\w)(?:{_MARK.pattern})[0-9A-Za-z_-]{{10,200}}(?!\w)", r"A[KS]IA|[srgx][khiol][_xtpousra-]|AIza", _key),
+    Kind("secret", rf"(?<![A-Za-z]){_NAMED.pattern.replace('(?i)', '(?i:', 1)})[^\s\"',;<>&]{{4,200}}", r"(?i)pass|pwd|secret|token|key", _credential),
+    Kind("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])", r":[0-9A-Fa-f:]{0,5}:", _ip6),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", r"\d\.\d", _ip),
     Kind("date", r"(?<![\w/.-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\w/-]|\.\d)", r"\d\d[-/.]\d\d", _date),
     Kind("ssn", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", r"\d-\d\d-\d", _ssn),
-    Kind("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", r"\d", _card),
+    Kind("card", r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])", r"\d", _card),
     Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)", r"\+\d", _phone),
     Kind("phone", r"(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)", r"\d[.-]\d", _phone),
 )
@@ -222,18 +257,21 @@ class Pseudonyms:
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds replaced in text order."""
-        spans: list[tuple[int, int, str, str]] = []
+        spans: list[tuple[int, int, str, str]] = []  # sorted, and apart from one another
         for kind, pattern, needs in self.kinds:
             if not needs.search(text):
                 continue
+            starts, found = [s[0] for s in spans], []
             for m in pattern.finditer(text):
-                if any(m.start() < b and a < m.end() for a, b, _, _ in spans):
+                k = bisect_left(starts, m.end())  # the spans before k start before the match ends
+                if k and spans[k - 1][1] > m.start():
                     continue
                 new = kind.permute(self.feistel, m[0], self.undo)
                 if new is not None:
-                    spans.append((m.start(), m.end(), new, kind.name))
+                    found.append((m.start(), m.end(), new, kind.name))
+            if found:
+                spans = sorted(spans + found)
         out, at = [], 0
-        spans.sort()
         for a, b, new, _ in spans:
             out += [text[at:a], new]
             at = b
@@ -248,8 +286,11 @@ def pseudonymise(
 
     Null texts stay null, empty ones empty, both with nothing replaced. Numbers that fail their check (card and IBAN
     digits, dates that no calendar has, IP numbers over 255) stay. Rows are treated one by one, so repeated rows come
-    out alike; an empty table stays empty.
+    out alike; an empty table stays empty; very long texts are read whole, in time that grows with their length. A key
+    is needed: an empty one is an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     secret = key.encode()
 
     @F.pandas_udf("struct<text: string, kinds: array<string>>")
