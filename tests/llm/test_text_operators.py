@@ -310,8 +310,8 @@ def test_pseudonyms_match_planted_values(spark):
     assert len(got) == 120 and len({(r.doc_id, r.text) for r in got}) == 60
     for r in got:
         before, after = dict(rows)[r.doc_id].split(" "), r.text.split(" ")
-        assert r.kinds == planted[r.doc_id] and len(before) == len(after)
-        assert [a for a, b in zip(before, after, strict=True) if a == b and a not in dict(rows)] == [a for a in before if a.isalpha()]
+        assert r.kinds == planted[r.doc_id] and [w for w in before if w.isalpha()] == [w for w in after if w.isalpha()]
+        assert (before == after) == (not planted[r.doc_id])
     began = time.perf_counter()
     assert len(pii.Pseudonyms(b"k")("a@b.example " * 20_000)[1]) == 20_000 and time.perf_counter() - began < 20
     assert pii.pseudonymise(frame(spark, []), "key").count() == 0
