@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -39,8 +39,16 @@ _ROWS = "kind int, doc_id {id}, start long, length long, ids_crc32 long, doc_tok
 
 
 def _byte_ranks(path: str) -> dict[bytes, int] | None:
-    """Token bytes -> id of a byte-level BPE file, or None if its merges don't run in the order of the ids."""
-    model = json.loads(Path(path).read_text())["model"]
+    """Token bytes -> id of a byte-level BPE file, or None if it changes or splits texts otherwise than by PIECES, or its
+    merges don't run in the order of the ids."""
+    file = json.loads(Path(path).read_text())
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    as_bytes = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain_bpe = model.get("type", "BPE") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")
+    )
+    if file.get("normalizer") or not as_bytes or not plain_bpe:
+        return None
     # each byte is written as a letter: printable ones as they are, the others from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*plain}))}
@@ -59,15 +67,20 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
+        self.special = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", ())]
         ranks = _byte_ranks(path)
         for s in self.special:
             ranks and ranks.pop(s.encode(), None)
         self.fast = ranks and tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer; it takes memory, and few workers meet a text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if not self.fast or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
