@@ -29,7 +29,7 @@ from vigilake.llm.storage import discard, written
 #: Documents (about) whose shingles are counted for the order, and shingles that are known as common at most.
 SAMPLE_DOCS, COMMON = 5_000, 100_000
 #: How often the sets that share a shingle are compared with one of them before all pairs still apart are.
-LEADS = 3
+LEADS = 2
 EPSILON = 1e-9
 
 
@@ -247,16 +247,17 @@ def keep_one(
         return pd.DataFrame(out, columns=["fp", "key", "n", "prefix", "counts"])
 
     prints = written(texts.select("id", described("text").alias("d")).select("id", "d.*"), "prints")
-    fps = prints.select("fp").distinct()
-    tries = connected_components(simhash.hamming_links(fps, radius))
-    placed = prints.select("id", "fp", "key").join(tries, F.col("fp") == F.col("node"), "left")
-    placed = written(placed.select("id", "key", F.coalesce("root", "fp").alias("root")), "placed")
-
-    of_key = written(placed.groupBy("key").agg(F.min("root").alias("root")), "bases")
-    same = placed.select("key", "root").distinct().join(of_key.withColumnRenamed("root", "low"), "key").where("root <> low")
-    merged = connected_components(same.select("root", "low")).withColumnRenamed("root", "now")
-    bases = of_key.join(merged, of_key["root"] == merged["node"], "left").select("key", F.coalesce("now", "root").alias("root"))
+    # one graph of set keys: a set's other fingerprints lead to it, and fingerprints' links to the lowest set of each
+    pairs = written(prints.select("fp", "key").distinct(), "placed")
+    of_fp = pairs.groupBy("fp").agg(F.min("key").alias("low"))
+    tries = simhash.hamming_links(of_fp.select("fp"), radius)
+    tries = tries.join(of_fp.select(F.col("fp").alias("child"), F.col("low").alias("a")), "child")
+    tries = tries.join(of_fp.select(F.col("fp").alias("root"), F.col("low").alias("b")), "root").select("a", "b")
+    several = pairs.join(of_fp, "fp").where("key <> low").select("key", "low")
+    merged = connected_components(tries.union(several))
+    keys = pairs.select("key").distinct()
+    bases = keys.join(merged, keys["key"] == merged["node"], "left").select("key", F.coalesce("root", "key").alias("root"))
     ends = similar_components(texts, prints, written(bases, "bases"), size, threshold)
-    ends = placed.select("id", "key").join(ends, "key").select("id", F.col("root").alias("end"))
+    ends = prints.select("id", "key").join(ends, "key").select("id", F.col("root").alias("end"))
     lowest = ends.groupBy("end").agg(F.min("id").alias("head")).select("head").distinct()
     return simhash.keep_rows(docs, lowest, id_col, text_col)
