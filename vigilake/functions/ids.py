@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the namespace of the vector index's point ids.
+POINTS = uuid.UUID("9b1deb4d-3b7d-4bad-9bdd-2b0d7b3dcb6d")
+
+
 def _joined(*parts: Column) -> Column:
     """The parts' text with a NUL between them; null parts count as empty."""
     out = F.coalesce(parts[0].cast("string"), F.lit(""))
@@ -30,7 +34,7 @@ def event_token(event_id: Column, ingress_id: Column) -> Column:
     return F.sha2(_joined(event_id, ingress_id), 256)
 
 
-def name_uuid(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+def name_uuid(name: Column, namespace: uuid.UUID = POINTS) -> Column:
     """The version-5 UUID of a name."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
     variant = F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(63).bitwiseOR(128)
@@ -64,7 +68,22 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, e: acc + e.cast("double") * e.cast("double")))
 
 
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order, no white space, nulls written out and ASCII alone."""
+
+    def value(c: Column) -> Column:
+        text = F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 30)  # what stands after {"x":
+        text = F.substring(text, 1, F.length(text) - 1)
+        return F.when(c.isNull(), "null").otherwise(text)
+
+    pairs = [F.concat(F.lit(f'"{k}":'), value(fields[k])) for k in sorted(fields)]
+    units = F.transform(
+        F.split(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), ""),
+        lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")),
+    )
+    return F.array_join(units, "")
+
+
 def collection_name(base: str, identity: dict[str, Column]) -> Column:
     """`base` with a digest of the embedding's identity, so that vectors of two models never meet in one table."""
-    fields = F.to_json(F.struct(*[identity[k].alias(k) for k in sorted(identity)]))
-    return F.concat(F.lit(f"{base}__embedding_"), F.substring(F.sha2(fields, 256), 1, 16))
+    return F.concat(F.lit(f"{base}__embedding_"), F.substring(F.sha2(canonical_json(identity), 256), 1, 16))

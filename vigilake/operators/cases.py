@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The verdicts and evidence states of a review.
 VERDICTS = ("compliant", "violation", "uncertain")
+EVIDENCE_STATES = ("available", "missing")
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,22 @@ def recheck(cases: DataFrame, query: EventQuery) -> DataFrame:
     return cases
 
 
+def find_cases(events: DataFrame, detections: DataFrame, evidence: DataFrame, reviews: DataFrame, query: EventQuery) -> DataFrame:
+    """The cases that meet the conditions as they now stand. What doesn't need a case filters first: the events' own
+    columns, the class, and, where a verdict is asked for, the latest review's or the event's verdict; children are
+    nested only for what is left."""
+    own = replace(query, verdict=None)
+    events = select_events(events, detections, own)
+    latest = latest_reviews(reviews)
+    if query.verdict is not None:
+        said = latest.select("event_id", F.struct(F.col("verdict").alias("said")).alias("r"))
+        now = F.when(F.col("r").isNotNull(), F.coalesce("r.said", "verdict")).otherwise(F.col("verdict"))
+        events = events.join(said, "event_id", "left").where(now == query.verdict).drop("r")
+    ids = events.select("event_id")
+    sides = [side.join(ids, "event_id", "left_semi") for side in (detections, evidence, reviews)]
+    return recheck(event_cases(events, *sides), query)
+
+
 def index_payload(cases: DataFrame) -> DataFrame:
     """What the vector index keeps of a case."""
     return cases.select(
@@ -123,18 +141,26 @@ def append_reviews(reviews: DataFrame, new: DataFrame) -> DataFrame:
     return numbered.withColumn("revision", (F.coalesce("held", F.lit(0)) + F.col("nth")).cast("int")).drop("held", "nth")
 
 
-def review_violations(reviews: DataFrame) -> DataFrame:
-    """Reviews that break their contract, with the first rule broken."""
-    claimed = F.flatten(F.transform("claims", lambda c: c["evidence_ids"]))
+def broken_contract() -> Column:
+    """The first rule of the review contract that a row breaks, or null."""
     ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
-    broken = (
+    claims = F.coalesce("claims", F.array().cast("array<struct<text:string,evidence_ids:array<string>>>"))
+    claimed = F.flatten(F.transform(claims, lambda c: F.coalesce(c["evidence_ids"], F.array().cast("array<string>"))))
+    return (
         F.when(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False)), "verdict")
         .when(~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False)), "confidence")
+        .when(~F.coalesce(F.col("evidence_status").isin(*EVIDENCE_STATES), F.lit(False)), "evidence_status")
+        .when(F.col("explanation").isNull(), "explanation")
+        .when(F.exists(claims, lambda c: F.coalesce(c["text"], F.lit("")) == ""), "claim_text")
         .when((F.col("evidence_status") == "missing") & (F.col("verdict") != "uncertain"), "missing_evidence")
         .when((F.col("verdict") != "uncertain") & (F.size(ids) == 0), "no_evidence")
-        .when(F.size(F.array_except(F.coalesce(claimed, ids), ids)) > 0, "claims")
+        .when(F.size(F.array_except(claimed, ids)) > 0, "claims")
     )
-    return reviews.withColumn("violation", broken).where(F.col("violation").isNotNull())
+
+
+def review_violations(reviews: DataFrame) -> DataFrame:
+    """Reviews that break their contract, with the first rule broken."""
+    return reviews.withColumn("violation", broken_contract()).where(F.col("violation").isNotNull())
 
 
 def dangling_evidence(reviews: DataFrame, evidence: DataFrame) -> DataFrame:

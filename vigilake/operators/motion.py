@@ -2,83 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.operators.folds import carried, folded, sliced, within
 from vigilake.operators.timeline import asof_within
 
 PROCESS_NOISE = MEASUREMENT_NOISE = 1e-4
 AXES = ("cx", "cy", "w", "h")
+#: Horizons in a slice of a source's frames, in which the frame before each is looked up.
+SLICES = 256
 
 
 def observations(frames: DataFrame, horizon_ns: int) -> DataFrame:
-    """Objects of tracked frames as rows with `run`, a number that changes wherever a track's filter starts anew: a
-    change of class, a frame without the track, a gap above the horizon, an unusable box, a lost state.
+    """Objects of tracked frames as rows with the state of their track's filter after them: `seen`, the observations in
+    its run, and p and v (place and speed) of each axis. A run ends at a change of class, a frame without the track, a
+    gap above the horizon, an unusable box, a lost state.
 
-    Of one frame's objects with equal ids the first counts; lost and dead objects and boxes without area don't.
+    Of one frame's objects with equal ids the first counts; lost and dead objects and boxes without area don't. Objects
+    without a track (a negative id) are shown as they are: each is a run of its own, as often as it occurs.
     """
-    rows = frames.select("source_id", "generation", "pts_ns", F.posexplode("objects").alias("place", "o"))
-    rows = rows.select("source_id", "generation", "pts_ns", "place", "o.*")
-    usable = F.col("track_state").isin(0, 1) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & (F.col("track_id") >= 0)
+    rows = frames.select("source_id", "generation", "pts_ns", "objects", F.col("pts_ns").alias("_at"))
+    before = F.lag("pts_ns").over(within(["source_id", "generation"], "_at"))
+    slices = carried(sliced(rows, "_at", SLICES * horizon_ns), ["source_id", "generation"], {"_end": F.max("pts_ns")}, {"_end": F.max})
+    rows = slices.withColumn("_before", F.coalesce(before, "_end")).drop("_slice", "_end", "_at")
+    rows = rows.select("source_id", "generation", "pts_ns", "_before", F.posexplode("objects").alias("place", "o"))
+    rows = rows.select("source_id", "generation", "pts_ns", "_before", "place", "o.*")
+    usable = F.col("track_state").isin(0, 1) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    rows = rows.where(usable)
     key = ["source_id", "generation", "track_id", "pts_ns"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
-    rows = rows.where(usable).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    order = Window.partitionBy("source_id", "generation").orderBy("pts_ns")
-    seen = frames.select("source_id", "generation", "pts_ns").distinct().withColumn("_frame", F.row_number().over(order))
-    rows = rows.join(seen, ["source_id", "generation", "pts_ns"])
-    w = Window.partitionBy("source_id", "generation", "track_id").orderBy("pts_ns")
-    goes_on = (
-        (F.lag("_frame").over(w) == F.col("_frame") - 1)
-        & (F.col("pts_ns") - F.lag("pts_ns").over(w) <= horizon_ns)
-        & F.col("class_id").eqNullSafe(F.lag("class_id").over(w))
-        & F.col("class_name").eqNullSafe(F.lag("class_name").over(w))
-    )
-    rows = rows.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("long"))
-    return rows.withColumn("run", F.sum("_new").over(w)).drop("_new", "_frame")
-
-
-def _advance(s: Column, dt: Column) -> dict[str, Column]:
-    """An axis' state (p position, v velocity, a b d its covariance) after dt seconds."""
-    q = F.lit(PROCESS_NOISE)
-    return {
-        "p": s["p"] + dt * s["v"],
-        "v": s["v"],
-        "a": s["a"] + 2 * dt * s["b"] + dt * dt * s["d"] + q * dt * dt * dt * dt / 4,
-        "b": s["b"] + dt * s["d"] + q * dt * dt * dt / 2,
-        "d": s["d"] + q * dt * dt,
-    }
-
-
-def _corrected(s: Column, measured: Column) -> Column:
-    gain, speed = s["a"] / (s["a"] + MEASUREMENT_NOISE), s["b"] / (s["a"] + MEASUREMENT_NOISE)
-    residual = measured - s["p"]
-    return F.struct(
-        (s["p"] + gain * residual).alias("p"),
-        (s["v"] + speed * residual).alias("v"),
-        ((1 - gain) * s["a"]).alias("a"),
-        (((1 - gain) * s["b"] + s["b"] - speed * s["a"]) / 2).alias("b"),
-        (s["d"] - speed * s["b"]).alias("d"),
-    )
-
-
-def _bound(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _filtered(history: Column, axis: str) -> Column:
-    """An axis' state after all observations of a run, as a fold over them in order."""
-    first = F.get(history, F.lit(0))
-    zero = F.struct(
-        F.struct(first[axis].alias("p"), F.lit(0.0).alias("v"), F.lit(MEASUREMENT_NOISE).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d")).alias("s"),
-        first["pts_ns"].alias("t"),
-    )
-
-    def step(acc: Column, o: Column) -> Column:
-        dt = (o["pts_ns"] - acc["t"]) / F.lit(1e9)
-        moved = F.struct(*[v.alias(k) for k, v in _advance(acc["s"], dt).items()])
-        return F.struct(_bound(moved, lambda m: _corrected(m, o[axis])).alias("s"), o["pts_ns"].alias("t"))
-
-    return F.aggregate(F.slice(history, 2, F.size(history)), zero, step, lambda acc: acc["s"])
+    tracked = rows.where("track_id >= 0").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    box = {"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
+    columns = ["source_id", "generation", "track_id", "pts_ns", "class_name", "class_id", *[v.cast("double").alias(k) for k, v in box.items()]]
+    states = ", ".join(f"{axis}_p double, {axis}_v double" for axis in AXES)
+    kinds = ", ".join(f"{n} {t}" for n, t in tracked.select(*columns, F.col("_before").cast("long").alias("_before")).dtypes)
+    followed = folded(
+        tracked.select(*columns, F.col("_before").cast("long").alias("_before")),
+        ["source_id", "generation", "track_id"],
+        ["pts_ns"],
+        lambda: _Run(horizon_ns),
+        _Run.rows,
+        f"{kinds}, seen int, {states}",
+    ).drop("_before")
+    alone = rows.where("track_id < 0").select(*columns, F.lit(1).alias("seen"))
+    alone = alone.select("*", *[c for axis in AXES for c in (F.col(axis).alias(f"{axis}_p"), F.lit(0.0).alias(f"{axis}_v"))])
+    return followed.unionByName(alone)
+
+
+class _Run:
+    """The filters of one track's axes in its present run: place, speed and their covariance (a, b; b, d)."""
+
+    def __init__(self, horizon_ns: int):
+        self.horizon, self.at, self.named, self.seen = horizon_ns, None, None, 0
+
+    def _add(self, at: int, before, named: tuple, measured: np.ndarray) -> None:
+        goes_on = self.at is not None and before == self.at and at - self.at <= self.horizon and named == self.named
+        if not goes_on:
+            self.p, self.v, self.seen = measured.copy(), np.zeros(len(AXES)), 0
+            self.a, self.b, self.d = MEASUREMENT_NOISE, 0.0, 1.0  # alike for all axes
+        else:
+            dt, q = (at - self.at) / 1e9, PROCESS_NOISE
+            p = self.p + dt * self.v
+            a = self.a + 2 * dt * self.b + dt * dt * self.d + q * dt**4 / 4
+            b, d = self.b + dt * self.d + q * dt**3 / 2, self.d + q * dt * dt
+            gain, speed = a / (a + MEASUREMENT_NOISE), b / (a + MEASUREMENT_NOISE)
+            self.p, self.v = p + gain * (measured - p), self.v + speed * (measured - p)
+            self.a, self.b, self.d = (1 - gain) * a, ((1 - gain) * b + b - speed * a) / 2, d - speed * b
+        self.at, self.named, self.seen = at, named, self.seen + 1
+
+    def rows(self, part: pd.DataFrame) -> pd.DataFrame:
+        measured = part[list(AXES)].to_numpy(np.float64)
+        befores = [None if pd.isna(x) else int(x) for x in part["_before"]]
+        seen, p, v = [], [], []
+        for k, (at, name, ident) in enumerate(zip(part["pts_ns"].tolist(), part["class_name"], part["class_id"], strict=True)):
+            self._add(at, befores[k], (name, ident), measured[k])
+            seen.append(self.seen)
+            p.append(self.p)
+            v.append(self.v)
+        p, v = np.array(p), np.array(v)
+        states = {f"{axis}_{name}": x[:, k] for k, axis in enumerate(AXES) for name, x in (("p", p), ("v", v))}
+        return part.assign(seen=seen, **states)
 
 
 def predict(frames: DataFrame, displays: DataFrame, horizon_ns: int = 300_000_000, motion: bool = True) -> DataFrame:
@@ -86,21 +92,17 @@ def predict(frames: DataFrame, displays: DataFrame, horizon_ns: int = 300_000_00
     the horizon: the box, carried forward if the track was seen twice in a row, clipped to the unit square, and whether
     it was predicted or clipped. Boxes wholly outside are left out.
 
-    A track's filter folds over its run up to the frame; runs are short, as a gap above the horizon ends them.
+    Each observation carries its filter's state, so a run of any length is folded once.
     """
     obs = observations(frames, horizon_ns)
-    box = {"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
-    obs = obs.select("source_id", "generation", "track_id", "run", "pts_ns", "class_name", *[v.cast("double").alias(k) for k, v in box.items()])
     latest = frames.select("source_id", "generation", "pts_ns").distinct()
     shown = asof_within(displays.select("source_id", "generation", "pts_ns"), latest, ["source_id", "generation"], "pts_ns", horizon_ns)
     shown = shown.where(F.col("found").isNotNull()).select("source_id", "generation", F.col("pts_ns").alias("display_ns"), F.col("found.pts_ns").alias("pts_ns"))
-    w = Window.partitionBy("source_id", "generation", "track_id", "run").orderBy("pts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    told = obs.withColumn("history", F.collect_list(F.struct("pts_ns", *AXES)).over(w))
-    told = told.join(shown, ["source_id", "generation", "pts_ns"])
+    told = obs.join(shown, ["source_id", "generation", "pts_ns"])
     age = (F.col("display_ns") - F.col("pts_ns")) / F.lit(1e9)
-    moving = F.lit(motion) & (F.size("history") > 1) & (F.col("display_ns") > F.col("pts_ns"))
+    moving = F.lit(motion) & (F.col("seen") > 1) & (F.col("display_ns") > F.col("pts_ns"))
     for axis in AXES:
-        told = told.withColumn(f"_{axis}", F.when(moving, _bound(_filtered(F.col("history"), axis), lambda s: s["p"] + age * s["v"])).otherwise(F.col(axis)))
+        told = told.withColumn(f"_{axis}", F.when(moving, F.col(f"{axis}_p") + age * F.col(f"{axis}_v")).otherwise(F.col(axis)))
     x1, x2 = F.col("_cx") - F.col("_w") / 2, F.col("_cx") + F.col("_w") / 2
     y1, y2 = F.col("_cy") - F.col("_h") / 2, F.col("_cy") + F.col("_h") / 2
     inside = (F.col("_w") > 0) & (F.col("_h") > 0) & (x2 > 0) & (y2 > 0) & (x1 < 1) & (y1 < 1)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.ids import norm
-from vigilake.operators.cases import EventQuery, recheck, select_events, shown_confidence, shown_verdict
+from vigilake.operators.cases import EventQuery, event_cases, recheck, select_events, shown_confidence, shown_verdict
 
 #: Candidates that the vector path contributes, and that a fused list holds.
 CANDIDATES = 100
@@ -34,6 +34,23 @@ def vector_top_k(points: DataFrame, query: list[float], k: int, where: dict | No
     return scored.orderBy(F.desc("score"), "event_id").limit(_checked(k))
 
 
+def block_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
+    """(query_id, event_id, label, score): for each of `queries` (query_id, query) the k points most alike.
+
+    Queries go in blocks: a row holds `block` of them, so each point meets each block once, is scored against all its
+    queries within the row, and each task keeps k rows for a query before the rest of the work.
+    """
+    dealt = queries.select("query_id", "query", F.floor(F.xxhash64("query_id") / F.lit((1 << 64) / max(1, -(-queries.count() // block)))).alias("b"))
+    blocks = dealt.groupBy("b").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    # blocks are the stated queries, few beside the points; beyond the broadcast limit the join is by nested loop or shuffle
+    size = norm(F.col("vector"))
+    dot = lambda q: F.aggregate(F.zip_with("vector", q["query"], lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda n, x: n + x)
+    scored = lambda q: F.struct(q["query_id"].alias("query_id"), (dot(q) / F.nullif(size * norm(q["query"]), F.lit(0.0))).alias("score"))
+    met = points.join(blocks, how="cross").select("event_id", "label", F.inline(F.transform("asked", scored)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "event_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def attribute_search(events: DataFrame, detections: DataFrame, query: EventQuery, k: int) -> DataFrame:
     """Events that meet the conditions, latest first, each with score 1."""
     found = select_events(events, detections, query).orderBy(F.desc("timestamp_ms"), "event_id").limit(_checked(k))
@@ -55,8 +72,9 @@ def fuse(attribute: DataFrame, embedded: DataFrame, k: int = CANDIDATES) -> Data
 def search_events(
     events: DataFrame,
     detections: DataFrame,
+    evidence: DataFrame,
+    reviews: DataFrame,
     points: DataFrame,
-    cases: DataFrame,
     query: EventQuery,
     vector: list[float] | None,
     top_k: int = 10,
@@ -64,14 +82,18 @@ def search_events(
     """The attribute path takes top_k under the conditions, the vector path CANDIDATES without them; what they find is
     fused, joined to the cases, checked against the conditions again, and only then cut to top_k.
 
-    Without a query vector the search is by attributes alone. Candidates are at most 200 rows, so they are broadcast.
+    Without a query vector the search is by attributes alone. Candidates are at most 200 rows, so they are broadcast to
+    every side before its children are nested: the ledger is filtered where it is read, and only the candidates' rows
+    are shuffled.
     """
     found = attribute_search(events, detections, query, top_k)
     if vector is None:
         fused = found.withColumn("matched_by", F.lit("attribute"))
     else:
         fused = fuse(found, vector_top_k(points, vector, CANDIDATES).select("event_id", "score"))
-    hydrated = recheck(cases.join(F.broadcast(fused), "event_id"), query)
+    fused = F.broadcast(fused)
+    sides = [side.join(fused.select("event_id"), "event_id", "left_semi") for side in (events, detections, evidence, reviews)]
+    hydrated = recheck(event_cases(*sides).join(fused, "event_id"), query)
     shown = hydrated.select(
         "event_id",
         "source",

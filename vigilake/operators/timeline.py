@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.operators.folds import carried, last_known, sliced, within
+
 
 def asof_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, horizon: int) -> DataFrame:
     """Each left row with `found`, the latest right row (a struct) of its keys with left.at - horizon <= right.at <=
@@ -53,45 +55,63 @@ def _slice(at: str, width: int) -> Column:
     return F.floor(F.col(at) / F.lit(width)).cast("long")
 
 
-def guard(frames: DataFrame, order: str = "seq", generation: int | None = None, source: str | None = None) -> DataFrame:
+#: Arrivals of a source that meet in one task.
+ARRIVALS = 100_000
+
+
+def guard(
+    frames: DataFrame, order: str = "seq", generation: int | None = None, source: str | None = None, arrivals: int = ARRIVALS
+) -> DataFrame:
     """Frames with `outcome`: published, no_pts, wrong_source, wrong_generation, duplicate_pts or stale_pts, by arrival.
 
     A frame is accepted if its pts is beyond all accepted before it in its source and generation. Rejected frames never
-    exceed that maximum, so the running maximum over all earlier frames is the same.
+    exceed that maximum, so the running maximum over all earlier frames is the same. It runs in slices of `order` (a
+    number), each of which starts from the maximum of those before it.
     """
     ok = F.col("pts_ns").isNotNull()
     if source is not None:
         ok = ok & (F.col("source_id") == source)
     if generation is not None:
         ok = ok & (F.col("generation") == generation)
-    before = Window.partitionBy("source_id", "generation").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max(F.when(ok, F.col("pts_ns"))).over(before)
+    key, accepted = ["source_id", "generation"], F.when(ok, F.col("pts_ns"))
+    frames = carried(sliced(frames, order, arrivals), key, {"_end": F.max(accepted)}, {"_end": F.max})
+    here = F.max(accepted).over(within(key, order).rowsBetween(Window.unboundedPreceding, -1))
+    high = F.greatest(here, F.col("_end"))
     outcome = F.when(F.col("pts_ns").isNull(), "no_pts")
     if source is not None:
         outcome = outcome.when(F.col("source_id") != source, "wrong_source")
     if generation is not None:
         outcome = outcome.when(F.col("generation") != generation, "wrong_generation")
     outcome = outcome.when(F.col("pts_ns") == F.col("_high"), "duplicate_pts").when(F.col("pts_ns") < F.col("_high"), "stale_pts")
-    return frames.withColumn("_high", high).withColumn("outcome", outcome.otherwise("published")).drop("_high")
+    return frames.withColumn("_high", high).withColumn("outcome", outcome.otherwise("published")).drop("_high", "_end", "_slice")
 
 
-def generations(buffers: DataFrame, order: str = "seq") -> DataFrame:
+def generations(buffers: DataFrame, order: str = "seq", arrivals: int = ARRIVALS) -> DataFrame:
     """Buffers with `generation`, from 1: a discontinuity or a pts below the one before it opens a new one, and equal
-    causes in a row open one together."""
-    w = Window.partitionBy("source_id").orderBy(order)
-    held = F.last("pts_ns", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kind = F.when(F.col("discont"), "discont").when(F.col("pts_ns") < held, "rollback")
-    marked = buffers.withColumn("_kind", kind)
-    opens = F.col("_kind").isNotNull() & ~F.col("_kind").eqNullSafe(F.lag("_kind").over(w))
-    marked = marked.withColumn("_opens", opens.cast("long"))
-    return marked.withColumn("generation", 1 + F.sum("_opens").over(w)).drop("_kind", "_opens")
+    causes in a row open one together. Slices of `order` hand on the last pts, the last cause and the count."""
+    key, w = ["source_id"], within(["source_id"], order)
+    latest = F.max_by("pts_ns", F.when(F.col("pts_ns").isNotNull(), F.col(order)))
+    rows = carried(sliced(buffers, order, arrivals), key, {"_pts": latest}, {"_pts": last_known})
+    held = F.coalesce(last_known(F.col("pts_ns")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_pts"))
+    rows = rows.withColumn("_kind", F.when(F.col("discont"), "discont").when(F.col("pts_ns") < held, "rollback"))
+    cause = F.struct("_kind")  # never null itself, so that a buffer without a cause is handed on too
+    rows = carried(rows, key, {"_last": F.max_by(cause, order)}, {"_last": last_known})
+    before = F.coalesce(F.lag(cause).over(w), F.col("_last"))
+    opens = F.col("_kind").isNotNull() & ~F.col("_kind").eqNullSafe(before["_kind"])
+    rows = rows.withColumn("_opens", opens.cast("long"))
+    rows = carried(rows, key, {"_sum": F.sum("_opens")}, {"_sum": F.sum})
+    count = 1 + F.sum("_opens").over(w) + F.coalesce("_sum", F.lit(0))
+    return rows.withColumn("generation", count).drop("_slice", "_pts", "_kind", "_last", "_opens", "_sum")
 
 
 def history_depth(frames: DataFrame, most: int = 64, span_ns: int = 2_000_000_000) -> DataFrame:
     """Frames with `depth`, the frames that a history of at most `most`, none over `span_ns` older, then holds."""
-    w = Window.partitionBy("source_id", "generation").orderBy("pts_ns")
-    held = F.count("*").over(w.rangeBetween(-span_ns, 0))
-    return frames.withColumn("depth", F.least(held, F.lit(most)).cast("long"))
+    # a frame counts in its own slice and, for the frames of the next, as one of those before
+    rows = sliced(frames, "pts_ns", max(1, span_ns)).withColumn("_copy", F.explode(F.array(F.lit(False), F.lit(True))))
+    rows = rows.withColumn("_slice", F.col("_slice") + F.col("_copy").cast("long"))
+    held = F.count("*").over(within(["source_id", "generation"], "pts_ns").rangeBetween(-span_ns, 0))
+    rows = rows.withColumn("depth", F.least(held, F.lit(most)).cast("long"))
+    return rows.where(~F.col("_copy")).drop("_copy", "_slice")
 
 
 def current_generation(frames: DataFrame) -> DataFrame:

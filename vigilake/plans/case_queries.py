@@ -68,7 +68,9 @@ def nested_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE toxic = 1 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = event_id AND l_returnflag = 'R')""",
 )
 def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cases.recheck(_cases(spark, sf_dir), EventQuery(verdict="violation", class_name="R"))
+    found = cases.find_cases(
+        t.cases_events(spark, sf_dir), t.cases_detections(spark, sf_dir), t.cases_evidence(spark, sf_dir), t.reviews(spark, sf_dir), EventQuery(verdict="violation", class_name="R")
+    )
     return found.select("event_id", (cases.shown_verdict() == "violation").alias("violation"))
 
 
@@ -88,15 +90,22 @@ COSINE = """v AS (
   FROM embeddings)"""
 
 
-@register("d2_vector_top_k", f"WITH {COSINE} SELECT event_id, label, round(score, 6) AS score FROM v ORDER BY v.score DESC, event_id LIMIT 20")
+def _asked(condition: str, k: int) -> str:
+    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS event_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) AS score FROM embeddings CROSS JOIN q {condition}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS rank FROM s)
+SELECT query_id, event_id, label, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"""
+
+
+@register("d2_vector_top_k", _asked("", 20))
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.vector_top_k(t.points(spark, sf_dir), t.query_vector(spark, sf_dir), 20)
+    found = search.block_top_k(t.points(spark, sf_dir), t.queries(spark, sf_dir), 20)
     return found.withColumn("score", F.round("score", 6))
 
 
-@register("b4_filtered_top_k", f"WITH {COSINE} SELECT event_id, label, round(score, 6) AS score FROM v WHERE label = 1 ORDER BY v.score DESC, event_id LIMIT 10")
+@register("b4_filtered_top_k", _asked("WHERE label = 1", 10))
 def filtered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.vector_top_k(t.points(spark, sf_dir), t.query_vector(spark, sf_dir), 10, {"label": 1})
+    found = search.block_top_k(t.points(spark, sf_dir).where("label = 1"), t.queries(spark, sf_dir), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -136,7 +145,14 @@ ORDER BY score DESC, timestamp_ms DESC, event_id LIMIT 50""",
 )
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_events(
-        t.cases_events(spark, sf_dir), t.cases_detections(spark, sf_dir), t.points(spark, sf_dir), _cases(spark, sf_dir), SEARCH, t.query_vector(spark, sf_dir), 50
+        t.cases_events(spark, sf_dir),
+        t.cases_detections(spark, sf_dir),
+        t.cases_evidence(spark, sf_dir),
+        t.reviews(spark, sf_dir),
+        t.points(spark, sf_dir),
+        SEARCH,
+        t.query_vector(spark, sf_dir),
+        50,
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions import ids, text
-from vigilake.operators import cooldown, detect, motion, stats, timeline
+from vigilake.operators import cooldown, detect, folds, motion, stats, timeline
 from vigilake.plans import tables as t
 from vigilake.plans.registry import register
 from vigilake.sources import wire
@@ -54,7 +54,7 @@ def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT seq, CASE WHEN pts_ns IS NULL THEN 'no_pts' WHEN pts_ns = high THEN 'duplicate_pts' WHEN pts_ns < high THEN 'stale_pts' ELSE 'published' END AS outcome FROM h""",
 )
 def guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.guard(t.frames(spark, sf_dir)).select("seq", "outcome")
+    return timeline.guard(t.frames(spark, sf_dir), arrivals=4_096).select("seq", "outcome")
 
 
 @register(
@@ -65,7 +65,7 @@ o AS (SELECT *, kind IS NOT NULL AND kind IS DISTINCT FROM lag(kind) OVER (PARTI
 SELECT seq, CAST(1 + sum(CAST(opens AS INTEGER)) OVER (PARTITION BY source_id ORDER BY seq) AS BIGINT) AS generation FROM o""",
 )
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.generations(t.frames(spark, sf_dir).drop("generation")).select("seq", "generation")
+    return timeline.generations(t.frames(spark, sf_dir).drop("generation"), arrivals=4_096).select("seq", "generation")
 
 
 @register(
@@ -199,10 +199,8 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g19_running_ids", f"WITH {t.SIGNALS} SELECT event_id, CAST(row_number() OVER (PARTITION BY source ORDER BY event_id) AS INTEGER) AS track_id FROM sig")
 def running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("event_id"))
-    return t.signals(spark, sf_dir).select("event_id", nth.alias("track_id"))
+    numbered = folds.row_numbers(t.signals(spark, sf_dir).select("event_id", "source"), ["source"], "event_id", 4_096, "track_id")
+    return numbered.select("event_id", F.col("track_id").cast("int").alias("track_id"))
 
 
 @register("g24_predict")

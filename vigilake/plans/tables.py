@@ -83,6 +83,11 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored vectors whose id 50 divides, as questions."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
