@@ -54,10 +54,9 @@ def test_top_k_comes_after_the_recheck(spark):
     events = [("wrong", "camera-2", 1, "a", "new", None, None, 0), ("right", "camera-1", 2, "a", "new", None, None, 0)]
     ev, det, evidence, rev = tables(spark, events)
     points = spark.createDataFrame([("wrong", [1.0, 0.0]), ("right", [-1.0, 0.0])], "event_id string, vector array<float>")
-    case = cases.event_cases(ev, det, evidence, rev)
-    found = search.search_events(ev, det, points, case, EventQuery(source="camera-1"), [1.0, 0.0], top_k=1)
+    found = search.search_events(ev, det, evidence, rev, points, EventQuery(source="camera-1"), [1.0, 0.0], top_k=1)
     assert [r.event_id for r in found.collect()] == ["right"]
-    alone = search.search_events(ev, det, points, case, EventQuery(source="camera-1"), None, top_k=1)
+    alone = search.search_events(ev, det, evidence, rev, points, EventQuery(source="camera-1"), None, top_k=1)
     assert [(r.event_id, r.matched_by) for r in alone.collect()] == [("right", "attribute")]
 
 
@@ -68,15 +67,20 @@ def test_vector_filter(spark):
 
 
 def test_review_contract(spark):
-    schema = REV + ", evidence_status string, evidence_ids array<string>, claims array<struct<text:string,evidence_ids:array<string>>>"
+    schema = REV + ", evidence_status string, evidence_ids array<string>, claims array<struct<text:string,evidence_ids:array<string>>>, explanation string"
     rows = [
-        ("ok", 1, "violation", 0.87, "available", ["evidence-1"], [("x", ["evidence-1"])]),
-        ("missing", 1, "compliant", 0.5, "missing", ["evidence-1"], []),
-        ("range", 1, "violation", 1.5, "available", ["evidence-1"], []),
-        ("claims", 1, "violation", 0.5, "available", ["evidence-1"], [("x", ["other"])]),
+        ("ok", 1, "violation", 0.4, "available", ["f1", "f2"], [("t", ["f2"])], "e"),
+        ("missing", 1, "compliant", 0.6, "missing", ["f1"], [], "e"),
+        ("range", 1, "violation", -0.1, "available", ["f1"], [], "e"),
+        ("claims", 1, "violation", 0.4, "available", ["f1"], [("t", ["f2"])], "e"),
+        ("status", 1, "uncertain", 0.4, "gone", None, None, "e"),
+        ("silent", 1, "uncertain", 0.4, "missing", None, None, None),
+        ("blank", 1, "violation", 0.4, "available", ["f1"], [("", None)], "e"),
+        ("loose", 1, "uncertain", 0.4, "missing", None, [("t", ["f1"])], "e"),
     ]
     found = {r.event_id: r.violation for r in cases.review_violations(spark.createDataFrame(rows, schema)).collect()}
-    assert found == {"missing": "missing_evidence", "range": "confidence", "claims": "claims"}
+    rest = {"status": "evidence_status", "silent": "explanation", "blank": "claim_text", "loose": "claims"}
+    assert found == {"missing": "missing_evidence", "range": "confidence", "claims": "claims", **rest}
 
 
 def test_paths_under_roots(spark):

@@ -15,16 +15,15 @@ DETECTION = {"class": "person", "class_id": 0, "confidence": 0.92, "bbox": [1, 2
 
 def test_decoding(spark):
     rows = [
-        ("123-0", {"event_id": "case-7", "generation": 12, "source_pts": 34, "type": "x", "event_type": "new-alarm", "detections": [DETECTION]}),
-        ("124-0", {"type": "legacy-alarm"}), ("125-0", {"type": "old", "event_type": None}), ("126-0", "{broken"), ("127-0", {"detections": [{"bbox": [1]}]}),
+        ("m9", {"event_id": "gate-3", "stream_generation": 5, "pts": 81, "type": "shown", "event_type": "chosen", "detections": [DETECTION]}),
+        ("m10", {"type": "only-type", "event_id": ""}), ("m11", {"type": "hidden", "event_type": None}), ("m12", "[1, 2"), ("m13", {"detections": [{"class": "cup", "bbox": [1, 2, 3]}]}),
     ]
     got = {r.ingress_id: r for r in wire.decode_events(messages(spark, rows)).collect()}
-    first = got["123-0"].ctx
-    assert (first.event_id, first.stream_generation, first.source_pts, first.event_type) == ("case-7", 12, 34, "new-alarm")
-    second = got["124-0"].ctx
-    assert (second.event_id, second.event_type, second.stream_generation, second.source_pts, second.source) == ("124-0", "legacy-alarm", None, None, "")
-    assert got["125-0"].ctx.event_type is None
-    assert [got[k].problem for k in ("123-0", "126-0", "127-0")] == [None, "malformed", "invalid"]
+    first, second = got["m9"].ctx, got["m10"].ctx
+    assert (first.event_id, first.stream_generation, first.source_pts, first.event_type) == ("gate-3", 5, 81, "chosen")
+    assert (second.event_id, second.event_type, second.stream_generation, second.source_pts, second.source) == ("m10", "only-type", None, None, "")
+    assert got["m11"].ctx.event_type is None
+    assert [got[k].problem for k in ("m9", "m12", "m13")] == [None, "malformed", "invalid"]
 
 
 def test_payload(spark):
@@ -84,3 +83,49 @@ def test_labels(spark, tmp_path):
     (tmp_path / "labels.txt").write_text("person\n\n# no\n helmet \n")
     got = wire.read_labels(spark, str(tmp_path / "labels.txt")).orderBy("class_id").collect()
     assert [tuple(r) for r in got] == [(0, "person"), (1, "helmet")]
+
+
+def test_settings(tmp_path):
+    from dataclasses import dataclass
+
+    import pytest
+
+    from vigilake.sources.settings import read_settings
+
+    @dataclass
+    class Limits:
+        rate: int = 15
+        name: str = "x"
+        quiet: bool = False
+
+    file = tmp_path / "a.yaml"
+    file.write_text("# limits\nrate: 20  # frames\nquiet: true\n")
+    assert read_settings(Limits(), ["/none", str(file)], "V", {"V_NAME": "y"}) == Limits(20, "y", True)
+    file.write_text("rat: 20")
+    with pytest.raises(ValueError):
+        read_settings(Limits(), [str(file)], "V", {})
+
+
+def test_publish_and_listing(spark, tmp_path):
+    from vigilake.operators.reviews import list_files, refresh_evidence
+    from vigilake.sources.settings import publish
+
+    spark.createDataFrame([("{}",), ("{}",)], "event string").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event string").json(str(tmp_path / "in"))
+    publish(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.bin").write_bytes(b"12345")
+    held = spark.createDataFrame([(str(tmp_path / "e" / n), True, 0, 0.0) for n in ("a.bin", "b.bin")], "path string, available boolean, size bigint, mtime double")
+    got = {r.path[-5:]: (r.available, r.size) for r in refresh_evidence(held, list_files(spark, str(tmp_path / "e"))).collect()}
+    assert got == {"a.bin": (True, 5), "b.bin": (False, None)}
+
+
+def test_windowed_stream(spark, tmp_path):
+    rows = [("c", f"2024-01-01 00:00:{k:02d}", k * 10) for k in range(0, 60, 3)] + [("c", "2024-01-01 01:00:00", 1)]
+    spark.createDataFrame(rows, "source_id string, ts string, total_us bigint").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source_id string, ts timestamp, total_us bigint").json(str(tmp_path / "in"))
+    query = ingest.windowed_stats(stream).writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("windows").orderBy("window_start").collect()
+    assert len(got) == 12 and sum(r.completed for r in got) == 20 and (got[1].p50, got[1].p95) == (60, 90)
