@@ -1,32 +1,12 @@
 """Schemas of the event model, as DDL."""
 
-DETECTION = "struct<class_name:string,class_id:int,confidence:double,x1:double,y1:double,x2:double,y2:double>"
 TRACKED = (
     "struct<class_name:string,class_id:int,confidence:double,x1:double,y1:double,x2:double,y2:double,"
     "track_id:int,track_state:int,occluded:boolean>"
 )
 #: Track states by number.
 TRACK_STATES = ("NEW", "MATCHED", "LOST", "DEAD")
-FRAME = f"source_id string, frame_id bigint, pts_ns bigint, duration_ns bigint, generation bigint, objects array<{TRACKED}>"
 INGRESS = "ingress_id string, event string"
-EVENT = (
-    "event_id string, ingress_id string, source string, timestamp_ms bigint, frame_id bigint, stream_generation bigint, "
-    "source_pts bigint, event_type string, severity string, rule_id string, rule_version string, rule_facts_json string, "
-    "revision int, status string, verdict string, confidence double, result_path string, created_ms bigint"
-)
-DETECTION_ROW = (
-    "event_id string, class_name string, class_id int, confidence double, bbox array<double>, track_id int, "
-    "track_state string, occluded boolean"
-)
-EVIDENCE = (
-    "event_id string, evidence_id string, kind string, path string, mime_type string, available boolean, size bigint, "
-    "mtime double, sha256 string, source_pts_start bigint, source_pts_end bigint, stream_generation bigint"
-)
-REVIEW = (
-    "event_id string, revision int, verdict string, confidence double, evidence_status string, explanation string, "
-    "evidence_ids array<string>, claims array<struct<text:string,evidence_ids:array<string>>>, policy_id string, "
-    "model_id string, parsed_at_ms bigint"
-)
 JOB = (
     "job_id bigint, kind string, entity_id string, entity_revision int, state string, attempts int, lease_owner string, "
     "lease_expires_ms bigint, available_at_ms bigint, last_error string"
