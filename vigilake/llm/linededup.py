@@ -12,6 +12,9 @@ joined, their edit distance is verified on the words, and the earliest stays.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +27,27 @@ SIMILARITY = 0.8
 ENDS = (1, 2, 4, 8, 16)
 
 
+def _split(line: Column) -> Column:
+    """The words of a trimmed line. Most lines have single spaces alone, and a split at these needs no pattern."""
+    runs = [line.contains(x) for x in ("  ", *BLANKS.replace(" ", ""))]
+    return F.when(reduce(or_, runs), F.split(line, SPACE_RUN)).otherwise(F.split(line, " "))
+
+
 def _ends(ws: Column) -> Column:
     """Keys of both ends. Of two lines one edit apart, the shorter has twice the length that its own tier compares, so
     the edit leaves one of the two ends alone; a line whose tier is above that of a line one word shorter emits both."""
     n = F.size(ws)
-    keys = []
-    for k, length in enumerate(ENDS):
-        fits = n >= 2 * length
-        if k + 1 < len(ENDS):
-            fits = fits & (n <= 2 * ENDS[k + 1])
-        for side, part in (("head", F.slice(ws, 1, length)), ("tail", F.slice(ws, -length, length))):
-            keys.append(F.when(fits, F.xxhash64(F.lit(side), F.lit(length), part)))
-    return F.array_compact(F.array(*keys))
+    tier = F.lit(ENDS[0])
+    for length in ENDS[1:]:
+        tier = F.when(n >= 2 * length, length).otherwise(tier)
+
+    def keys(length: Column) -> list[Column]:
+        parts = (("head", F.slice(ws, F.lit(1), length)), ("tail", F.slice(ws, n - length + 1, length)))
+        return [F.xxhash64(F.lit(side), length, part) for side, part in parts]
+
+    # the tiers double, so the one below is half
+    both = F.array(*keys(tier), *keys((tier / 2).cast("int")))
+    return F.when(n.isin([2 * length for length in ENDS[1:]]), both).when(n >= 2 * ENDS[0], F.array(*keys(tier)))
 
 
 def _turned(h: Column, by: Column) -> Column:
@@ -163,7 +175,7 @@ def dedup_lines(
         F.struct(F.col("row").getField(id_col).alias("id"), "k1", "k2").alias("d"), F.posexplode(lines(F.col("text")))
     ).select("d", F.col("pos").alias("line_no"), F.trim("col", F.lit(BLANKS)).alias("line"))
     # split once: a filter on the words would split again
-    occurrences = occurrences.where("line != ''").withColumn("ws", F.split("line", SPACE_RUN)).select(
+    occurrences = occurrences.where("line != ''").withColumn("ws", _split(F.col("line"))).select(
         F.xxhash64(F.col("ws")).alias("h1"),
         F.xxhash64(F.lit("line"), F.col("ws")).alias("h2"),
         F.struct("d.id", "d.k1", "d.k2", "line_no").alias("first"),
@@ -179,7 +191,9 @@ def dedup_lines(
     if edits:
         kept = kept.join(_near_lines(firsts, texts, similarity), ["k1", "k2", "line_no"], "left_anti")
     kept = kept.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("kept"))
-    held = texts.join(kept, ["k1", "k2"], "left")
+    # the row holds the text, so it travels once
+    held = texts.drop("text").join(kept, ["k1", "k2"], "left")
+    held = held.withColumn("text", F.col("row").getField(text_col).cast("string"))
     numbers = F.coalesce("kept", F.array().cast("array<int>"))
 
     def left(ls: Column) -> Column:
