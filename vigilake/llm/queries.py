@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import license as licenses
-from vigilake.llm import decontam, html, linededup, packing, pii, quality, simhash, toxicity, urlfilter
+from vigilake.llm import centroids, decontam, html, linededup, minhash, packing, phrases, pii, quality, simhash, toxicity, urlfilter
 from vigilake.session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,107 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM w, range(1, 4) AS u(k), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+  FROM c, range(1, 3) AS u(cut)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')
+  WHERE cut < c.k),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT c.lang, c.phrase FROM c
+  JOIN (SELECT lang, a, array_to_string(ws[1:2], ' ') AS part FROM c WHERE k = 3
+        UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM c WHERE k = 3) AS t
+    ON t.lang = c.lang AND t.part = c.phrase AND 100 * t.a >= 50 * c.a
+  WHERE c.k = 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM s ANTI JOIN inside USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+# Links by every shingle that two sets share; components by reachability.
+ORACLES["op12_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1)) + 1)) AS u(i)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM shared JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ends AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x),
+low AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents AS d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def _clustering_sql(rounds: int) -> str:
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))"
+
+    def nearest(centroids: str) -> str:
+        rows = f"SELECT vec_id, q, k, c, CAST({distance} AS BIGINT) AS d FROM v, {centroids}"
+        return f"SELECT vec_id, q, unnest(arg_min({{'k': k, 'd': d, 'c': c}}, (d, k))) FROM ({rows}) GROUP BY vec_id, q"
+
+    steps = []
+    for t in range(rounds):
+        steps.append(f"""
+a{t} AS MATERIALIZED ({nearest(f"c{t}")}),
+m{t} AS (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT k, i, sum(q[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) AS u(i) GROUP BY k, i) GROUP BY k),
+c{t + 1} AS MATERIALIZED (SELECT o.k, CAST(coalesce(m.c, o.c) AS BIGINT[]) AS c FROM c{t} AS o LEFT JOIN m{t} AS m USING (k)),""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS c
+  FROM (SELECT q, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT 16)),{"".join(steps)}
+z AS MATERIALIZED ({nearest(f"c{rounds}")})
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM z
+"""
+
+
+ORACLES["op13_centroid_clustering"] = _clustering_sql(3)
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file of the public tokenizers, where they are installed."""
     import public_tokenizers
