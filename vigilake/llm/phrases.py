@@ -1,10 +1,14 @@
 """Phrase collocations: frequent words become numbers, phrases of two or three of them fixed-width keys, and the keys are
-sorted over ranges and counted by run lengths.
+dealt out by ranges, radix-sorted and counted by run lengths.
 
 Texts stay in blocks of about BLOCK_WORDS words in the order they are read. A block's own words are counted in the task
 that reads it; their sums over the corpus make the dictionary of frequent words, and each block gets the part of the
 dictionary that it needs, ahead of its texts. So no task holds more than one block's words, and nothing is broadcast.
 Words that aren't frequent break pieces, as no frequent phrase holds one.
+
+A key is multiplied by an odd number modulo its range, which only permutes the keys: equal ranges of them are then
+equally full, without a sample, however often a phrase occurs. What a task has counted of a range travels as one row,
+the sorted keys as byte planes of their differences, a third of what a row for each key would take.
 """
 
 from __future__ import annotations
@@ -21,9 +25,13 @@ from pyspark.sql import functions as F
 from vigilake.llm.storage import discard, written
 
 #: Words of a block (about), and bytes after which a text is cut at its next break between pieces.
-BLOCK_WORDS, CHUNK_BYTES = 250_000, 1 << 20
+BLOCK_WORDS, CHUNK_BYTES = 1_000_000, 1 << 20
 #: Words whose phrases are sorted and counted at once in a task, before they are shuffled.
 STEP_WORDS = 2_000_000
+#: Keys (about, and at most) that meet in a range, and ranges at least.
+RANGE_KEYS, RANGES = 4_000_000, 64
+#: Odd, so that multiplying by it permutes the keys.
+MIX = 0x9E3779B97F4A7C15
 #: Breaks between pieces become full stops, tabs blanks, and A-Z lower case.
 FOLD = bytes.maketrans(
     b".,;:!?\x0a\x0b\x0c\x0d\x09ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * 10 + b" abcdefghijklmnopqrstuvwxyz"
@@ -110,17 +118,68 @@ def pack(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key, rest, np.concatenate([n[whole], m])
 
 
-def _keys(bits: int):
+def mixed(key: np.ndarray, width: int, back: bool = False) -> np.ndarray:
+    """The key's place among all of `width` bits, by a fixed permutation; or back to the key."""
+    factor = pow(MIX, -1, 1 << width) if back else MIX % (1 << width)
+    return (key.astype(np.uint64) * np.uint64(factor) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def radix_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order that sorts by the non-negative longs `keys`, the last of them first: stable sorts by digits of 16 bits."""
+    order = np.arange(len(keys[0]))
+    for values in keys:
+        for shift in range(0, int(values.max(initial=0)).bit_length(), 16):
+            digit = (values >> shift).astype(np.uint16)
+            order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Non-negative longs as byte planes, the lowest first; the planes above the greatest value's are left out."""
+    many = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T[:many].tobytes()
+
+
+def of_planes(raw: bytes, n: int) -> np.ndarray:
+    whole = np.zeros((8, n), np.uint8)
+    flat = np.frombuffer(raw, np.uint8)
+    if n:
+        whole[: len(flat) // n] = flat.reshape(-1, n)
+    return np.ascontiguousarray(whole.T).view("<i8").ravel().astype(np.int64)
+
+
+def _key_width(bits: int) -> int:
+    return 3 * bits if 3 * bits <= LONG_BITS else 2 * WIDE_BITS
+
+
+KEYS = "part long, many int, keys binary, rests binary, counts binary"
+
+
+def _counted(ids: np.ndarray, bits: int, ranges: int) -> pa.RecordBatch:
+    """The phrases in `ids`, counted, as a row for each range of mixed keys that has any."""
+    key, rest, n = pack(ids, bits)
+    width = _key_width(bits)
+    place = mixed(key, width)
+    order = np.lexsort((rest, place)) if 3 * bits > LONG_BITS else np.argsort(place)
+    place, rest, n = place[order], rest[order], n[order]
+    part = place // (((1 << width) - 1) // ranges + 1)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    rows = [
+        (int(part[a]), b - a, planes(np.diff(place[a:b], prepend=0)), planes(rest[a:b]), planes(n[a:b]))
+        for a, b in zip(cuts, cuts[1:], strict=False)
+    ]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    names = ["part", "many", "keys", "rests", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _keys(bits: int, ranges: int):
     """From a block's dictionary and its texts, in this order, to counted keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids = None, {}
         gathered, held = [], 0
-
-        def counted() -> pa.RecordBatch:
-            keys = pack(np.concatenate(gathered), bits)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in keys], names=["key", "rest", "n"])
-
         for batch in batches:
             columns = (batch.column(name).to_pylist() for name in ("block", "lang", "word", "id", "text"))
             for block, lang, word, number, text in zip(*columns, strict=True):
@@ -134,35 +193,42 @@ def _keys(bits: int):
                 gathered.append(np.zeros(1, np.int64))
                 held += len(ws) + 1
                 if held >= STEP_WORDS:
-                    yield counted()
+                    yield _counted(np.concatenate(gathered), bits, ranges)
                     gathered, held = [], 0
         if gathered:
-            yield counted()
+            yield _counted(np.concatenate(gathered), bits, ranges)
 
     return run
 
 
-def _run_lengths(min_count: int):
-    """From sorted (key, rest, n) to one row a key, where its n add up to `min_count` or more."""
+def _run_lengths(bits: int, min_count: int):
+    """From the rows of a range, next to one another, to one row a key of `min_count` or more."""
+
+    def frequent(rows: list[tuple]) -> pa.RecordBatch:
+        place = np.concatenate([np.cumsum(of_planes(keys, many)) for many, keys, _, _ in rows])
+        rest, n = (np.concatenate([of_planes(row[k], row[0]) for row in rows]) for k in (2, 3))
+        order = radix_order([rest, place])
+        place, rest, n = place[order], rest[order], n[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (rest[1:] != rest[:-1])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        first, total = first[total >= min_count], total[total >= min_count]
+        columns = [mixed(place[first], _key_width(bits), back=True), rest[first], total]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "rest", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((3, 0), np.int64)  # the run that the next batch may go on with
+        at, held = None, []
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            rows = np.concatenate([last, rows], axis=1)
-            if not rows.shape[1]:
-                continue
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-            first = np.flatnonzero(new)
-            runs = np.stack([rows[0, first], rows[1, first], np.add.reduceat(rows[2], first)])
-            last = runs[:, -1:]
-            yield frequent(runs[:, :-1])
-        yield frequent(last)
-
-    def frequent(runs: np.ndarray) -> pa.RecordBatch:
-        runs = runs[:, runs[2] >= min_count]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in runs], names=["key", "rest", "a"])
+            columns = (batch.column(name).to_pylist() for name in ("part", "many", "keys", "rests", "counts"))
+            for part, *row in zip(*columns, strict=True):
+                if part != at and held:
+                    yield frequent(held)
+                    held = []
+                at = part
+                held.append(tuple(row))
+        if held:
+            yield frequent(held)
 
     return run
 
@@ -267,20 +333,19 @@ def collocations(
     if bits > WIDE_BITS:
         raise ValueError(f"a dictionary of over 2^{WIDE_BITS} frequent words has no ids")
 
+    totals = written(requests.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    ranges = max(RANGES, -(-2 * (totals.agg(F.sum("n")).first()[0] or 0) // RANGE_KEYS))  # two phrases begin at a word
+
     known = requests.join(words, ["lang", "word"]).select("block", "lang", "word", "id", F.lit(None).cast("binary").alias("text"))
     dealt = known.unionByName(
         blocks.where("text IS NOT NULL").select("block", "lang", "text"), allowMissingColumns=True
     )
     dealt = dealt.withColumn("later", F.col("text").isNotNull()).repartition("block").sortWithinPartitions("block", "later")
-    keys = written(dealt.mapInArrow(_keys(bits), "key long, rest long, n long"), "keys")
-    key = ["key"] if 3 * bits <= LONG_BITS else ["key", "rest"]
-    counted = keys.repartitionByRange(*key).sortWithinPartitions(*key)
-    grams = written(counted.mapInArrow(_run_lengths(min_count), "key long, rest long, a long"), "grams")
-    discard(keys)
+    keys = dealt.mapInArrow(_keys(bits, ranges), KEYS).repartition("part").sortWithinPartitions("part")
+    grams = written(keys.mapInArrow(_run_lengths(bits, min_count), "key long, rest long, a long"), "grams")
 
     spelled = words.withColumn("word", F.col("word").cast("string"))
     found = written(_phrases(grams, spelled, bits, inside_percent), "phrases")
-    totals = written(requests.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     rows = _ranked(found, top)
     for done in (found, grams, words, blocks):
         discard(done)
