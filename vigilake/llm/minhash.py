@@ -6,7 +6,7 @@ of their minima and one of their maxima, so two sets of Jaccard similarity s mee
 
 Equal sets are one set throughout. Sets that share bands are first compared with one other each, the most alike of the
 bands' leads; what that joins needs no more pairs. In the bands that still hold sets of different components, blocks of
-sets are compared by their values inside tasks, and only pairs that may reach the similarity leave them.
+sets are compared inside tasks, and only links that join two components leave them, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -107,13 +107,19 @@ def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float, percent: int
     return pairs.where(F.col("agree") >= least_agreeing(threshold))
 
 
+def _texts_of(sids: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, text) of the sets' first documents."""
+    needed = sids.join(sets.select("sid", "id", "th"), "sid").select("sid", F.col("id").alias("of"), F.col("th").alias("of_th"))
+    needed = written(needed, "needed")
+    rows = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    found = texts.join(rows, (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
+    return found.select("sid", "text").dropDuplicates(["sid"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets have the similarity, as a written table."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    needed = written(needed.join(sets.select("sid", "id", "th"), "sid").select("sid", F.col("id").alias("of"), F.col("th").alias("of_th")), "needed")
-    rows = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    held = texts.join(rows, (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
-    held = written(held.select("sid", "text").dropDuplicates(["sid"]), "held")
+    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    held = written(_texts_of(sids, sets, texts), "held")
     both = pairs.join(held.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(held.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -132,7 +138,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, p
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"), "links")
-    discard(needed)
     discard(held)
     return links
 
@@ -156,74 +161,98 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, bases: DataFrame) -> DataFrame:
-    """The pairs whose ends have different roots."""
-    for end in ("a", "b"):
-        pairs = pairs.join(bases.select(F.col("sid").alias(end), F.col("root").alias(f"root_{end}")), end)
-    return pairs.where("root_a <> root_b").drop("root_a", "root_b")
+GROUP_KEY = ["band", "part_a", "part_b"]
 
 
-GROUP_KEY = ["band", "part_a", "part_b"]
+def joining_links(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
+    """Links (a, b) between sets of one group, of two parts or one, that join its roots as far as the similarity does.
+
+    Pairs are of fitting sizes, share no earlier band and agree in `least` values or more; their intersection is counted
+    on the hashes' lower halves.
+    """
+    sid, root, n, own = (rows[c].to_numpy() for c in ("sid", "root", "n", "own"))
+    part_a, part_b, place = (int(rows[c].iloc[0]) for c in ("part_a", "part_b", "place"))
+    short = np.frombuffer(b"".join(rows["short"]), "<u2").reshape(-1, VALUES)
+    bands = np.frombuffer(b"".join(rows["bands"]), "<u4").reshape(-1, BANDS)[:, :place]
+    ids = np.unique(np.frombuffer(b"".join(rows["halves"]), "<u4"), return_inverse=True)[1]
+    ends = np.concatenate([[0], np.cumsum([len(h) // 4 for h in rows["halves"]])])
+    marked = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    parent = np.unique(root, return_inverse=True)[1]  # of each row, the set that its root is in so far
+    in_a, in_b = np.flatnonzero(own == part_a), np.flatnonzero(own == part_b)
+    links = []
+    for x in in_a:
+        y = in_b[in_b > x] if part_a == part_b else in_b
+        y = y[(parent[y] != parent[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        if len(y):
+            y = y[~(bands[y] == bands[x]).any(axis=1)]
+        if len(y):
+            y = y[(short[y] == short[x]).sum(axis=1) >= least]
+        if not len(y):
+            continue
+        mine = ids[ends[x] : ends[x + 1]]
+        marked[mine] = True
+        both = np.array([np.count_nonzero(marked[ids[ends[k] : ends[k + 1]]]) for k in y])
+        marked[mine] = False
+        for k in y[100 * both >= percent * (n[x] + n[y] - both)]:
+            if parent[k] != parent[x]:
+                parent[parent == parent[k]] = parent[x]
+                links.append((int(min(sid[x], sid[k])), int(max(sid[x], sid[k]))))
+    return links
 
 
-def _close_pairs(threshold: float, percent: int):
-    """From rows sorted by GROUP_KEY to the pairs of a group that are of different roots, of fitting sizes, agree in
-    enough values and share no earlier band."""
-    least = least_agreeing(threshold)
-
-    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
-        sid, root, n, own = (rows[c].to_numpy() for c in ("sid", "root", "n", "own"))
-        part_a, part_b, place = (int(rows[c].iloc[0]) for c in ("part_a", "part_b", "place"))
-        short = np.frombuffer(b"".join(rows["short"]), "<u2").reshape(-1, VALUES)
-        bands = np.stack(rows["bands"].to_list())
-        in_a, in_b = np.flatnonzero(own == part_a), np.flatnonzero(own == part_b)
-        out = []
-        for at in range(0, len(in_a), 256):
-            i = in_a[at : at + 256]
-            agree = np.zeros((len(i), len(in_b)), np.int32)
-            for v in range(VALUES):
-                agree += short[i, v][:, None] == short[in_b, v]
-            x, y = np.nonzero((agree >= least) & (root[i][:, None] != root[in_b]))
-            found = agree[x, y]
-            x, y = i[x], in_b[y]
-            fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            fits &= ~(bands[x, :place] == bands[y, :place]).any(axis=1)
-            out.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), found])[:, fits])
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1], "agree": pairs[2].astype("int32")})
+def _joining(percent: int, least: int):
+    """`joining_links` of the groups in rows sorted by GROUP_KEY."""
+
+    def of_group(held: list[pd.DataFrame]) -> pd.DataFrame:
+        links = joining_links(pd.concat(held, ignore_index=True), percent, least)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for rows in batches:
             if not len(rows):
                 continue
-            new = (rows[GROUP_KEY].to_numpy()[1:] != rows[GROUP_KEY].to_numpy()[:-1]).any(axis=1)
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows)]
+            keys = rows[GROUP_KEY].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                part = rows.iloc[lo:hi]
-                if held and (held[-1][GROUP_KEY].iloc[-1] != part[GROUP_KEY].iloc[0]).any():
-                    yield of_group(pd.concat(held, ignore_index=True))
+                if held and (held[-1][GROUP_KEY].iloc[-1] != rows[GROUP_KEY].iloc[lo]).any():
+                    yield of_group(held)
                     held = []
-                held.append(part)
+                held.append(rows.iloc[lo:hi])
         if held:
-            yield of_group(pd.concat(held, ignore_index=True))
+            yield of_group(held)
 
     return run
 
 
-def _remaining(met: DataFrame, bases: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Pairs (a, b, agree) that may have the similarity, of sets that share a band and have different roots."""
+def _remaining(met: DataFrame, bases: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart, of sets that share a band, as a written table."""
     placed = met.select("band", "place", "sid").join(bases, "sid")
     of_band = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"))
     parts = F.ceil(F.col("many") / F.lit(GROUP_SETS)).cast("int")
     of_band = of_band.where("lo <> hi").select("band", parts.alias("parts"))
-    dealt = placed.join(of_band, "band").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    mixed = written(placed.join(of_band, "band"), "mixed")
+
+    @F.pandas_udf("binary")
+    def halves(column: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(simhash.shingle_hashes(t, size)).astype("<u4").tobytes() for t in column], dtype=object)
+
+    @F.pandas_udf("binary")
+    def narrow(bands: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(b, np.int64).astype("<u4").tobytes() for b in bands], dtype=object)
+
+    held = _texts_of(mixed.select("sid").distinct(), sets, texts)
+    held = held.select("sid", halves("text").alias("halves")).join(sets.select("sid", "n", "short", narrow("bands").alias("bands")), "sid")
+    held = written(held, "halves")
+    dealt = mixed.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("part_a", F.least("own", "other")).withColumn("part_b", F.greatest("own", "other"))
-    dealt = dealt.join(sets.select("sid", "n", "bands", "short"), "sid")
-    dealt = dealt.select(*GROUP_KEY, "place", "own", "sid", "root", "n", "bands", "short")
+    dealt = dealt.join(held, "sid").select(*GROUP_KEY, "place", "own", "sid", "root", "n", "bands", "short", "halves")
     dealt = dealt.repartition(*GROUP_KEY).sortWithinPartitions(*GROUP_KEY)
-    return dealt.mapInPandas(_close_pairs(threshold, percent), "a long, b long, agree int").distinct()
+    found = written(dealt.mapInPandas(_joining(percent, least_agreeing(percent / 100)), "a long, b long").distinct(), "joining")
+    discard(mixed)
+    discard(held)
+    return found
 
 
 def near_duplicates(
@@ -261,18 +290,13 @@ def near_duplicates(
     bases = written(sets.select("sid", F.col("sid").alias("root")), "bases")
     first = written(_best(led), "first")
     bases = _joined(bases, _confirmed(first, sets, texts, size, percent))
-    # the pairs of the first round that are still apart have been compared
-    others = written(_remaining(met, bases, sets, threshold, percent).join(first, ["a", "b"], "left_anti"), "others")
-    best = written(_best(others), "best")
-    bases = _joined(bases, _confirmed(best, sets, texts, size, percent))
-    rest = _apart(others.join(best, ["a", "b"], "left_anti"), bases)
-    rest = written(rest.select("a", "b"), "rest")
-    bases = _joined(bases, _confirmed(rest, sets, texts, size, percent))
+    others = _remaining(met, bases, sets, texts, size, percent)
+    bases = _joined(bases, _confirmed(others, sets, texts, size, percent))
 
     member = sets.select("key", "sid", "lowest").join(bases, "sid")
     lowest = member.groupBy("root").agg(F.min("lowest").alias("component"))
     member = written(member.join(lowest, "root").select("key", "component"), "member")
-    for done in (met, led, first, others, best, rest, bases, sets):
+    for done in (met, led, first, others, bases, sets):
         discard(done)
     ident, component = F.col("id"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     found = prints.select("id", "n", "key").join(member, "key", "left")
