@@ -8,6 +8,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,6 +36,24 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable,
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def folded_arrow(rows: DataFrame, keys: list[str], order: list[str], start: Callable, advance: Callable, schema: StructType | str) -> DataFrame:
+    """`folded`, with a part of a key's rows as an Arrow batch to `advance` and from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != now:
+                    now, state = names[a], start()
+                yield advance(state, batch.slice(a, b - a))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def sliced(rows: DataFrame, at: str, width: int) -> DataFrame:
     """Rows with `_slice`, the number of the slice of `width` that `at` lies in."""
     return rows.withColumn("_slice", F.floor(F.col(at) / F.lit(width)).cast("long"))

@@ -12,6 +12,8 @@ from vigilake.operators.timeline import asof_within
 
 PROCESS_NOISE = MEASUREMENT_NOISE = 1e-4
 AXES = ("cx", "cy", "w", "h")
+#: The time of a frame that there is none before.
+NEVER = -(2**63)
 #: Horizons in a slice of a source's frames, in which the frame before each is looked up.
 SLICES = 256
 
@@ -38,13 +40,15 @@ def observations(frames: DataFrame, horizon_ns: int) -> DataFrame:
     box = {"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}
     columns = ["source_id", "generation", "track_id", "pts_ns", "class_name", "class_id", *[v.cast("double").alias(k) for k, v in box.items()]]
     states = ", ".join(f"{axis}_p double, {axis}_v double" for axis in AXES)
-    kinds = ", ".join(f"{n} {t}" for n, t in tracked.select(*columns, F.col("_before").cast("long").alias("_before")).dtypes)
+    # no null, as one among pandas' integers would make doubles of them all
+    tracked = tracked.select(*columns, F.coalesce(F.col("_before").cast("long"), F.lit(NEVER)).alias("_before"))
+    kinds = ", ".join(f"{n} {t}" for n, t in tracked.dtypes)
     followed = folded(
-        tracked.select(*columns, F.col("_before").cast("long").alias("_before")),
+        tracked,
         ["source_id", "generation", "track_id"],
         ["pts_ns"],
-        lambda: _Run(horizon_ns),
-        _Run.rows,
+        lambda: Run(horizon_ns),
+        Run.rows,
         f"{kinds}, seen int, {states}",
     ).drop("_before")
     alone = rows.where("track_id < 0").select(*columns, F.lit(1).alias("seen"))
@@ -52,13 +56,26 @@ def observations(frames: DataFrame, horizon_ns: int) -> DataFrame:
     return followed.unionByName(alone)
 
 
-class _Run:
+class Run:
     """The filters of one track's axes in its present run: place, speed and their covariance (a, b; b, d)."""
 
     def __init__(self, horizon_ns: int):
         self.horizon, self.at, self.named, self.seen = horizon_ns, None, None, 0
 
-    def _add(self, at: int, before, named: tuple, measured: np.ndarray) -> None:
+    def state(self) -> dict:
+        """What the next observation needs, as plain values."""
+        return {"at": self.at, "named": self.named, "seen": self.seen, "p": self.p.tolist(), "v": self.v.tolist(), "a": self.a, "b": self.b, "d": self.d}
+
+    @classmethod
+    def of_state(cls, horizon_ns: int, state: dict | None) -> Run:
+        run = cls(horizon_ns)
+        if state is not None:
+            run.at, run.named, run.seen = state["at"], tuple(state["named"]), state["seen"]
+            run.p, run.v = np.array(state["p"]), np.array(state["v"])
+            run.a, run.b, run.d = state["a"], state["b"], state["d"]
+        return run
+
+    def add(self, at: int, before, named: tuple, measured: np.ndarray) -> None:
         goes_on = self.at is not None and before == self.at and at - self.at <= self.horizon and named == self.named
         if not goes_on:
             self.p, self.v, self.seen = measured.copy(), np.zeros(len(AXES)), 0
@@ -75,10 +92,10 @@ class _Run:
 
     def rows(self, part: pd.DataFrame) -> pd.DataFrame:
         measured = part[list(AXES)].to_numpy(np.float64)
-        befores = [None if pd.isna(x) else int(x) for x in part["_before"]]
+        befores = part["_before"].tolist()
         seen, p, v = [], [], []
         for k, (at, name, ident) in enumerate(zip(part["pts_ns"].tolist(), part["class_name"], part["class_id"], strict=True)):
-            self._add(at, befores[k], (name, ident), measured[k])
+            self.add(at, befores[k], (name, ident), measured[k])
             seen.append(self.seen)
             p.append(self.p)
             v.append(self.v)

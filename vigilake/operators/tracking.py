@@ -4,14 +4,15 @@ track, and the tracks' lifecycle, as a fold over the frames of a source and gene
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.operators.detect import iou
-from vigilake.operators.folds import float32, folded
+from vigilake.operators.folds import float32, folded_arrow
 
 #: A filter's standard deviations as shares of a box: of its place, of its speed.
 PLACE, SPEED = 1 / 20, 1 / 160
@@ -133,16 +134,21 @@ def corrected(tracks: Tracks, boxes: np.ndarray) -> Tracks:
     seen = centred(boxes)
     noise = _spread(tracks.mean, PLACE, SPEED)[:, :4, None] * np.eye(4, dtype=np.float32)
     inner = tracks.cov[:, :4, :4] + noise
-    mean, cov = tracks.mean.copy(), tracks.cov.copy()
-    for k in range(len(tracks)):
-        try:
-            gain = np.linalg.solve(inner[k].T, tracks.cov[k, :, :4].T).T
-        except np.linalg.LinAlgError:
-            mean[k, :4] = seen[k]
-            continue
-        mean[k] += gain @ (seen[k] - tracks.mean[k, :4])
-        cov[k] -= gain @ tracks.cov[k, :4, :]
-    return Tracks(float32(mean), float32(cov), tracks.known)
+    try:
+        gain = np.linalg.solve(inner.transpose(0, 2, 1), tracks.cov[:, :, :4].transpose(0, 2, 1)).transpose(0, 2, 1)
+    except np.linalg.LinAlgError:  # one of them can't be: each by itself
+        return _one_by_one(tracks, boxes)
+    mean = tracks.mean + (gain @ (seen - tracks.mean[:, :4])[:, :, None])[:, :, 0]
+    return Tracks(float32(mean), float32(tracks.cov - gain @ tracks.cov[:, :4, :]), tracks.known)
+
+
+def _one_by_one(tracks: Tracks, boxes: np.ndarray) -> Tracks:
+    if len(tracks) > 1:
+        parts = [corrected(tracks.take([k]), boxes[[k]]) for k in range(len(tracks))]
+        return reduce(Tracks.plus, parts)
+    mean = tracks.mean.copy()
+    mean[:, :4] = centred(boxes)
+    return Tracks(mean, tracks.cov, tracks.known)
 
 
 def warped(tracks: Tracks, warp: np.ndarray | None) -> Tracks:
@@ -172,11 +178,23 @@ def overlap_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs (row, column) of the least total cost, where a row and a column that stay alone cost half of `limit` each.
 
-    Shortest augmenting paths with potentials; a row may take a column of its own, at what it costs to stay alone.
+    Rows and columns that are each other's only candidate are a pair, and those without a candidate stay alone. The rest
+    goes to `_least_total`.
     """
+    open_pairs = cost <= limit
+    in_row, in_column = open_pairs.sum(axis=1), open_pairs.sum(axis=0)
+    rows, columns = np.nonzero(open_pairs)
+    only = (in_row[rows] == 1) & (in_column[columns] == 1)
+    pairs = list(zip(rows[only].tolist(), columns[only].tolist(), strict=True))
+    if not only.all():
+        rows, columns = np.unique(rows[~only]), np.unique(columns[~only])
+        pairs += [(int(rows[r]), int(columns[c])) for r, c in _least_total(cost[np.ix_(rows, columns)], limit)]
+    return sorted(pairs)
+
+
+def _least_total(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Shortest augmenting paths with potentials; a row may take a column of its own, at what it costs to stay alone."""
     n, m = cost.shape
-    if not n or not m:
-        return []
     alone = np.full((n, n), np.inf)
     np.fill_diagonal(alone, 0.0)
     cost = np.hstack([cost.astype(np.float64) - limit, alone])
@@ -240,6 +258,7 @@ class Tracker:
         tracked, lost = warped(predicted(self.tracked), warp), warped(predicted(still), warp)
         fresh = warped(self.fresh, warp)
         after, matched = Tracks(), {}
+        measured = []  # the boxes that the tracks in `after` were matched with
 
         def round_of(pool: Tracks, places: np.ndarray, limit: float, fuse: bool) -> np.ndarray:
             """Match tracks with detections; the tracks that found one."""
@@ -249,6 +268,7 @@ class Tracker:
             hit = pool.take(rows)
             hit.known = np.column_stack([hit.known[:, 0], classes[found], hit.known[:, 2], np.full(len(rows), self.frame)]).astype(np.int64)
             after = after.plus(corrected(hit, boxes[found]))
+            measured.append(boxes[found])
             for k, place in enumerate(found):
                 ids[place], states[place] = hit.known[k, 0], MATCHED
                 matched[place] = True
@@ -279,9 +299,10 @@ class Tracker:
         born = begun(boxes[opens], known)
         if self.frame == 1:
             after, born = after.plus(born), Tracks()
+            measured.append(boxes[opens])
 
-        # of a tracked and a lost track in one place the longer-lived stays
-        same = overlap_cost(after.boxes(), now_lost.boxes()) < DUPLICATE
+        # of a tracked track, where it was measured, and a lost one in the same place the longer-lived stays
+        same = overlap_cost(np.concatenate(measured), now_lost.boxes()) < DUPLICATE
         ages = [t.known[:, 3] - t.known[:, 2] for t in (after, now_lost)]
         older = ages[0][:, None] > ages[1][None, :]
         self.tracked = after.take(np.flatnonzero(~(same & ~older).any(axis=1)))
@@ -291,34 +312,68 @@ class Tracker:
         return ids, states, (ids >= 0) & (scores < np.float32(s.occluded_below)), counters
 
 
+    def state(self) -> dict:
+        """What the next frame needs, as plain values: counters, and the tracks' numbers as bytes."""
+        pools = (self.tracked, self.lost, self.fresh)
+        stacked = reduce(Tracks.plus, pools)
+        raw = {name: getattr(stacked, name).tobytes() for name in ("mean", "cov", "known")}
+        return {"frame": self.frame, "next_id": self.next_id, "many": [len(p) for p in pools], **raw}
+
+    @classmethod
+    def of_state(cls, settings: Settings, state: dict) -> Tracker:
+        made = cls(settings)
+        made.frame, made.next_id = state["frame"], state["next_id"]
+        shapes = {"mean": (np.float32, (-1, 8)), "cov": (np.float32, (-1, 8, 8)), "known": (np.int64, (-1, 4))}
+        stacked = Tracks(*[np.frombuffer(bytes(state[k]), kind).reshape(shape) for k, (kind, shape) in shapes.items()])
+        ends = np.cumsum([0, *state["many"]])
+        made.tracked, made.lost, made.fresh = (stacked.take(slice(a, b)) for a, b in zip(ends, ends[1:], strict=False))
+        return made
+
+
+#: What the operator takes of a frame, and what it gives for each.
+FRAME = ("source_id", "generation", "pts_ns", "width", "height", "detections", "warp")
 _OBJECT = "struct<class_id:int,confidence:double,x1:double,y1:double,x2:double,y2:double,track_id:int,track_state:int,occluded:boolean>"
-_SCHEMA = f"source_id string, generation bigint, pts_ns bigint, objects array<{_OBJECT}>, " + ", ".join(f"{c} bigint" for c in STATS)
+SCHEMA = f"source_id string, generation bigint, pts_ns bigint, objects array<{_OBJECT}>, " + ", ".join(f"{c} bigint" for c in STATS)
+_KEPT = ("class_id", "confidence", "x1", "y1", "x2", "y2")
+_MADE = {"track_id": pa.int32(), "track_state": pa.int32(), "occluded": pa.bool_()}
 
 
-class _Frames:
+class Frames:
     """A key's tracker, begun anew where the source's size changes."""
 
-    def __init__(self, settings: Settings):
-        self.settings, self.shape, self.tracker = settings, None, None
-
-    def rows(self, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in part.itertuples(index=False):
-            shape = (r.width, r.height)
-            if shape != self.shape:
-                self.shape, self.tracker = shape, Tracker(self.settings)
-            found = [] if r.detections is None else list(r.detections)
-            scale = np.array([r.width, r.height, r.width, r.height], np.float32)
-            boxes = np.array([[d["x1"], d["y1"], d["x2"], d["y2"]] for d in found], np.float32).reshape(-1, 4) * scale
-            ids, states, occluded, counters = self.tracker.update(
-                boxes, [d["confidence"] for d in found], [d["class_id"] for d in found], r.warp if r.warp is not None and len(r.warp) == 6 else None
+    def __init__(self, settings: Settings, shape=None, tracker: Tracker | None = None):
+        self.settings, self.shape, self.tracker = settings, shape, tracker
+
+    def rows(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """SCHEMA's columns for rows of FRAME's columns, in order of time; a frame without detections has none."""
+        detections = part.column("detections")
+        sizes = np.asarray(detections.value_lengths().fill_null(0), np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = detections.drop_null().flatten()
+        kept = {c: flat.field(flat.type.get_field_index(c)) for c in _KEPT}
+        numbers = {c: v.to_numpy(zero_copy_only=False) for c, v in kept.items()}
+        boxes = np.column_stack([float32(numbers[c]) for c in ("x1", "y1", "x2", "y2")])
+        wide, high = (part.column(c).to_pylist() for c in ("width", "height"))
+        made, counters = [], []
+        for k, warp in enumerate(part.column("warp").to_pylist()):
+            if (wide[k], high[k]) != self.shape:
+                self.shape, self.tracker = (wide[k], high[k]), Tracker(self.settings)
+            own = slice(ends[k], ends[k + 1])
+            scale = float32([wide[k], high[k], wide[k], high[k]])
+            found = self.tracker.update(
+                boxes[own] * scale, numbers["confidence"][own], numbers["class_id"][own], warp if warp is not None and len(warp) == 6 else None
             )
-            objects = [
-                {**{c: d[c] for c in ("class_id", "confidence", "x1", "y1", "x2", "y2")}, "track_id": int(i), "track_state": int(s), "occluded": bool(o)}
-                for d, i, s, o in zip(found, ids, states, occluded, strict=True)
-            ]
-            out.append((r.source_id, r.generation, r.pts_ns, objects, *counters))
-        return pd.DataFrame(out, columns=["source_id", "generation", "pts_ns", "objects", *STATS])
+            made.append(found[:3])
+            counters.append(found[3])
+        columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+        kinds = {"class_id": pa.int32()}
+        values = [kept[c].cast(kinds.get(c, pa.float64())) for c in _KEPT]
+        values += [pa.array(c).cast(kind) for c, kind in zip(columns, _MADE.values(), strict=True)]
+        objects = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, [*_KEPT, *_MADE]))
+        stats = np.asarray(counters, np.int64).T
+        return pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in FRAME[:3]], objects, *[pa.array(c) for c in stats]], names=[*FRAME[:3], "objects", *STATS]
+        )
 
 
 def track(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -328,8 +383,8 @@ def track(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Detections without a track have id -1. A source's frames of one generation are one fold, in order of time, whose
     state is its living tracks; another size of the frame begins it anew. Ids run from 1 in each.
     """
-    columns = ("source_id", "generation", "pts_ns", "width", "height", "detections", "warp")
-    return folded(frames.select(*columns), ["source_id", "generation"], ["pts_ns"], lambda: _Frames(settings), _Frames.rows, _SCHEMA)
+    rows = frames.select(*FRAME).withColumn("generation", F.col("generation").cast("long"))
+    return folded_arrow(rows, ["source_id", "generation"], ["pts_ns"], lambda: Frames(settings), Frames.rows, SCHEMA)
 
 
 def tracker_totals(tracked: DataFrame, keys: list[str]) -> DataFrame:
