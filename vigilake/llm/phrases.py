@@ -27,9 +27,11 @@ from vigilake.llm.storage import discard, written
 #: Words of a block (about), and bytes after which a text is cut at its next break between pieces.
 BLOCK_WORDS, CHUNK_BYTES = 1_000_000, 1 << 20
 #: Words whose phrases are sorted and counted at once in a task, before they are shuffled.
-STEP_WORDS = 2_000_000
+STEP_WORDS = 1_000_000
 #: Keys (about, and at most) that meet in a range, and ranges at least.
-RANGE_KEYS, RANGES = 4_000_000, 64
+RANGE_KEYS, RANGES = 2_000_000, 64
+#: Texts that are Python values at once.
+STEP_TEXTS = 256
 #: Odd, so that multiplying by it permutes the keys.
 MIX = 0x9E3779B97F4A7C15
 #: Breaks between pieces become full stops, tabs blanks, and A-Z lower case.
@@ -45,6 +47,12 @@ def words_and_breaks(folded: bytes) -> list[bytes]:
     return folded.replace(BREAK, b" . ").split()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_TEXTS):
+            yield batch.slice(at, STEP_TEXTS)
+
+
 def chunks(folded: bytes) -> Iterator[bytes]:
     """A folded text, cut between pieces where it is long; no phrase crosses a cut."""
     at = 0
@@ -72,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([block] * n, [lang] * n, list(words), list(words.values()), [None] * n)
         counts.clear()
 
-    for batch in batches:
+    for batch in _slices(batches):
         blocks, langs, texts = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for part in chunks(text.translate(FOLD)):
@@ -160,6 +168,7 @@ def _counted(ids: np.ndarray, bits: int, ranges: int) -> pa.RecordBatch:
     key, rest, n = pack(ids, bits)
     width = _key_width(bits)
     place = mixed(key, width)
+    del key
     order = np.lexsort((rest, place)) if 3 * bits > LONG_BITS else np.argsort(place)
     place, rest, n = place[order], rest[order], n[order]
     part = place // (((1 << width) - 1) // ranges + 1)
@@ -180,7 +189,7 @@ def _keys(bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids = None, {}
         gathered, held = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             columns = (batch.column(name).to_pylist() for name in ("block", "lang", "word", "id", "text"))
             for block, lang, word, number, text in zip(*columns, strict=True):
                 if block != at:
