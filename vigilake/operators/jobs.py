@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,63 @@ def fail(jobs: DataFrame, job_id: int, owner: str, attempt: int, now_ms: int, de
     )
 
 
+def claim_many(jobs: DataFrame, requests: DataFrame, kind: str, now_ms: int, lease_ms: int) -> DataFrame:
+    """The jobs that change as all `requests` (owner, and any column `asked` that orders them) claim one job each: the
+    claimable job of the k-th lowest id goes to the k-th request, by `asked` and owner. Claimable jobs are due as in
+    `claimable`. An owner that asks twice gets two. There are as many rows in the ranking as there are requests or fewer,
+    so it is one task over workers, not over jobs."""
+    asked = requests.select("owner", F.col("asked").cast("long").alias("asked"))
+    order = Window.orderBy("asked", "owner")
+    asked = asked.withColumn("_k", F.row_number().over(order))
+    many = asked.count()
+    free = jobs.where((F.col("kind") == kind) & claimable(now_ms)).orderBy("job_id").limit(many)
+    free = free.withColumn("_k", F.row_number().over(Window.orderBy("job_id")))
+    taken = free.join(asked, "_k")
+    values = {"state": F.lit("processing"), "attempts": F.col("attempts") + 1, "lease_owner": F.col("owner"), "lease_expires_ms": F.lit(now_ms + lease_ms)}
+    return taken.withColumns({k: v.cast(jobs.schema[k].dataType) for k, v in values.items()}).select(jobs.columns)
+
+
+def _held(jobs: DataFrame, requests: DataFrame, now_ms: int, *more: str) -> DataFrame:
+    """Each job that a request (job_id, owner, attempt) names under its own running lease, once, with the request's
+    other columns; of requests alike the least counts. Requests of others fall away: their lease is lost."""
+    asked = requests.groupBy(F.col("job_id").alias("_id"), F.col("owner").alias("_owner"), F.col("attempt").alias("_attempt")).agg(
+        F.min(F.struct(F.lit(0).alias("_zero"), *more)).alias("_more")
+    )
+    mine = (F.col("job_id") == F.col("_id")) & (F.col("lease_owner") == F.col("_owner")) & (F.col("attempts") == F.col("_attempt"))
+    return jobs.where((F.col("state") == "processing") & (F.col("lease_expires_ms") > now_ms)).join(asked, mine)
+
+
+def _changed(held: DataFrame, jobs: DataFrame, **values: Column) -> DataFrame:
+    return held.withColumns({k: v.cast(jobs.schema[k].dataType) for k, v in values.items()}).select(jobs.columns)
+
+
+def renew_many(jobs: DataFrame, requests: DataFrame, now_ms: int, lease_ms: int) -> DataFrame:
+    """The jobs that change as `requests` (job_id, owner, attempt) renew their leases."""
+    return _changed(_held(jobs, requests, now_ms), jobs, lease_expires_ms=F.lit(now_ms + lease_ms))
+
+
+def complete_many(jobs: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
+    """The jobs that change as `requests` (job_id, owner, attempt) finish."""
+    return _changed(_held(jobs, requests, now_ms), jobs, state=F.lit("completed"), lease_owner=F.lit(None), lease_expires_ms=F.lit(None))
+
+
+def fail_many(jobs: DataFrame, requests: DataFrame, now_ms: int, delay_ms: int, max_retries: int) -> DataFrame:
+    """The jobs that change as `requests` (job_id, owner, attempt, error) fail: dead once the attempts reach the most
+    allowed, else pending again after the delay. Of several errors of one attempt the least is kept."""
+    state = F.when(F.col("attempts") >= max_retries, "dead").otherwise("pending")
+    return _changed(
+        _held(jobs, requests, now_ms, "error"), jobs, state=state, available_at_ms=F.lit(now_ms + delay_ms), last_error=F.col("_more.error"),
+        lease_owner=F.lit(None), lease_expires_ms=F.lit(None),
+    )
+
+
+def lost_leases(jobs: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
+    """The requests (job_id, owner, attempt) that `_many` transitions leave out."""
+    running = jobs.where((F.col("state") == "processing") & (F.col("lease_expires_ms") > now_ms))
+    running = running.select("job_id", F.col("lease_owner").alias("owner"), F.col("attempts").alias("attempt"))
+    return requests.join(running, ["job_id", "owner", "attempt"], "left_anti")
+
+
 def over_limit(jobs: DataFrame, max_retries: int) -> DataFrame:
     """Claimed jobs with more attempts than allowed become dead."""
     return _set(jobs, (F.col("state") == "processing") & (F.col("attempts") > max_retries), state=F.lit("dead"))

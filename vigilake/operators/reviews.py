@@ -54,6 +54,30 @@ def judge_results(results: DataFrame, jobs: DataFrame, events: DataFrame, eviden
     return rows.withColumn("refused", F.when(late, "lease").otherwise(F.col("refused"))).select(*results.columns, "refused")
 
 
+def review_changes(results: DataFrame, jobs: DataFrame, events: DataFrame, evidence: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """The rows that all results that count change: `reviews` (new ones, of the event's next revision), `events` and
+    `jobs` as they are after, `waiting` (an index job for each new revision) and `refused`, the other results."""
+    judged = judge_results(results, jobs, events, evidence, now_ms)
+    good = judged.where("refused IS NULL")
+    new = good.withColumn("revision", (F.col("revision") + 1).cast("int")).withColumn("parsed_at_ms", F.lit(now_ms).cast("long"))
+    said = new.select("event_id", F.struct("revision", "verdict", "confidence").alias("_new"))
+    said = said.groupBy("event_id").agg(F.min("_new").alias("_new"))  # an event has one review job at a revision
+    after = events.join(said, "event_id")
+    for c, value in (("revision", F.col("_new.revision")), ("status", F.lit("completed")), ("verdict", F.col("_new.verdict")), ("confidence", F.col("_new.confidence"))):
+        after = after.withColumn(c, value.cast(events.schema[c].dataType))
+    done = jobs.join(good.select("job_id"), "job_id", "left_semi")
+    for c, value in (("state", "completed"), ("lease_owner", None), ("lease_expires_ms", None)):
+        done = done.withColumn(c, F.lit(value).cast(jobs.schema[c].dataType))
+    waiting = new.select(
+        F.lit("index").alias("kind"), F.col("event_id").alias("entity_id"), F.col("revision").alias("entity_revision"), F.lit("pending").alias("state"),
+        F.lit(0).alias("attempts"), F.lit(now_ms).cast("long").alias("available_at_ms"),
+    ).distinct()
+    return {
+        "reviews": new.drop("job_id", "owner", "attempt", "refused"), "events": after.select(events.columns), "jobs": done.select(jobs.columns),
+        "waiting": waiting, "refused": judged.where("refused IS NOT NULL"),
+    }
+
+
 def complete_reviews(
     results: DataFrame, jobs: DataFrame, events: DataFrame, reviews: DataFrame, evidence: DataFrame, now_ms: int
 ) -> dict[str, DataFrame]:
@@ -61,7 +85,7 @@ def complete_reviews(
 
     A result appends a review of the event's next revision; the event takes its verdict and confidence and is completed;
     the job is finished without a lease; and an index job for the new revision waits, unless there is one. Nothing of a
-    refused result is written. All outputs come from one judgement; write it first to make the step atomic and replayable.
+    refused result is written. `ledger.complete` makes the same change in one version of the stored tables.
     """
     judged = judge_results(results, jobs, events, evidence, now_ms)
     good = judged.where("refused IS NULL")
