@@ -34,23 +34,6 @@ def vector_top_k(points: DataFrame, query: list[float], k: int, where: dict | No
     return scored.orderBy(F.desc("score"), "event_id").limit(_checked(k))
 
 
-def block_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """(query_id, event_id, label, score): for each of `queries` (query_id, query) the k points most alike.
-
-    Queries go in blocks: a row holds `block` of them, so each point meets each block once, is scored against all its
-    queries within the row, and each task keeps k rows for a query before the rest of the work.
-    """
-    dealt = queries.select("query_id", "query", F.floor(F.xxhash64("query_id") / F.lit((1 << 64) / max(1, -(-queries.count() // block)))).alias("b"))
-    blocks = dealt.groupBy("b").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
-    # blocks are the stated queries, few beside the points; beyond the broadcast limit the join is by nested loop or shuffle
-    size = norm(F.col("vector"))
-    dot = lambda q: F.aggregate(F.zip_with("vector", q["query"], lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda n, x: n + x)
-    scored = lambda q: F.struct(q["query_id"].alias("query_id"), (dot(q) / F.nullif(size * norm(q["query"]), F.lit(0.0))).alias("score"))
-    met = points.join(blocks, how="cross").select("event_id", "label", F.inline(F.transform("asked", scored)))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "event_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def attribute_search(events: DataFrame, detections: DataFrame, query: EventQuery, k: int) -> DataFrame:
     """Events that meet the conditions, latest first, each with score 1."""
     found = select_events(events, detections, query).orderBy(F.desc("timestamp_ms"), "event_id").limit(_checked(k))
@@ -69,6 +52,21 @@ def fuse(attribute: DataFrame, embedded: DataFrame, k: int = CANDIDATES) -> Data
     return fused.orderBy(F.desc("score"), "event_id").limit(k)
 
 
+def fuse_all(attribute: DataFrame, embedded: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """`fuse` for many questions at once: the list of `attribute` (at most CANDIDATES rows, broadcast) with each query's
+    rows of `embedded` (query_id, event_id, score), as (query_id, event_id, score, matched_by, rank)."""
+    a = attribute.orderBy(F.desc("score"), "event_id").limit(CANDIDATES).select("event_id", F.col("score").alias("a"))
+    a = queries.select("query_id").distinct().crossJoin(F.broadcast(a))
+    b = embedded.select("query_id", "event_id", F.col("score").alias("b"))
+    both = a.unionByName(b, allowMissingColumns=True).groupBy("query_id", "event_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    score = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(0.5) * F.col("a") + F.lit(0.5) * F.col("b"))
+    score = F.round(score.otherwise(F.coalesce("a", "b")).cast("double"), 4)
+    tag = F.when(F.col("a").isNull(), "embed").when(F.col("b").isNull(), "attribute").otherwise("both")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "event_id")
+    fused = both.select("query_id", "event_id", score.alias("score"), tag.alias("matched_by"))
+    return fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def search_events(
     events: DataFrame,
     detections: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.operators import cases, jobs, search
+from vigilake.operators import cases, jobs, search, vectors
 from vigilake.operators.cases import EventQuery
 from vigilake.plans import tables as t
 from vigilake.plans.registry import register
@@ -99,13 +99,13 @@ SELECT query_id, event_id, label, round(score, 6) AS score, CAST(rank AS INTEGER
 
 @register("d2_vector_top_k", _asked("", 20))
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.block_top_k(t.points(spark, sf_dir), t.queries(spark, sf_dir), 20)
+    found = vectors.block_top_k(t.points(spark, sf_dir), t.queries(spark, sf_dir), 20)
     return found.withColumn("score", F.round("score", 6))
 
 
 @register("b4_filtered_top_k", _asked("WHERE label = 1", 10))
 def filtered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.block_top_k(t.points(spark, sf_dir).where("label = 1"), t.queries(spark, sf_dir), 10)
+    found = vectors.block_top_k(t.points(spark, sf_dir).where("label = 1"), t.queries(spark, sf_dir), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
