@@ -353,6 +353,40 @@ def test_html_elements(spark):
     assert html.extract_text(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # hints on what is around the article never cost the article
+        ('<div class="layout with-sidebar"><main><p>Body.</p></main></div>', "Body."),
+        ('<div class="layout sidebar"><main><p>Body.</p><div class="sidebar">no</div></main></div>', "Body."),
+        ('<div class="sidebar"><article><p>Body.</p><div class=ad>no</div></article></div><p>away</p>', "Body."),
+        ('<div id="banner"><div role=main><p>Body.</p></div></div>', "Body."),
+        # names that hold a hint among other words aren't hints
+        ('<article><div class="entry share-enabled"><p>Kept.</p></div></article>', "Kept."),
+        ('<article><section id="social-history"><h2>Social</h2><p>Kept.</p></section></article>', "Social\n\nKept."),
+        ('<article><div id="ad-hoc-networks"><p>Kept.</p></div></article>', "Kept."),
+        ('<article><section class="search-engines"><h2>Engines</h2><p>Kept.</p></section></article>', "Engines\n\nKept."),
+        ('<article><section id="discussion"><h2>Discussion</h2><p>Kept.</p></section></article>', "Discussion\n\nKept."),
+        # what readers wrote, and other articles' teasers
+        ('<article><p>Story.</p></article><article class="comment"><p>no</p></article>', "Story."),
+        ('<article><p>Story.</p></article><section id="comments"><article><p>no</p></article></section>', "Story."),
+        ('<article><p>Story.</p><article class="comment"><p>no</p></article><p>More.</p></article>', "Story.\n\nMore."),
+        ('<article><p>Story.</p></article><div class="related-posts"><article><h3>no</h3></article></div>', "Story."),
+        ('<main><p>Story.</p><div class="discussion"><p>no</p></div><div class="responses">no</div><div class=feedback>no</div></main>', "Story."),
+        ('<article><p>Story.</p><ol class="comment-list"><li>no</li></ol></article>', "Story."),
+        ('<div id="comments"><article><p>no</p></article></div><p>The page itself.</p>', "The page itself."),
+        # other ways to hide, and what isn't hidden
+        ('<article><p>Seen.</p><p style="color:red; display : none">no</p><div style="visibility:hidden">no</div></article>', "Seen."),
+        ('<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>', "So x=2 holds."),
+        ('<article data-class="ad"><p data-id="menu">Kept.</p></article>', "Kept."),
+        ('<div class="site-header">no</div><div class="entry-header"><h1>Title</h1></div><p>Body.</p><div class="footer-links">no</div>', "Title\n\nBody."),
+    ],
+)
+def test_html_containers_and_hints(page, text):
+    inside, outside = html.read_blocks(f"<html><body><nav>menu</nav>{page}<footer>f</footer></body></html>")
+    assert "\n\n".join(inside or outside) == text
+
+
 def test_html_host_repeats_match_brute_force(spark):
     rng, run = random.Random(5), html.RUN_TOKENS
     block = lambda: " ".join(rng.choice("abcd") for _ in range(rng.choice((3, 8, 12, 20))))
