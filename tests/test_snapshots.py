@@ -6,7 +6,7 @@ import pytest
 
 from vigilake import schemas
 from vigilake.operators import jobs
-from vigilake.sources import ledger
+from vigilake.sources import ledger, pending
 from vigilake.sources.snapshots import Conflict, Merge, Snapshots
 
 
@@ -151,3 +151,54 @@ def test_set_transitions(spark):
     many = spark.createDataFrame([(f"v{k}", k % 4) for k in range(12)], "owner string, asked int")
     assert [(r.job_id, r.lease_owner) for r in jobs.claim_many(free, many, "review", 50, 30).orderBy("job_id").collect()] == [(0, "v0"), (1, "v4"), (2, "v8"), (3, "v1"), (4, "v5"), (5, "v9"), (9, "v10")]
     assert jobs.claim_many(free, many.limit(0), "review", 50, 30).count() == 0
+
+
+def test_drop(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), {"t": ["k"]}, 3)
+    store.transact(lambda _: {"t": Merge(spark.createDataFrame([(k, "x") for k in [*range(9), None]], "k int, v string"))})
+    store.transact(lambda _: {"t": Merge(spark.createDataFrame([(1,), (2,), (None,), (77,)], "k int"), "drop")})
+    assert sorted(r.k for r in store.table("t").collect()) == [0, 3, 4, 5, 6, 7, 8]
+    store.transact(lambda _: {"t": Merge(store.table("t"), "drop")})
+    assert store.table("t").count() == 0 and store.manifest()["tables"]["t"]["files"] == []
+
+
+def entries(spark, store, n=25):
+    rows = spark.createDataFrame([(f"{k:03}",) for k in range(n)], "message_id string")
+    pending.deliver(store, rows.where("message_id < '010'"), "old", 100)
+    pending.deliver(store, rows, "new", 900)
+
+
+def test_reclaim_goes_on_behind_its_cursor(spark, tmp_path):
+    store = pending.open_pending(spark, str(tmp_path), 3)
+    assert pending.reclaim(store, "me", 500, 1_000) == []
+    entries(spark, store)
+    pages = [pending.reclaim(store, "me", 500, 1_000, 4)]
+    again = pending.open_pending(spark, str(tmp_path), 3)  # another process
+    pages += [pending.reclaim(again, "me", 500, 1_000, 4) for _ in range(3)]
+    assert [len(p) for p in pages] == [4, 4, 2, 0] and sum(pages, []) == [f"{k:03}" for k in range(10)]
+    held = {r.message_id: (r.consumer, r.delivered_ms, r.deliveries) for r in store.table("entries").collect()}
+    assert held["003"] == ("me", 1_000, 2) and held["020"] == ("new", 900, 1)
+    assert pending.reclaim(store, "you", 100, 1_000, 4) == ["010", "011", "012", "013"]
+    pending.acknowledge(store, store.table("entries").where("message_id >= '012'"))
+    assert pending.reclaim(store, "you", 0, 2_000, 4) == []  # behind its cursor nothing is left, so it goes back
+    assert len(pending.reclaim(store, "you", 0, 2_000, 50)) == 12
+
+
+def test_sweep_reports_what_it_did_before_it_broke_off(spark, tmp_path, monkeypatch):
+    store = pending.open_pending(spark, str(tmp_path), 3)
+    assert pending.sweep(store) == pending.Swept(0)
+    entries(spark, store)
+    assert pending.sweep(store, dry_run=True) == pending.Swept(25, dry_run=True) and store.table("entries").count() == 25
+    real, calls = pending.acknowledge, []
+
+    def dying(store, rows):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("gone")
+        return real(store, rows)
+
+    monkeypatch.setattr(pending, "acknowledge", dying)
+    with pytest.raises(pending.SweepFailed) as broke:
+        pending.sweep(store, page=10)
+    assert broke.value.done == pending.Swept(25, 20) and store.table("entries").count() == 5
+    assert pending.sweep(store, page=10) == pending.Swept(5, 5)

@@ -12,7 +12,7 @@ from vigilake.plans.registry import register
 from vigilake.plans.review_queries import NOW, RESULTS, _results
 from vigilake.plans.stream_queries import _messages
 from vigilake.session import shared_folder
-from vigilake.sources import ledger
+from vigilake.sources import ledger, pending
 from vigilake.sources.snapshots import Merge, Snapshots
 
 BUCKETS = 8
@@ -213,3 +213,24 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = t.queries(spark, sf_dir)
     embedded = vectors.block_top_k(t.points(spark, sf_dir), queries, 100)
     return search.fuse_all(found, embedded, queries)
+
+
+# ---------------------------------------------------------------- pending deliveries
+
+
+@register(
+    "a4_reclaimed",
+    """SELECT event_id AS message_id, CASE WHEN epoch_us(ts) // 1000 <= cut THEN 'me' ELSE event_type END AS consumer, CASE WHEN epoch_us(ts) // 1000 <= cut THEN 2 ELSE 1 END AS deliveries
+FROM events, (SELECT min(epoch_us(ts) // 1000) + (max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) // 2 AS cut FROM events)""",
+)
+def reclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals as deliveries; those of the first half of the time are idle and taken over, page by page."""
+    rows = t.signals(spark, sf_dir)
+    entries = rows.select(F.col("event_id").alias("message_id"), F.col("source").alias("consumer"), F.col("timestamp_ms").alias("delivered_ms"), F.lit(1).alias("deliveries"))
+    store = pending.open_pending(spark, shared_folder(spark, "pending"), BUCKETS)
+    store.transact(lambda _: {"entries": Merge(entries)})
+    first, last, many = rows.agg(F.min("timestamp_ms"), F.max("timestamp_ms"), F.count("*")).first()
+    cut, page = first + (last - first) // 2, many // 4 + 1
+    while len(pending.reclaim(store, "me", 10**12, cut + 10**12, page)) == page:
+        pass
+    return store.table("entries").select("message_id", "consumer", "deliveries")

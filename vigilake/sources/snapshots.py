@@ -23,7 +23,8 @@ from pyspark.sql.types import StructType
 class Merge:
     """Rows for a table. Of a key that the table holds already, `keep` leaves the old row, `replace` takes the new one,
     and a column's name takes the row with the greater value there, the old one at ties. Of several new rows of one key
-    the greatest counts by that column, and otherwise the least of all."""
+    the greatest counts by that column, and otherwise the least of all. With `drop` the rows' keys go; rows need no
+    other columns then."""
 
     rows: DataFrame
     mode: str = "keep"
@@ -135,28 +136,32 @@ class Snapshots:
         if entry is None:
             entry = {"schemas": [{"schema": change.rows.schema.jsonValue()}], "files": []}
         now = StructType.fromJson(entry["schemas"][-1]["schema"])
-        new = change.rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in now])
+        given = self.keys[name] if change.mode == "drop" else now.names
+        new = change.rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in now if f.name in given])
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         new.withColumn("_bucket", self.bucket(name)).write.parquet(staged)
         new = self.spark.read.parquet(staged)
         touched = {r[0] for r in new.select("_bucket").distinct().collect()}  # no more than there are buckets
         if touched:
             old = self._rows(entry, touched).withColumn("_bucket", self.bucket(name))
-            both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+            both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True)
             others = [c for c in now.names if c not in self.keys[name]]
             row = F.struct(F.lit(1).alias("_one"), *others)
             # the first of a key by this order counts; a struct of all columns settles ties
             if change.mode == "keep":
                 order, choose = F.struct("_new", row), F.min_by
-            elif change.mode == "replace":
+            elif change.mode in ("replace", "drop"):
                 order, choose = F.struct(~F.col("_new"), row), F.min_by
             else:
                 order, choose = F.struct(change.mode, ~F.col("_new"), row), F.max_by
-            kept = both.repartition("_bucket").groupBy("_bucket", *self.keys[name]).agg(choose(row, order).alias("_r"))
+            kept = both.repartition("_bucket").groupBy("_bucket", *self.keys[name]).agg(choose(row, order).alias("_r"), F.bool_or("_new").alias("_new"))
+            if change.mode == "drop":
+                kept = kept.where("NOT _new")
             folder = f"data/{name}/{uuid.uuid4().hex}"
             rows = kept.select("_bucket", *[F.col(c) if c in self.keys[name] else F.col(f"_r.{c}") for c in now.names])
             rows.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
-            files = [{"bucket": b, "path": f"{folder}/_bucket={b}", "schema": len(entry["schemas"]) - 1} for b in sorted(touched)]
+            filled = {int(n.split("=")[1]) for n in self._listed(folder) if n.startswith("_bucket=")}  # of a bucket all rows may go
+            files = [{"bucket": b, "path": f"{folder}/_bucket={b}", "schema": len(entry["schemas"]) - 1} for b in sorted(filled)]
             entry = entry | {"files": [f for f in entry["files"] if f["bucket"] not in touched] + files}
         self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
         return entry
