@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from functools import cache
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.ids import hash_embedding
@@ -27,7 +27,7 @@ class EmbeddingIdentity:
 
 
 _EMBEDDINGS: dict[str, Callable[[EmbeddingIdentity], Callable[[Column], Column]]] = {}
-_KNOWLEDGE: dict[str, Callable[[SparkSession, str, int], DataFrame]] = {}
+_KNOWLEDGE: dict[str, Callable[[DataFrame, int], DataFrame]] = {}
 
 
 def embedding_backend(name: str):
@@ -61,13 +61,13 @@ def knowledge_backend(name: str):
     return keep
 
 
-def retrieve_rules(spark: SparkSession, question: str, top_k: int = 5, backend: str = "mock") -> DataFrame:
-    """(chunk_id, title, text, score) that a knowledge backend finds for a question."""
+def retrieve_rules(questions: DataFrame, top_k: int = 5, backend: str = "mock") -> DataFrame:
+    """(question_id, chunk_id, title, text, score) that a knowledge backend finds for questions (question_id, question)."""
     if backend not in _KNOWLEDGE:
         raise ValueError(f"no knowledge backend {backend!r}; known: {', '.join(sorted(_KNOWLEDGE))}")
-    return _KNOWLEDGE[backend](spark, question, top_k)
+    return _KNOWLEDGE[backend](questions, top_k)
 
 
 @knowledge_backend("mock")
-def _one_chunk(spark: SparkSession, question: str, top_k: int) -> DataFrame:
-    return spark.range(1).select(F.lit("mock-0").alias("chunk_id"), F.lit("mock rule").alias("title"), F.lit(question).alias("text"), F.lit(1.0).alias("score"))
+def _one_chunk(questions: DataFrame, top_k: int) -> DataFrame:
+    return questions.select("question_id", F.lit("mock-0").alias("chunk_id"), F.lit("mock rule").alias("title"), F.col("question").alias("text"), F.lit(1.0).alias("score"))

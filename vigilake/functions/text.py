@@ -25,6 +25,47 @@ def event_text(fields: dict[str, Column]) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), blank(v)) for k, v in fields.items()])
 
 
+def python_float(value: Column) -> Column:
+    """A finite double as Python writes it, which is as Java does but for exponents: 1e-05 and 1e+16. (Java before 19
+    gives some numbers above 1e16 a digit too many.)"""
+    text = value.cast("double").cast("string")
+    size = F.abs(value.cast("double"))
+    plain = (size == 0) | ((size >= 1e-4) & (size < 1e16))
+    # Java begins exponents at 1e-3 and 1e7; between, the digits are written out
+    digits = F.regexp_replace(F.regexp_replace(F.abs(value.cast("double")).cast("string"), r"E.*$", ""), r"\.", "")
+    digits = F.regexp_replace(digits, r"0+$", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0"), F.lit("."), F.substring(F.concat(F.substring(digits, power + 2, F.length(digits)), F.lit("")), 1, 400))
+    whole = F.when(whole.endswith("."), F.concat(whole, F.lit("0"))).otherwise(whole)
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(.*)E", 1), r"\.0$", "")
+    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return F.when(power.isNull(), text).when(~plain, exponent).when(power < 0, small).otherwise(whole)
+
+
+#: The fields of an event's index text, in their order.
+EVENT_TEXT = (
+    "event_id", "source", "timestamp_ms", "event_type", "rule_id", "rule_version", "severity", "objects", "rule_facts",
+    "available_evidence", "evidence_status", "verdict", "confidence",
+)
+
+
+def index_text(case: dict[str, Column]) -> Column:
+    """An event's index text from a case's columns: EVENT_TEXT's fields. `detections` (with class_name) make the objects,
+    `evidence` (with available) the count; rule_facts is canonical JSON text, {} where null; a review's verdict, confidence
+    and evidence_status go before the event's own."""
+    made = {
+        **case,
+        "objects": object_summary(F.transform(case["detections"], lambda d: d["class_name"])),
+        "rule_facts": F.coalesce(case.get("rule_facts", F.lit(None).cast("string")), F.lit("{}")),
+        "available_evidence": F.coalesce(F.size(F.filter(case["evidence"], lambda e: F.coalesce(e["available"], F.lit(False)))), F.lit(0)),
+        "verdict": F.coalesce(F.nullif(case.get("review_verdict", F.lit(None).cast("string")), F.lit("")), case["verdict"]),
+        "confidence": python_float(F.coalesce(case.get("review_confidence", F.lit(None).cast("double")), case["confidence"])),
+    }
+    return event_text({k: made.get(k, F.lit(None).cast("string")) for k in EVENT_TEXT})
+
+
 def log_value(value: Column) -> Column:
     """A log field's value: plain if it is made of letters, digits and _-./: alone, else quoted and escaped."""
     text = F.replace(value, F.lit("\\"), F.lit("\\\\"))

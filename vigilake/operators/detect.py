@@ -155,6 +155,15 @@ def decode(tensor: Column, form: str, rows: Column, classes: int, threshold: flo
     return F.filter(F.when(rows > 0, made).otherwise(F.filter(made, lambda b: F.lit(False))), lambda b: b["confidence"] >= threshold)
 
 
+def target_class(labels: list[str], name: str | None) -> int | None:
+    """The first class of this label; None, which keeps all classes, for no name. A name that no label is is an error."""
+    if not name:
+        return None
+    if name not in labels:
+        raise ValueError(f"no label {name!r}: the labels are {', '.join(labels)}")
+    return labels.index(name)
+
+
 def detect(frames: DataFrame, form: str, classes: int, threshold: float, canvas: tuple[int, int], target: int | None = None) -> DataFrame:
     """Frames (tensor, n_rows, source_w, source_h) with `objects`: decoded, suppressed on the canvas, then mapped back."""
     boxes = decode(F.col("tensor"), form, F.col("n_rows"), classes, threshold, canvas)

@@ -17,7 +17,8 @@ def refresh_evidence(evidence: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime in seconds) of the files under a folder, by their listing alone: no content is read."""
+    """(path, size, mtime in seconds) of the files under a folder, by their listing alone: no content is read. Files without
+    content aren't listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
 
@@ -126,3 +127,17 @@ def readable_evidence(evidence: DataFrame, event_id, kinds: tuple[str, ...] | No
     """An event's available evidence, of the kinds asked for, in order of its ids."""
     found = evidence.where((F.col("event_id") == event_id) & F.col("available"))
     return (found if kinds is None else found.where(F.col("kind").isin(*kinds))).orderBy("evidence_id")
+
+
+def reviews_of(reviews: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each of `asked` (event_id) its latest review's columns and `found`, whether there is one."""
+    others = [c for c in reviews.columns if c != "event_id"]
+    latest = reviews.groupBy(F.col("event_id").alias("_id")).agg(F.max_by(F.struct(*others), "revision").alias("_r"))
+    held = asked.join(latest, F.col("event_id") == F.col("_id"), "left")
+    return held.select(*asked.columns, F.col("_id").isNotNull().alias("found"), "_r.*")
+
+
+def readable_evidence_of(evidence: DataFrame, asked: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The available evidence of all of `asked` (event_id), of the kinds asked for."""
+    found = evidence.where("available") if kinds is None else evidence.where(F.col("available") & F.col("kind").isin(*kinds))
+    return found.join(asked.select("event_id").distinct(), "event_id", "left_semi")

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from vigilake.plans import case_queries, ledger_queries, review_queries, stream_queries  # noqa: F401
+    from vigilake.plans import case_queries, ledger_queries, review_queries, stream_queries, tool_queries  # noqa: F401

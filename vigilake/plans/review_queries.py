@@ -273,23 +273,25 @@ def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "g16_warp_box",
-    """SELECT p_partkey, round(least(0.9 * a + 0.1 * b, 0.9 * c + 0.1 * b, 0.9 * a + 0.1 * d, 0.9 * c + 0.1 * d) + 3, 6) AS x1, round(greatest(-0.2 * a + b, -0.2 * c + b, -0.2 * a + d, -0.2 * c + d) - 4, 6) AS y2
+    """SELECT p_partkey, round(least(0.9 * a + 0.1 * b, 0.9 * c + 0.1 * b, 0.9 * a + 0.1 * d, 0.9 * c + 0.1 * d) + 3, 6) AS x1, round(least(-0.2 * a + b, -0.2 * c + b, -0.2 * a + d, -0.2 * c + d) - 4, 6) AS y1,
+       round(greatest(0.9 * a + 0.1 * b, 0.9 * c + 0.1 * b, 0.9 * a + 0.1 * d, 0.9 * c + 0.1 * d) + 3, 6) AS x2, round(greatest(-0.2 * a + b, -0.2 * c + b, -0.2 * a + d, -0.2 * c + d) - 4, 6) AS y2
 FROM (SELECT p_partkey, p_size AS a, p_partkey % 50 AS b, p_size + 10 AS c, p_partkey % 50 + 20 AS d FROM part)""",
 )
 def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_size").cast("double"), (F.col("p_partkey") % 50).cast("double")
     box = F.struct(x.alias("x1"), y.alias("y1"), (x + 10).alias("x2"), (y + 20).alias("y2"))
     made = detect.warp_box(box, [F.lit(v) for v in (0.9, 0.1, 3.0, -0.2, 1.0, -4.0)])
-    return t.table(spark, sf_dir, "part").select("p_partkey", made.alias("w")).select("p_partkey", F.round("w.x1", 6).alias("x1"), F.round("w.y2", 6).alias("y2"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", made.alias("w")).select("p_partkey", *[F.round(f"w.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @register(
     "g15_source_warp",
-    "SELECT p_partkey, round((1.1 * p_size + 0.1 * 7 + 4 - p_size) / 2, 6) AS m02, round((-0.2 * p_size + 0.9 * 7 + 6 - 7) / 2, 6) AS m12 FROM part",
+    """SELECT p_partkey, 1.1::DOUBLE AS m00, 0.1::DOUBLE AS m01, round((1.1 * p_size + 0.1 * 7 + 4 - p_size) / 2, 6)::DOUBLE AS m02, (-0.2)::DOUBLE AS m10, 0.9::DOUBLE AS m11,
+       round((-0.2 * p_size + 0.9 * 7 + 6 - 7) / 2, 6)::DOUBLE AS m12 FROM part""",
 )
 def source_warps(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = tracking.source_warp([F.lit(v) for v in (1.1, 0.1, 4.0, -0.2, 0.9, 6.0)], F.lit(2.0), F.col("p_size").cast("double"), F.lit(7.0))
-    return t.table(spark, sf_dir, "part").select("p_partkey", F.round(made[2], 6).alias("m02"), F.round(made[5], 6).alias("m12"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", *[F.round(m, 6).alias(f"m{k // 3}{k % 3}") for k, m in enumerate(made)])
 
 
 @register(
@@ -417,6 +419,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "benchmark").select("item_id", F.transform(made, lambda x: F.round(x, 9)).alias("vector"))
 
 
-@register("j3_rules", "SELECT 'mock-0' AS chunk_id, 'mock rule' AS title, 'helmets' AS text, CAST(1 AS DOUBLE) AS score")
+@register("j3_rules", "SELECT item_id AS question_id, 'mock-0' AS chunk_id, 'mock rule' AS title, text, CAST(1 AS DOUBLE) AS score FROM benchmark")
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve_rules(spark, "helmets")
+    """The deterministic backend's answer to all benchmark items as questions."""
+    return retrieve_rules(t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake import schemas
@@ -116,6 +116,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def node_placement(trace: DataFrame) -> DataFrame:
-    """Distinct (node, provider) of a profile's Node entries that name a provider."""
-    rows = trace.where((F.col("cat") == "Node") & (F.coalesce("args.provider", F.lit("")) != ""))
-    return rows.select(F.col("name").alias("node"), F.col("args.provider").alias("provider")).distinct()
+    """Distinct (node, provider) of a profile's Node entries that name a provider, with `seen`, their number in the order
+    of their first entries. A profile is one JSON array, read as one file in its order; its distinct nodes are few."""
+    rows = trace.withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.where((F.col("cat") == "Node") & (F.coalesce("args.provider", F.lit("")) != ""))
+    first = rows.groupBy(F.col("name").alias("node"), F.col("args.provider").alias("provider")).agg(F.min("_at").alias("_at"))
+    return first.select("node", "provider", F.row_number().over(Window.orderBy("_at")).alias("seen"))
