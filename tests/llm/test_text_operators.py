@@ -432,6 +432,43 @@ def test_license_rules(spark):
         (1, "MIT", 0, 2), (2, "CC-BY-4.0", 2, 2), (2, "MIT", 1, 1), (2, "MIT", 3, 3)]
 
 
+NOTICES = {
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation; either version 3 of the License, or\n(at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT": "// SPDX-License-Identifier: MIT\nint main;",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "Text. Available under CC BY-SA 4.0.",
+    "GPL-3.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Keep the notice.\n2. Say so.\n3. Neither the name of <organization> nor the names of its contributors may be\n   used to endorse or promote products derived from this software without\n   specific prior written permission.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. No.",
+    "EPL-2.0": "Released under the Eclipse Public License 2.0.",
+}
+
+
+def test_common_licenses(spark):
+    texts = [*NOTICES.values(), "Licensed under the MIT License.", "A license is a text. The GNU General Public License is long.", "Neither the name of the rose nor the names of its thorns matter."]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = [(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(got) ^ {*enumerate(NOTICES), (len(NOTICES), "MIT")} == set() and len(got) == len(set(got))
+
+
+def test_every_notice_and_tag_is_known_once(spark):
+    from vigilake.llm import license_table
+
+    made = {
+        f"{subject} {beginning} {article}{name}".strip(): license
+        for name, license in license_table.names().items() for subject in license_table.SUBJECTS for beginning in license_table.BEGINNINGS for article in ("", "the ", "a ")
+    }
+    made |= {f"spdx license identifier {x}": license for x, license in license_table.tags().items()}
+    rows = [(k, s) for k, s in enumerate(made)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: made[s].split(":")[1] for k, s in rows}
+
+
 def test_wrapped_license_headers(spark):
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal

@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.llm import license_table
 from vigilake.llm.text import let
 
 
@@ -37,7 +38,7 @@ SENTENCES = {
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 #: Further known sentences, as the licences and their standard headers have them, with the identifier that each counts as.
-VARIANTS = {
+VARIANTS = license_table.SENTENCES | {
     "licensed under the apache license version 2.0 the license": "apache-2-short",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
@@ -48,6 +49,7 @@ VARIANTS = {
 }
 #: Rules in order of precedence: a rule's sentences are no longer free for the rules after it.
 RULES = (
+    *[LicenseRule(license, ids) for license, ids in license_table.RULES],
     LicenseRule("GPL-3.0-or-later", ("gpl-share", "gpl-3-later")),
     LicenseRule("GPL-3.0-or-later", ("gpl-3-header",)),
     LicenseRule("GPL-2.0-or-later", ("gpl-share", "gpl-2-later")),
@@ -62,7 +64,12 @@ RULES = (
     LicenseRule("Apache-2.0", ("apache-2-short",)),
     LicenseRule("CC-BY-NC-4.0", ("cc-by-nc-4-short",)),
     LicenseRule("CC-BY-4.0", ("cc-by-4-short",)),
+    *[LicenseRule(x, (f"notice:{x}",)) for x in license_table.NAMES],
+    *[LicenseRule(x, (f"tag:{x}",)) for x in (*license_table.NAMES, *license_table.TAGS)],
 )
+#: Words that sentences of licences have and few others; a sentence is looked up only where one of them, or its own
+#: longest word, stands.
+MARKS = ("spdx", "license", "licence", "licensed", "unlicense", "copyright", "mozilla", "gnu", "contributors", "unencumbered", "eclipse", "mpl", "apache", "permission")
 
 #: Where a sentence ends: a line end, or a stop before white space or the end of the text.
 SENTENCE_END = r"\n|[.;!?](?=\s|$)"
@@ -88,10 +95,12 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     variants: dict[str, str] = VARIANTS,
+    patterns: dict[str, str] = license_table.PATTERNS,
 ) -> DataFrame:
     """Per licence and place found: id, license, first and last sentence number (from 0), and sentence_ids.
 
-    A sentence is known where its normal form is one of `sentences`; what precedes or follows it in the same line
+    A sentence is known where its normal form is one of `sentences` or `variants`, is a notice or tag that names a licence
+    of license_table, or fits one of `patterns`; what precedes or follows it in the same line
     after a stop is another sentence. Every line end counts as one in the numbers; a known sentence may also be wrapped
     over lines, and has the number of its first line. A rule's gap counts whole sentences that have a letter. Rules run in order over a document's known sentences; each takes the earliest
     free run of its identifiers, again and again, until it finds none. Null and empty texts, and texts without a known
@@ -103,28 +112,41 @@ def scan_licenses(
     known = F.create_map(*[F.lit(x) for pair in sorted({**{s: k for k, s in sentences.items()}, **variants}.items()) for x in pair])
     text = F.col(f"`{text_col}`").cast("string")
     held = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    hint = _hint([*sentences.values(), *variants])
+    # what patterns with placeholders say beside these
+    hint = _hint([*sentences.values(), *variants, "spdx", *[re.sub(r"\(.*?\)\??|[.?{}\d,]+", " ", p) for p in patterns]])
     held = held.where(F.col("text").rlike(hint))
     held = held.select("id", F.split(F.regexp_replace("text", WRAPPED, WRAP), SENTENCE_END).alias("parts"))
-    held = held.select("id", _recognised("parts", known, hint))
+    held = held.select("id", _recognised("parts", known, hint, patterns))
     return _apply_rules(held.where(F.size("free") > 0), rules).select(
         F.col("id").alias(id_col), "hit.license", "hit.first_sentence", "hit.last_sentence", "hit.sentence_ids"
     )
 
 
 def _hint(sentences: list[str]) -> str:
-    """A pattern that finds something in every known sentence: the longest word of each, in any case."""
-    return "(?i)" + "|".join(sorted({re.escape(max(s.split(), key=len)) for s in sentences}))
+    """A pattern that finds something in every known sentence, one of its MARKS as a whole word or its longest word, and in
+    every notice."""
+    marks = {next((m for m in MARKS if m in s.split()), max(s.split(), key=len)) for s in sentences}
+    notice = rf"(?:{'|'.join(b.split()[0] for b in license_table.BEGINNINGS)})[^\p{{L}}\p{{N}}]+under"
+    return r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join([*sorted(re.escape(m) for m in marks), notice]) + r")(?![\p{L}\p{N}])"
 
 
-def _recognised(parts: str, known: Column, hint: str) -> Column:
+def _recognised(parts: str, known: Column, hint: str, patterns: dict[str, str]) -> Column:
     """The known sentences of an array of joined sentences, in order, as (at, s, no): the number of the first line or
     sentence, the identifier, and the number of whole sentences with a letter before it."""
     none = F.array().cast("array<struct<at:int,s:string,no:int>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), none.alias("free"))
 
+    def name(normal: Column) -> Column:
+        fitting = [F.when(normal.rlike(f"^(?:{p})$"), F.lit(s)) for p, s in patterns.items()]
+        notice = F.try_element_at(named_by(license_table.names()), F.regexp_extract(normal, license_table.NOTICE, 1))
+        tag = F.try_element_at(named_by(license_table.tags()), F.regexp_extract(normal, license_table.TAG, 1))
+        return F.coalesce(F.try_element_at(known, normal), notice, tag, *fitting)
+
+    def named_by(names: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+
     def named(acc: Column, joined: Column) -> Column:
-        hit = lambda x, at: F.struct(at.cast("int").alias("at"), F.try_element_at(known, normal_form(x)).alias("s"), acc["no"].alias("no"))
+        hit = lambda x, at: let(normal_form(x), lambda n: F.struct(at.cast("int").alias("at"), name(n).alias("s"), acc["no"].alias("no")))
         lines = F.transform(F.split(joined, WRAP), lambda x, i: hit(x, acc["at"] + i))
         whole = F.filter(F.array(hit(joined, acc["at"])), lambda x: x["s"].isNotNull())
         lines = F.when(F.size(whole) > 0, whole).otherwise(F.filter(lines, lambda x: x["s"].isNotNull()))
