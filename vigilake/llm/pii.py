@@ -106,21 +106,33 @@ def _card(f: Feistel, s: str, undo: bool) -> str | None:
 
 
 def _iban(f: Feistel, s: str, undo: bool) -> str | None:
+    """In capitals, or in small letters with ten digits or more; both are one number."""
     plain = s.replace(" ", "")
-    if not iban_ok(plain):
+    small = plain.islower()
+    if not (small or plain.isupper()) or (small and sum(c in DIGITS for c in plain) < 10) or not iban_ok(plain.upper()):
         return None
+    plain = plain.upper()
     body = f.symbols(plain[4:], f"iban|{plain[:2]}", undo)
     check = next(k for k in range(2, 99) if iban_ok(f"{plain[:2]}{k:02d}{body}"))
-    return _onto(s, f"{plain[:2]}{check:02d}{body}")
+    made = _onto(s, f"{plain[:2]}{check:02d}{body}")
+    return made.lower() if small else made
+
+
+# Country calling codes of one and two digits; all others have three.
+_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 
 def _phone(f: Feistel, s: str, undo: bool) -> str | None:
-    """The last ten digits are permuted for their country code; numbers without one are taken for code 1's."""
+    """What follows the country code is permuted; numbers of ten digits without a code are taken for code 1's."""
     digits = re.sub(r"\D", "", s)
-    if not 10 <= len(digits) <= 15:
+    if not s.startswith("+"):
+        return _onto(s, f.symbols(digits, "phone|1", undo)) if len(digits) == 10 else None
+    if not 8 <= len(digits) <= 15:
         return None
-    code = digits[:-10] if s.lstrip().startswith("+") else ""
-    return _onto(s, code + f.symbols(digits[len(code) :], f"phone|{code or 1}", undo))
+    code = next((digits[:k] for k in (1, 2) if digits[:k] in _CODES), digits[:3])
+    return _onto(s, code + f.symbols(digits[len(code) :], f"phone|{code}", undo))
 
 
 def _ssn(f: Feistel, s: str, undo: bool) -> str | None:
@@ -153,30 +165,88 @@ def _ip6(f: Feistel, s: str, undo: bool) -> str | None:
     return ipaddress.IPv6Address(f.permute(value, 1 << 128, "ip6", undo)).compressed
 
 
+def _mac(f: Feistel, s: str, undo: bool) -> str | None:
+    """Capitals or small letters; an address with letters keeps some, so that its case is known."""
+    plain = re.sub(r"[:-]", "", s)
+    letters, upper = bool(re.search("[A-Fa-f]", plain)), not re.search("[a-f]", plain)
+    if letters and not (plain.islower() or plain.isupper()):
+        return None
+    x = int(plain, 16)
+    while True:
+        x = f.permute(x, 1 << 48, "mac", undo)
+        if bool(re.search("[a-f]", f"{x:012x}")) == letters:
+            return _onto(s, f"{x:012{'X' if upper else 'x'}}")
+
+
+def _day(f: Feistel, day: dt.date, undo: bool) -> dt.date | None:
+    """Another day of the range. Days whose number could be a month's are permuted among themselves, and so are those with
+    a number of one digit: each form then reads its pseudonym the same way as the date, and a date has one in all forms."""
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    kind = lambda d: (d.day <= 12, d.day < 10 or d.month < 10)
+    new = day
+    while True:
+        at = f.permute((new - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", undo)
+        new = FIRST_DAY + dt.timedelta(at)
+        if kind(new) == kind(day):
+            return new
+
+
 def _date(f: Feistel, s: str, undo: bool) -> str | None:
-    """Year first, else day first, else month first; what doesn't make a day of the range is no date. Days up to the
-    twelfth, which could be a month's number, are permuted among themselves: so each form reads its pseudonym the same
-    way as the date, and a date has one pseudonym in all forms."""
+    """Year first, else day first, else month first; what doesn't make a day of the range is no date. Where a number has
+    one digit, none is filled up."""
     marks, parts = re.findall(r"[-/.]", s), re.split(r"[-/.]", s)
+    width = "d" if any(len(x) == 1 for x in parts) else "02d"
     for order in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
         try:
             day = dt.date(*(int(parts[k]) for k in order))
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if width == "d" and any(len(x) != len(str(int(x))) for x in parts):
+            return None  # one filled up and one not
+        new = _day(f, day, undo)
+        if new is None:
             continue
-        new, early = day, day.day <= 12
-        while True:
-            at = f.permute((new - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", undo)
-            new = FIRST_DAY + dt.timedelta(at)
-            if (new.day <= 12) == early:
-                break
         out = ["", "", ""]
-        out[order[0]], out[order[1]], out[order[2]] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        out[order[0]], out[order[1]], out[order[2]] = f"{new.year:04d}", f"{new.month:{width}}", f"{new.day:{width}}"
         return out[0] + marks[0] + out[1] + marks[1] + out[2]
     return None
 
 
+# The months' names in the four languages of dates that are written out.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_NAMES = {k: "|".join(v) for k, v in _MONTHS.items()}
+_WRITTEN = {
+    "de": rf"(?P<day>\d{{1,2}})\. (?P<month>{_NAMES['de']}) (?P<year>\d{{4}})", "es": rf"(?P<day>\d{{1,2}}) de (?P<month>{_NAMES['es']}) de (?P<year>\d{{4}})",
+    "fr": rf"(?P<day>\d{{1,2}}) (?P<month>{_NAMES['fr']}) (?P<year>\d{{4}})", "en": rf"(?P<day>\d{{1,2}}) (?P<month>{_NAMES['en']}) (?P<year>\d{{4}})",
+    "us": rf"(?P<month>{_NAMES['en']}) (?P<day>\d{{1,2}}), (?P<year>\d{{4}})",
+}
+
+
+def _written(f: Feistel, s: str, undo: bool) -> str | None:
+    """A date with its month's name, in the same language and order; the day isn't filled up."""
+    for form, pattern in _WRITTEN.items():
+        if m := re.fullmatch(pattern, s):
+            names = _MONTHS["en" if form == "us" else form]
+            try:
+                day = dt.date(int(m["year"]), names.index(m["month"]) + 1, int(m["day"]))
+            except ValueError:
+                return None
+            new = None if m["day"][0] == "0" else _day(f, day, undo)
+            if new is None:
+                return None
+            values = {"day": str(new.day), "month": names[new.month - 1], "year": str(new.year)}
+            for name in sorted(values, key=m.start, reverse=True):
+                s = s[: m.start(name)] + values[name] + s[m.end(name) :]
+            return s
+    return None
+
+
 def _email(f: Feistel, s: str, undo: bool) -> str | None:
     local, _, domain = s.partition("@")
     return f"{f.symbols(local, f'email|{domain.lower()}', undo)}@{domain}"
@@ -198,10 +268,11 @@ def _value(f: Feistel, s: str, undo: bool) -> str:
             s = f.symbols(s, "value", undo)
             if _hex(s) is None:
                 return s
+    digits = any(c in DIGITS for c in s)
     while True:
         x = f.permute(int(s, 16), 16 ** len(s), "hex", undo)
         s = f"{x:0{len(s)}x}"
-        if _hex(s):
+        if _hex(s) and any(c in DIGITS for c in s) == digits:
             return s.upper() if letters == "ABCDEF" else s
 
 
@@ -212,13 +283,33 @@ def _key(f: Feistel, s: str, undo: bool) -> str | None:
 
 
 def _credential(f: Feistel, s: str, undo: bool) -> str | None:
-    """The name and sign stay; the value is a secret by where it stands."""
+    """The name and sign stay; the value is a secret by where it stands. After a colon a bare word may be prose, so there
+    it needs a digit or a mark, or to be quoted."""
     start = _NAMED.match(s).end()
+    if ":" in s[:start] and s[start - 1] not in "\"'" and s[start:].rstrip(".!?:)").isalpha():
+        return None
     return s[:start] + _value(f, s[start:], undo)
 
 
+def _pieces(f: Feistel, s: str, label: str, undo: bool, size: int = 60) -> str:
+    """A long text's symbols, permuted in pieces by their place."""
+    return "".join(f.symbols(s[k : k + size], f"{label}|{k}", undo) for k in range(0, len(s), size))
+
+
+def _jwt(f: Feistel, s: str, undo: bool) -> str | None:
+    """Three parts, of which the first two keep the mark that they begin with."""
+    head, body, sign = s.split(".")
+    return f"eyJ{_pieces(f, head[3:], 'jwt0', undo)}.eyJ{_pieces(f, body[3:], 'jwt1', undo)}.{_pieces(f, sign, 'jwt2', undo)}"
+
+
+def _block(f: Feistel, s: str, undo: bool) -> str | None:
+    """A private key between its two lines."""
+    first, last = s.index("KEY-----") + 8, s.rindex("-----END")
+    return s[:first] + _pieces(f, s[first:last], "block", undo) + s[last:]
+
+
 # Marks of issued keys, and names that a secret value follows.
-_MARK = re.compile(r"AKIA|ASIA|sk_(?:live|test)_|rk_live_|gh[pousr]_|github_pat_|glpat-|xox[abps]-|AIza")
+_MARK = re.compile(r"sk-(?:proj-|svcacct-|admin-)?(?=[0-9A-Za-z_-]{20})|AKIA|ASIA|sk_(?:live|test)_|rk_live_|gh[pousr]_|github_pat_|glpat-|xox[abps]-|AIza")
 _NAMED = re.compile(
     r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|auth[_ -]?key|client[_ -]?secret)[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?"
 )
@@ -234,17 +325,23 @@ class Kind(NamedTuple):
 
 #: Kinds in order of precedence; a value is tried by every kind whose pattern fits it until one finds it valid.
 KINDS = (
+    Kind("secret", r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----", "PRIVATE KEY", _block),
+    Kind("secret", r"(?<![\w.-])eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,8000}\.[A-Za-z0-9_-]{8,2000}(?![\w-])", "eyJ", _jwt),
     Kind("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", "@", _email),
     Kind("iban", r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", r"\d\d", _iban),
+    Kind("iban", r"(?<!\w)[a-z]{2}\d\d(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?!\w)", r"[a-z]\d\d", _iban),
+    Kind("mac", r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", _mac),
     Kind("secret", rf"(?<!\w)(?:{_MARK.pattern})[0-9A-Za-z_-]{{10,200}}(?!\w)", r"A[KS]IA|[srgx][khiol][_xtpousra-]|AIza", _key),
     Kind("secret", rf"(?<![A-Za-z]){_NAMED.pattern.replace('(?i)', '(?i:', 1)})[^\s\"',;<>&]{{4,200}}", r"(?i)pass|pwd|secret|token|key", _credential),
     Kind("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])", r":[0-9A-Fa-f:]{0,5}:", _ip6),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", r"\d\.\d", _ip),
-    Kind("date", r"(?<![\w/.-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\w/-]|\.\d)", r"\d\d[-/.]\d\d", _date),
+    Kind("date", r"(?<![\w/.-])(?:\d{4}([-/.])\d\d\1\d\d|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", r"\d[-/.]\d", _date),
+    Kind("date", rf"(?<![\w.-])(?:{'|'.join(re.sub(r'[?]P<[a-z]+>', '?:', p) for p in _WRITTEN.values())})(?!\w)", rf"(?:{'|'.join(_NAMES.values())})", _written),
     Kind("ssn", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", r"\d-\d\d-\d", _ssn),
     Kind("card", r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])", r"\d", _card),
-    Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)", r"\+\d", _phone),
+    Kind("phone", r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?!\w)", r"\+\d", _phone),
     Kind("phone", r"(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)", r"\d[.-]\d", _phone),
+    Kind("phone", r"(?<![\w+(.,-])(?<!\d )[2-9]\d\d \d{3} \d{4}(?!\w| \d)", r"\d \d{3} \d", _phone),
 )
 
 

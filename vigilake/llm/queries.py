@@ -122,6 +122,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     key = spark.conf.get("spark.vigilake.pii.key", None)
     if not key:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.vigilake.pii.key: pseudonyms of a key that everybody knows hide nothing")
         warnings.warn("spark.vigilake.pii.key isn't set: these pseudonyms have a key that everybody knows", stacklevel=2)
     return pii.pseudonymise(docs, key or "a key for tests alone")
 
