@@ -78,12 +78,6 @@ def log_value(value: Column) -> Column:
     return F.when(value.rlike(r"^[A-Za-z0-9_\-./:]+\z"), value).otherwise(quoted)
 
 
-def log_line(fields: dict[str, Column], most: int = 16_384) -> Column:
-    """`key=value` pairs of the fields that aren't null, cut to `most` characters."""
-    pairs = [F.concat(F.lit(f"{k}="), log_value(v.cast("string"))) for k, v in fields.items()]
-    return F.substring(F.concat_ws(" ", *pairs), 1, most)
-
-
 def safe_directory(event_id: Column) -> Column:
     """The id itself where it is a harmless file name, else `event-` with its digest."""
     harmless = event_id.rlike(r"^[A-Za-z0-9._-]{1,128}\z") & ~event_id.isin(".", "..")

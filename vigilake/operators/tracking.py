@@ -123,6 +123,8 @@ def begun(boxes: np.ndarray, known: np.ndarray) -> Tracks:
 
 
 def predicted(tracks: Tracks) -> Tracks:
+    if not len(tracks):
+        return tracks
     noise = _spread(tracks.mean, PLACE, SPEED)[:, :, None] * np.eye(8, dtype=np.float32)
     return Tracks(tracks.mean @ _MOVE.T, _MOVE @ tracks.cov @ _MOVE.T + noise, tracks.known)
 
@@ -168,6 +170,8 @@ def warped(tracks: Tracks, warp: np.ndarray | None) -> Tracks:
 
 def overlap_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 - IoU of all boxes of `a` with all of `b`."""
+    if not len(a) or not len(b):
+        return np.ones((len(a), len(b)))
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     both = np.maximum(high - low, 0).prod(axis=2)
     area = lambda x: np.maximum(x[:, 2:] - x[:, :2], 0).prod(axis=1)
@@ -258,11 +262,13 @@ class Tracker:
         tracked, lost = warped(predicted(self.tracked), warp), warped(predicted(still), warp)
         fresh = warped(self.fresh, warp)
         after, matched = Tracks(), {}
-        measured = []  # the boxes that the tracks in `after` were matched with
+        measured = [np.zeros((0, 4), np.float32)]  # the boxes that the tracks in `after` were matched with
 
         def round_of(pool: Tracks, places: np.ndarray, limit: float, fuse: bool) -> np.ndarray:
             """Match tracks with detections; the tracks that found one."""
             nonlocal after
+            if not len(pool) or not len(places):
+                return np.zeros(len(pool), bool)
             pairs = assign(self._cost(pool, boxes[places], scores[places], classes[places], fuse), limit)
             rows, found = [r for r, _ in pairs], [int(places[c]) for _, c in pairs]
             hit = pool.take(rows)
