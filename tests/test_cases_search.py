@@ -11,10 +11,10 @@ REV = "event_id string, revision int, verdict string, confidence double"
 
 
 def tables(spark, events=None, reviews=()):
-    events = events or [("evt-1", "camera-1", 1_700_000_000_000, "alarm", "pending", "violation", 0.5, 0)]
+    events = events or [("quay-4/18", "quay-4", 1_688_900_450_000, "intrusion", "pending", "violation", 0.35, 0)]
     return (
         spark.createDataFrame(events, EVENT),
-        spark.createDataFrame([(e[0], 0, "person") for e in events], DET),
+        spark.createDataFrame([(e[0], 0, "trolley") for e in events], DET),
         spark.createDataFrame([], EV),
         spark.createDataFrame(list(reviews), REV),
     )
@@ -22,9 +22,9 @@ def tables(spark, events=None, reviews=()):
 
 def test_listing_filters_and_semi_join(spark):
     events, det, *_ = tables(spark)
-    assert cases.list_events(events, det, EventQuery(source="camera-1")).count() == 1
-    assert cases.list_events(events, det, EventQuery(class_name="helmet")).count() == 0
-    at = 1_700_000_000_000
+    assert cases.list_events(events, det, EventQuery(source="quay-4")).count() == 1
+    assert cases.list_events(events, det, EventQuery(class_name="crane")).count() == 0
+    at = 1_688_900_450_000
     assert cases.list_events(events, det, EventQuery(start_ms=at, end_ms=at)).count() == 1
     assert cases.list_events(events, det, EventQuery(end_ms=at - 1)).count() == 0
 
@@ -36,7 +36,7 @@ def test_page_bounds(limit):
 
 
 def test_review_overrides_and_null_confidence(spark):
-    case = cases.event_cases(*tables(spark, reviews=[("evt-1", 1, "violation", 0.9), ("evt-1", 2, "compliant", None)]))
+    case = cases.event_cases(*tables(spark, reviews=[("quay-4/18", 1, "violation", 0.77), ("quay-4/18", 2, "compliant", None)]))
     row = case.select(cases.shown_verdict().alias("v"), cases.shown_confidence().alias("c")).first()
     assert (row.v, row.c) == ("compliant", None)
     assert cases.recheck(case, EventQuery(verdict="compliant")).count() == 1
@@ -44,19 +44,19 @@ def test_review_overrides_and_null_confidence(spark):
 
 
 def test_fusion_scores_and_order(spark):
-    a = spark.createDataFrame([("1-0", 1.0), ("2-0", 1.0)], "event_id string, score double")
-    b = spark.createDataFrame([("1-0", 0.8)], "event_id string, score double")
+    a = spark.createDataFrame([("north", 1.0), ("south", 1.0)], "event_id string, score double")
+    b = spark.createDataFrame([("north", 0.7)], "event_id string, score double")
     rows = [tuple(r) for r in search.fuse(a, b).collect()]
-    assert rows == [("2-0", 1.0, "attribute"), ("1-0", 0.9, "both")]
+    assert rows == [("south", 1.0, "attribute"), ("north", 0.85, "both")]
 
 
 def test_top_k_comes_after_the_recheck(spark):
-    events = [("wrong", "camera-2", 1, "a", "new", None, None, 0), ("right", "camera-1", 2, "a", "new", None, None, 0)]
+    events = [("wrong", "quay-5", 1, "a", "new", None, None, 0), ("right", "quay-4", 2, "a", "new", None, None, 0)]
     ev, det, evidence, rev = tables(spark, events)
     points = spark.createDataFrame([("wrong", [1.0, 0.0]), ("right", [-1.0, 0.0])], "event_id string, vector array<float>")
-    found = search.search_events(ev, det, evidence, rev, points, EventQuery(source="camera-1"), [1.0, 0.0], top_k=1)
+    found = search.search_events(ev, det, evidence, rev, points, EventQuery(source="quay-4"), [1.0, 0.0], top_k=1)
     assert [r.event_id for r in found.collect()] == ["right"]
-    alone = search.search_events(ev, det, evidence, rev, points, EventQuery(source="camera-1"), None, top_k=1)
+    alone = search.search_events(ev, det, evidence, rev, points, EventQuery(source="quay-4"), None, top_k=1)
     assert [(r.event_id, r.matched_by) for r in alone.collect()] == [("right", "attribute")]
 
 

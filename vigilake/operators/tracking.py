@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from vigilake.operators.detect import iou
 from vigilake.operators.folds import float32, folded_arrow
 
-#: A filter's standard deviations as shares of a box: of its place, of its speed.
+# The filter's standard deviations as shares of a box, of its place and of its speed, and the greatest costs
+# of the second and third round and of a tracked and a lost box that are one object.
 PLACE, SPEED = 1 / 20, 1 / 160
-#: The greatest costs of the second and third round, and of a tracked and a lost box that are one object.
 SECOND, THIRD, DUPLICATE = 0.5, 0.7, 0.15
 NEW, MATCHED = 0, 1
 STATS = ("n_input", "n_filtered", "n_high", "n_low", "matched_first", "matched_second", "n_new", "n_lost", "n_removed")
