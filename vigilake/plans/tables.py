@@ -19,6 +19,11 @@ def millis(ts: str) -> Column:
     return F.floor(micros(ts) / 1000).cast("long")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """`value` as SQL's round of a double gives it: the scaled binary number decides, not the shortest decimal."""
+    return F.round(value * 10.0**places, 0) / 10.0**places
+
+
 def cases_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("event_id"),
@@ -27,7 +32,7 @@ def cases_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("type-"), (F.col("o_custkey") % 5).cast("string")).alias("event_type"),
         F.col("o_orderstatus").alias("status"),
         F.when(F.col("o_custkey") % 3 == 0, "uncertain").alias("verdict"),
-        F.round(F.col("o_totalprice") / 1e6, 6).alias("confidence"),
+        rounded(F.col("o_totalprice") / 1e6, 6).alias("confidence"),
         (F.col("o_custkey") % 4).cast("int").alias("revision"),
     )
 
