@@ -160,8 +160,9 @@ def broken_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("i7_records", "SELECT doc_id, n_chars + 25 > 400 AS cut FROM (SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_chars FROM documents)")
 def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of 25 bytes, the line end among them, around each text."""
     plain = F.concat(F.lit('"'), F.regexp_replace("text", "[^a-z]", ""), F.lit('"'))
-    made = records.record({"event": F.lit("note"), "message": plain, "code": F.lit("1")}, 400)
+    made = records.record({"event": F.lit("io"), "error": plain, "code": F.lit("1")}, 400)
     rows = t.table(spark, sf_dir, "documents").select("doc_id", made.alias("line"))
     return rows.select("doc_id", (F.instr("line", "record_truncated=true") > 0).alias("cut"))
 
