@@ -21,3 +21,33 @@ def test_records_are_cut_from_the_length_that_sql_says(spark, tmp_path):
     texts.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id for r in review_queries.shortened(spark, str(tmp_path)).where("cut").collect()}
     assert got == {376, 377, 378}
+
+
+def test_tracker_in_chunks_is_the_plain_fold(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from vigilake.operators import tracking
+
+    # two sources; few enough boxes that states meet again, a change of size, frames of one size and without boxes
+    draw = np.random.default_rng(3)
+    rows = []
+    for source, n in (("a", 700), ("b", 150)):
+        for k in range(n):
+            boxes = []
+            for x, y in draw.random((draw.integers(0, 4), 2)) * 0.6:
+                boxes.append((0, float(draw.choice([0.3, 0.8, 0.95])), float(x), float(y), float(x + 0.3), float(y + 0.3)))
+            rows.append((source, 1, k * 10, 640 if source == "a" or k < 90 else 320, 360, boxes or None, None))
+    schema = "source_id string, generation bigint, pts_ns bigint, width int, height int, detections array<struct<class_id:int,confidence:double,x1:double,y1:double,x2:double,y2:double>>, warp array<double>"
+    frames = spark.createDataFrame(rows, schema)
+    want = {}
+    for source in "ab":
+        part = frames.where(f"source_id = '{source}'").orderBy("pts_ns").toArrow().combine_chunks().to_batches()[0]
+        want |= {(r["source_id"], r["pts_ns"]): r for r in tracking.Frames(tracking.Settings()).rows(part).to_pylist()}
+    assert isinstance(part, pa.RecordBatch)
+    # a lead too short for most chunks, which run again one after the other at last, and one that is enough
+    for chunk, lead, rounds in ((50, 2, 1), (100, 60, 3), (10_000, 10, 1)):
+        got = tracking.track(frames, chunk=chunk, lead=lead, rounds=rounds).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.asDict(recursive=True) == want[r.source_id, r.pts_ns], (chunk, lead)

@@ -3,16 +3,23 @@ track, and the tracks' lifecycle, as a fold over the frames of a source and gene
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vigilake.operators.detect import iou
-from vigilake.operators.folds import float32, folded_arrow
+from vigilake.operators.folds import float32
+from vigilake.session import shared_folder
 
 # The filter's standard deviations as shares of a box, of its place and of its speed, and the greatest costs
 # of the second and third round and of a tracked and a lost box that are one object.
@@ -100,21 +107,22 @@ class Tracks:
 
     def boxes(self) -> np.ndarray:
         half = self.mean[:, 2:4] / 2
-        return np.hstack([self.mean[:, :2] - half, self.mean[:, :2] + half])
+        return np.concatenate((self.mean[:, :2] - half, self.mean[:, :2] + half), axis=1)
 
 
 def centred(boxes: np.ndarray) -> np.ndarray:
     size = np.maximum(boxes[:, 2:] - boxes[:, :2], np.float32(1e-3))
-    return np.hstack([boxes[:, :2] + size / 2, size])
+    return np.concatenate((boxes[:, :2] + size / 2, size), axis=1)
 
 
 def _spread(mean: np.ndarray, place: float, speed: float) -> np.ndarray:
     """Variances of a state's numbers, from the box's size."""
     size = np.maximum(mean[:, 2:4], np.float32(1e-3))
-    return float32(np.hstack([size * place, size * place, size * speed, size * speed])) ** 2
+    places, speeds = size * np.float32(place), size * np.float32(speed)
+    return np.concatenate((places, places, speeds, speeds), axis=1) ** 2
 
 
-_MOVE = np.eye(8, dtype=np.float32) + np.eye(8, k=4, dtype=np.float32)
+_DIAGONAL = np.arange(8)
 
 
 def begun(boxes: np.ndarray, known: np.ndarray) -> Tracks:
@@ -125,8 +133,12 @@ def begun(boxes: np.ndarray, known: np.ndarray) -> Tracks:
 def predicted(tracks: Tracks) -> Tracks:
     if not len(tracks):
         return tracks
-    noise = _spread(tracks.mean, PLACE, SPEED)[:, :, None] * np.eye(8, dtype=np.float32)
-    return Tracks(tracks.mean @ _MOVE.T, _MOVE @ tracks.cov @ _MOVE.T + noise, tracks.known)
+    mean, cov = tracks.mean.copy(), tracks.cov.copy()
+    mean[:, :4] += mean[:, 4:]  # each number moves by its speed
+    cov[:, :4] += cov[:, 4:]
+    cov[:, :, :4] += cov[:, :, 4:]
+    cov[:, _DIAGONAL, _DIAGONAL] += _spread(tracks.mean, PLACE, SPEED)
+    return Tracks(mean, cov, tracks.known)
 
 
 def corrected(tracks: Tracks, boxes: np.ndarray) -> Tracks:
@@ -134,8 +146,8 @@ def corrected(tracks: Tracks, boxes: np.ndarray) -> Tracks:
     if not len(tracks):
         return tracks
     seen = centred(boxes)
-    noise = _spread(tracks.mean, PLACE, SPEED)[:, :4, None] * np.eye(4, dtype=np.float32)
-    inner = tracks.cov[:, :4, :4] + noise
+    inner = tracks.cov[:, :4, :4].copy()
+    inner[:, _DIAGONAL[:4], _DIAGONAL[:4]] += _spread(tracks.mean, PLACE, SPEED)[:, :4]
     try:
         gain = np.linalg.solve(inner.transpose(0, 2, 1), tracks.cov[:, :, :4].transpose(0, 2, 1)).transpose(0, 2, 1)
     except np.linalg.LinAlgError:  # one of them can't be: each by itself
@@ -172,10 +184,11 @@ def overlap_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 - IoU of all boxes of `a` with all of `b`."""
     if not len(a) or not len(b):
         return np.ones((len(a), len(b)))
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.maximum(high - low, 0).prod(axis=2)
-    area = lambda x: np.maximum(x[:, 2:] - x[:, :2], 0).prod(axis=1)
-    union = area(a)[:, None] + area(b)[None, :] - both
+    common = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
+    np.maximum(common, 0, out=common)
+    both = common[:, :, 0] * common[:, :, 1]
+    sides = [np.maximum(x[:, 2:] - x[:, :2], 0) for x in (a, b)]
+    union = (sides[0][:, 0] * sides[0][:, 1])[:, None] + (sides[1][:, 0] * sides[1][:, 1])[None, :] - both
     return np.where(union > 0, 1 - both / np.where(union > 0, union, 1), 1.0)
 
 
@@ -186,6 +199,8 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     goes to `_least_total`.
     """
     open_pairs = cost <= limit
+    if not open_pairs.any():
+        return []
     in_row, in_column = open_pairs.sum(axis=1), open_pairs.sum(axis=0)
     rows, columns = np.nonzero(open_pairs)
     only = (in_row[rows] == 1) & (in_column[columns] == 1)
@@ -201,7 +216,7 @@ def _least_total(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     n, m = cost.shape
     alone = np.full((n, n), np.inf)
     np.fill_diagonal(alone, 0.0)
-    cost = np.hstack([cost.astype(np.float64) - limit, alone])
+    cost = np.concatenate((cost.astype(np.float64) - limit, alone), axis=1)
     u, v = np.zeros(n), np.zeros(n + m)
     row_of, column_of = np.full(n + m, -1), np.full(n, -1)
     for first in range(n):
@@ -257,10 +272,10 @@ class Tracker:
         high = np.flatnonzero(usable & (scores > np.float32(s.high)))
         low = np.flatnonzero(usable & ~(scores > np.float32(s.high)))
 
-        still = Tracks(self.lost.mean.copy(), self.lost.cov, self.lost.known)
-        still.mean[:, 6:] = 0  # a lost box keeps its size
-        tracked, lost = warped(predicted(self.tracked), warp), warped(predicted(still), warp)
-        fresh = warped(self.fresh, warp)
+        n_tracked = len(self.tracked)
+        pool = self.tracked.plus(self.lost)
+        pool.mean[n_tracked:, 6:] = 0  # a lost box keeps its size
+        pool, fresh = warped(predicted(pool), warp), warped(self.fresh, warp)
         after, matched = Tracks(), {}
         measured = [np.zeros((0, 4), np.float32)]  # the boxes that the tracks in `after` were matched with
 
@@ -271,31 +286,33 @@ class Tracker:
                 return np.zeros(len(pool), bool)
             pairs = assign(self._cost(pool, boxes[places], scores[places], classes[places], fuse), limit)
             rows, found = [r for r, _ in pairs], [int(places[c]) for _, c in pairs]
+            out = np.zeros(len(pool), bool)
+            if not pairs:
+                return out
             hit = pool.take(rows)
-            hit.known = np.column_stack([hit.known[:, 0], classes[found], hit.known[:, 2], np.full(len(rows), self.frame)]).astype(np.int64)
-            after = after.plus(corrected(hit, boxes[found]))
+            hit.known[:, 1], hit.known[:, 3] = classes[found], self.frame
+            hit = corrected(hit, boxes[found])
+            after = after.plus(hit) if len(after) else hit
             measured.append(boxes[found])
-            for k, place in enumerate(found):
-                ids[place], states[place] = hit.known[k, 0], MATCHED
-                matched[place] = True
-            out = np.zeros(len(pool), bool)
+            ids[found], states[found] = hit.known[:, 0], MATCHED
+            matched.update(dict.fromkeys(found, True))
             out[rows] = True
             return out
 
-        hit = round_of(tracked.plus(lost), high, s.match, True)
-        hit_tracked, hit_lost = hit[: len(tracked)], hit[len(tracked) :]
-        first = int(hit.sum())
-        left = tracked.take(np.flatnonzero(~hit_tracked))
+        hit = round_of(pool, high, s.match, True)
+        first, missed = int(hit.sum()), np.flatnonzero(~hit)
+        left, waiting = pool.take(missed[missed < n_tracked]), pool.take(missed[missed >= n_tracked])
         hit = round_of(left, low, SECOND, False)
         second, left = int(hit.sum()), left.take(np.flatnonzero(~hit))
         free = np.array([p for p in high if p not in matched], np.int64)
         hit = round_of(fresh, free, THIRD, True)
         removed = int((~hit).sum())
 
-        waiting = lost.take(np.flatnonzero(~hit_lost))
         over = self.frame - waiting.known[:, 3] > s.lost_frames
-        removed += int(over.sum())
-        now_lost = left.plus(waiting.take(np.flatnonzero(~over)))
+        if over.any():
+            removed += int(over.sum())
+            waiting = waiting.take(np.flatnonzero(~over))
+        now_lost = left.plus(waiting) if len(left) else waiting
 
         opens = [int(p) for p in high if p not in matched and scores[p] >= np.float32(s.new)]
         names = np.arange(self.next_id, self.next_id + len(opens))
@@ -308,12 +325,14 @@ class Tracker:
             measured.append(boxes[opens])
 
         # of a tracked track, where it was measured, and a lost one in the same place the longer-lived stays
-        same = overlap_cost(np.concatenate(measured), now_lost.boxes()) < DUPLICATE
-        ages = [t.known[:, 3] - t.known[:, 2] for t in (after, now_lost)]
-        older = ages[0][:, None] > ages[1][None, :]
-        self.tracked = after.take(np.flatnonzero(~(same & ~older).any(axis=1)))
-        self.lost = now_lost.take(np.flatnonzero(~(same & older).any(axis=0)))
-        self.fresh = born
+        self.tracked, self.lost, self.fresh = after, now_lost, born
+        if len(after) and len(now_lost):
+            same = overlap_cost(np.concatenate(measured), now_lost.boxes()) < DUPLICATE
+            if same.any():
+                ages = [t.known[:, 3] - t.known[:, 2] for t in (after, now_lost)]
+                older = ages[0][:, None] > ages[1][None, :]
+                self.tracked = after.take(np.flatnonzero(~(same & ~older).any(axis=1)))
+                self.lost = now_lost.take(np.flatnonzero(~(same & older).any(axis=0)))
         counters = (len(boxes), len(high) + len(low), len(high), len(low), first, second, len(opens), len(left), removed)
         return ids, states, (ids >= 0) & (scores < np.float32(s.occluded_below)), counters
 
@@ -342,16 +361,26 @@ _OBJECT = "struct<class_id:int,confidence:double,x1:double,y1:double,x2:double,y
 SCHEMA = f"source_id string, generation bigint, pts_ns bigint, objects array<{_OBJECT}>, " + ", ".join(f"{c} bigint" for c in STATS)
 _KEPT = ("class_id", "confidence", "x1", "y1", "x2", "y2")
 _MADE = {"track_id": pa.int32(), "track_state": pa.int32(), "occluded": pa.bool_()}
+KEY = ["source_id", "generation"]
+#: Frames in a chunk, and those before it over which its tracker gathers its state.
+CHUNK, LEAD = 8_192, 1_024
+#: How often chunks that began from another state than the one before ended in run again side by side; then one by one.
+ROUNDS = 3
 
 
 class Frames:
-    """A key's tracker, begun anew where the source's size changes."""
+    """A key's tracker, begun anew where the source's size changes. `exact` says whether its ids are the key's own: they
+    are from the key's first frame and from a change of size on."""
 
-    def __init__(self, settings: Settings, shape=None, tracker: Tracker | None = None):
-        self.settings, self.shape, self.tracker = settings, shape, tracker
+    def __init__(self, settings: Settings, shape=None, tracker: Tracker | None = None, exact: bool = True):
+        self.settings, self.shape, self.tracker, self.exact = settings, shape, tracker, exact
 
     def rows(self, part: pa.RecordBatch) -> pa.RecordBatch:
         """SCHEMA's columns for rows of FRAME's columns, in order of time; a frame without detections has none."""
+        return self.told(part)[0]
+
+    def told(self, part: pa.RecordBatch) -> tuple[pa.RecordBatch, list[bool]]:
+        """`rows`, and whether each frame's ids are exact."""
         detections = part.column("detections")
         sizes = np.asarray(detections.value_lengths().fill_null(0), np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -360,9 +389,10 @@ class Frames:
         numbers = {c: v.to_numpy(zero_copy_only=False) for c, v in kept.items()}
         boxes = np.column_stack([float32(numbers[c]) for c in ("x1", "y1", "x2", "y2")])
         wide, high = (part.column(c).to_pylist() for c in ("width", "height"))
-        made, counters = [], []
+        made, counters, exact = [], [], []
         for k, warp in enumerate(part.column("warp").to_pylist()):
             if (wide[k], high[k]) != self.shape:
+                self.exact = self.exact or self.shape is not None
                 self.shape, self.tracker = (wide[k], high[k]), Tracker(self.settings)
             own = slice(ends[k], ends[k + 1])
             scale = float32([wide[k], high[k], wide[k], high[k]])
@@ -371,6 +401,7 @@ class Frames:
             )
             made.append(found[:3])
             counters.append(found[3])
+            exact.append(self.exact)
         columns = [np.concatenate(c) for c in zip(*made, strict=True)]
         kinds = {"class_id": pa.int32()}
         values = [kept[c].cast(kinds.get(c, pa.float64())) for c in _KEPT]
@@ -379,18 +410,191 @@ class Frames:
         stats = np.asarray(counters, np.int64).T
         return pa.RecordBatch.from_arrays(
             [*[part.column(c) for c in FRAME[:3]], objects, *[pa.array(c) for c in stats]], names=[*FRAME[:3], "objects", *STATS]
-        )
+        ), exact
 
+    # ------------------------------------------------------------ from chunk to chunk
 
-def track(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    def state(self) -> bytes:
+        return pickle.dumps((self.shape, self.exact, self.tracker and self.tracker.state()))
+
+    @classmethod
+    def of_state(cls, settings: Settings, state: bytes) -> Frames:
+        shape, exact, tracker = pickle.loads(state)
+        return cls(settings, shape, tracker and Tracker.of_state(settings, tracker), exact)
+
+    def names(self) -> tuple[list[int], int]:
+        """The living tracks' ids and the next one's."""
+        if self.tracker is None:
+            return [], 1
+        t = self.tracker
+        return np.concatenate([p.known[:, 0] for p in (t.tracked, t.lost, t.fresh)]).tolist(), t.next_id
+
+    def digest(self) -> str:
+        """Of all that what follows depends on: the ids are only names, and frames count from here."""
+        h = hashlib.sha256(repr((self.shape, self.tracker is None)).encode())
+        if self.tracker is not None:
+            for p in (self.tracker.tracked, self.tracker.lost, self.tracker.fresh):
+                known = np.column_stack([p.known[:, 1], p.known[:, 2:] - self.tracker.frame])
+                for x in (p.mean, p.cov, known):
+                    h.update(repr(x.shape).encode() + np.ascontiguousarray(x).tobytes())
+        return h.hexdigest()
+
+
+#: A chunk's row in the table of chunks, which stands beside its frames' rows.
+_CHUNK = "begin_digest string, end_digest string, begin_ids array<bigint>, begin_next bigint, end_ids array<bigint>, end_next bigint, end_exact boolean, end_state binary"
+
+
+def _run_chunks(settings: Settings, schema: pa.Schema):
+    """Frames' rows (FRAME, _chunk, _lead) in order of key, chunk and time, as rows of SCHEMA, and one for each chunk. A
+    row with `_state` stands before a chunk's others and is what its tracker begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, frames, begun, told = None, None, None, None
+
+        def padded(columns: dict) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def closed() -> pa.RecordBatch:
+            ids, following = frames.names()
+            values = (*now, *begun, ids, following, frames.exact, frames.state())
+            names = [*KEY, "_chunk", "begin_digest", "begin_ids", "begin_next", "end_ids", "end_next", "end_exact", "end_state"]
+            made = {n: pa.array([v], schema.field(n).type) for n, v in zip(names, values, strict=True)}
+            return padded(made | {"end_digest": pa.array([frames.digest()])})
+
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in (*KEY, "_chunk")], strict=True))
+            leads = batch.column("_lead").to_pylist()
+            marks = [(n, lead) for n, lead in zip(names, leads, strict=True)]
+            cuts = [0, *[i for i in range(1, len(marks)) if marks[i] != marks[i - 1]], len(marks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if names[a] != now:
+                    if frames is not None:
+                        yield closed()
+                    now, begun, told = names[a], None, True
+                    state = part.column("_state")[0].as_py()
+                    # without a state or frames before, these are the key's first
+                    frames = Frames(settings, exact=not leads[a]) if state is None else Frames.of_state(settings, state)
+                    if state is not None:
+                        part = part.slice(1)
+                if leads[a]:
+                    frames.told(part) if len(part) else None
+                    continue
+                if begun is None:
+                    begun = (frames.digest(), *frames.names())
+                if len(part):
+                    rows, exact = frames.told(part)
+                    columns = dict(zip(rows.schema.names, rows.columns, strict=True))
+                    yield padded(columns | {"_chunk": part.column("_chunk"), "_exact": pa.array(exact)})
+        if frames is not None:
+            yield closed()
+
+    return run
+
+
+def _named(chunks: DataFrame) -> DataFrame:
+    """Chunks with `names`, a map from the ids that their trackers began with to the key's, and `shift`, from the ids that
+    they gave to the key's. The ids are handed on from chunk to chunk, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, following = None, [], 1
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (r["source_id"], r["generation"]) != key:
+                    key, ids, following = (r["source_id"], r["generation"]), r["begin_ids"], r["begin_next"]
+                names, shift = dict(zip(r["begin_ids"], ids, strict=True)), following - r["begin_next"]
+                if r["end_exact"]:
+                    ids, following = r["end_ids"], r["end_next"]
+                else:
+                    ids, following = [names[i] if i < r["begin_next"] else i + shift for i in r["end_ids"]], r["end_next"] + shift
+                out.append({"source_id": key[0], "generation": key[1], "_chunk": r["_chunk"], "names": list(names.items()), "begin_next": r["begin_next"], "shift": shift})
+            yield pa.RecordBatch.from_pylist(out, made) if out else pa.RecordBatch.from_pylist([], made)
+
+    kinds = "source_id string, generation bigint, _chunk int, names map<bigint,bigint>, begin_next bigint, shift bigint"
+    made = pa.schema([
+        ("source_id", pa.string()), ("generation", pa.int64()), ("_chunk", pa.int32()), ("names", pa.map_(pa.int64(), pa.int64())),
+        ("begin_next", pa.int64()), ("shift", pa.int64()),
+    ])
+    rows = chunks.select(*KEY, "_chunk", "begin_ids", "begin_next", "end_ids", "end_next", "end_exact")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "_chunk").mapInArrow(run, kinds)
+
+
+def track(frames: DataFrame, settings: Settings = Settings(), chunk: int = CHUNK, lead: int = LEAD, rounds: int = ROUNDS) -> DataFrame:
     """Frames (source_id, generation, pts_ns, width, height, detections in shares of the frame, and warp, six numbers in
     source pixels or null) with `objects`, the detections in their order with track ids and states, and counters.
 
-    Detections without a track have id -1. A source's frames of one generation are one fold, in order of time, whose
-    state is its living tracks; another size of the frame begins it anew. Ids run from 1 in each.
+    Detections without a track have id -1. A source's frames of one generation are a fold, in order of time, whose state is
+    its living tracks; another size of the frame begins it anew. Ids run from 1 in each.
+
+    The fold runs in chunks side by side. What lived long ago has no effect once it is lost, so a chunk's tracker gathers
+    its state over the frames before it, and that state is compared with the one that the chunk before ended in, to the
+    last bit. Where they differ, the chunk runs again from the right state; what differs still after `rounds` of this runs
+    in one task a key. So the result is that of the plain fold.
     """
-    rows = frames.select(*FRAME).withColumn("generation", F.col("generation").cast("long"))
-    return folded_arrow(rows, ["source_id", "generation"], ["pts_ns"], lambda: Frames(settings), Frames.rows, SCHEMA)
+    spark, root = frames.sparkSession, shared_folder(frames.sparkSession, "tracker")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    rows = kept(frames.select(*FRAME).withColumn("generation", F.col("generation").cast("long")), "frames")
+    many = max(1, -(-rows.count() // chunk))
+    if many > 1:
+        rows = rows.repartitionByRange(many, *KEY, "pts_ns").withColumn("_chunk", F.spark_partition_id())
+        rows = kept(rows, "chunks")
+    else:
+        rows = rows.withColumn("_chunk", F.lit(0))
+    rows = rows.select(*FRAME, "_chunk", F.lit(False).alias("_lead"), F.lit(None).cast("binary").alias("_state"))
+
+    # the frames before a chunk: the last ones of the chunk before it
+    nth = F.row_number().over(Window.partitionBy(*KEY, "_chunk").orderBy(F.desc("pts_ns")))
+    last = rows.select(*KEY, "_chunk", "pts_ns").withColumn("_nth", nth).where(F.col("_nth") <= lead)
+    last = last.groupBy(*KEY, "_chunk").agg(F.min("pts_ns").alias("_from"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*KEY, "_chunk")]
+    before = rows.alias("r").join(F.broadcast(last.alias("l")), reduce(and_, [*same, F.col("r.pts_ns") >= F.col("l._from")]))
+    before = before.select("r.*").withColumns({"_chunk": F.col("_chunk") + 1, "_lead": F.lit(True)})
+    here = rows.select(*KEY, "_chunk").distinct()
+    before = before.alias("b").join(F.broadcast(here.alias("h")), reduce(and_, [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*KEY, "_chunk")]), "left_semi")
+
+    kinds = f"{SCHEMA}, _chunk int, _exact boolean, {_CHUNK}"
+    run = _run_chunks(settings, to_arrow_schema(StructType.fromDDL(kinds)))
+
+    def ran(dealt: DataFrame, name: str) -> DataFrame:
+        # frames of one time are in the order of their other columns each time
+        order = [*KEY, "_chunk", F.col("_state").isNull(), "pts_ns", "width", "height", "detections", "warp"]
+        return kept(dealt.repartition(many, *KEY, "_chunk").sortWithinPartitions(*order).mapInArrow(run, kinds), name)
+
+    made = ran(rows.unionByName(before), "made-0")
+    told, chunks = made.where("end_digest IS NULL"), made.where("end_digest IS NOT NULL")
+    for k in range(1, rounds + 2):
+        w = Window.partitionBy(*KEY).orderBy("_chunk")
+        joined = chunks.withColumns({"_end": F.lag("end_digest").over(w), "_state": F.lag("end_state").over(w)})
+        wrong = joined.where("_end <> begin_digest").select(*KEY, "_chunk", "_state")
+        if wrong.isEmpty():
+            break
+        if k > rounds:  # all from the first one on, as one chunk
+            wrong = wrong.groupBy(*KEY).agg(F.min_by("_state", "_chunk").alias("_state"), F.min("_chunk").alias("_chunk"))
+        wrong = kept(wrong, f"wrong-{k}")
+        on = lambda a, b: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in KEY])
+        of = F.col("r._chunk") == F.col("w._chunk") if k <= rounds else F.col("r._chunk") >= F.col("w._chunk")
+        names = wrong.select(*KEY, "_chunk").alias("w")
+        again = rows.alias("r").join(F.broadcast(names), on("r", "w") & of).select(*[F.col(f"r.{c}") for c in rows.columns if c != "_chunk"], F.col("w._chunk"))
+        heads = wrong.withColumn("_lead", F.lit(False))
+        made = ran(again.unionByName(heads, allowMissingColumns=True), f"made-{k}")
+        stays = lambda x: x.alias("r").join(F.broadcast(names), on("r", "w") & of, "left_anti")  # noqa: E731, B023
+        told = stays(told).unionByName(made.where("end_digest IS NULL"))
+        chunks = stays(chunks).unionByName(made.where("end_digest IS NOT NULL"))
+
+    named = _named(chunks).alias("n")
+    same = reduce(and_, [F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*KEY, "_chunk")])
+    found = told.alias("t").join(named, same)
+    begun = lambda i: F.when(i < F.col("n.begin_next"), F.element_at("n.names", i.cast("long"))).otherwise(i + F.col("n.shift"))
+    own = lambda o: o.withField("track_id", F.when(F.col("t._exact") | (o["track_id"] < 0), o["track_id"]).otherwise(begun(o["track_id"])).cast("int"))
+    return found.select(*[f"t.{c}" for c in FRAME[:3]], F.transform("t.objects", own).alias("objects"), *[f"t.{c}" for c in STATS])
 
 
 def tracker_totals(tracked: DataFrame, keys: list[str]) -> DataFrame:
