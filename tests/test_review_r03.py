@@ -51,3 +51,66 @@ def test_tracker_in_chunks_is_the_plain_fold(spark):
         assert len(got) == len(rows)
         for r in got:
             assert r.asDict(recursive=True) == want[r.source_id, r.pts_ns], (chunk, lead)
+
+
+def test_ranks_run_on_over_ranges(spark):
+    from vigilake.operators.folds import ranked
+
+    rows = spark.range(1_000).select((F.col("id") * 7919 % 1_000 / 2).cast("long").alias("k"), "id").repartition(5)
+    got = ranked(rows, ["k"], "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 1_001)) and sorted(r.id for r in got) == list(range(1_000))
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(r.k for r in got)
+    assert ranked(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_a_bucket_is_written_in_parts(spark, tmp_path, monkeypatch):
+    from vigilake.sources import snapshots
+    from vigilake.sources.snapshots import Merge, Snapshots
+
+    monkeypatch.setattr(snapshots, "PART_ROWS", 50)
+    store = Snapshots(spark, str(tmp_path), {"t": ["k"]}, 2)
+    store.transact(lambda _: {"t": Merge(spark.range(1_000).select(F.col("id").alias("k"), F.lit("old").alias("v")))})
+    store.transact(lambda _: {"t": Merge(spark.range(900, 1_100).select(F.col("id").alias("k"), F.lit("new").alias("v")), "replace")})
+    rows = store.table("t")
+    assert {r.k: r.v for r in rows.collect()} == {k: "old" if k < 900 else "new" for k in range(1_100)} and rows.count() == 1_100
+    sizes = rows.groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) > 4  # before: a file a bucket, each written by one task
+
+
+def test_pages_are_reclaimed_without_their_ids(spark, tmp_path):
+    from vigilake.sources import pending
+
+    store = pending.open_pending(spark, str(tmp_path), 3)
+    assert pending.reclaim_page(store, "me", 500, 1_000, 4) == 0
+    rows = spark.createDataFrame([(f"{k:03}",) for k in range(25)], "message_id string")
+    pending.deliver(store, rows.where("message_id < '010'"), "old", 100)
+    pending.deliver(store, rows, "new", 900)
+    assert [pending.reclaim_page(store, "me", 500, 1_000, 4) for _ in range(4)] == [4, 4, 2, 0]
+    held = {r.message_id: (r.consumer, r.deliveries) for r in store.table("entries").collect()}
+    assert held == {f"{k:03}": ("me", 2) if k < 10 else ("new", 1) for k in range(25)}
+
+
+def test_runs_advance_side_by_side_as_one_by_one():
+    import numpy as np
+    import pandas as pd
+
+    from vigilake.operators import motion
+
+    draw, rows = np.random.default_rng(5), []
+    for track in range(6):
+        at = np.cumsum(draw.choice([100, 100, 100, 900], 40)) * 1_000_000
+        for k in range(40):
+            before = at[k - 1] if k and draw.random() < 0.8 else motion.NEVER
+            rows.append(("s", 1, track, int(at[k]), draw.choice(["van", "van", "car"]) if track < 3 else None, 0, *draw.random(4), int(before)))
+    part = pd.DataFrame(rows, columns=["source_id", "generation", "track_id", "pts_ns", "class_name", "class_id", *motion.AXES, "_before"])
+    want, now = [], None
+    for r in part.itertuples():
+        if r.track_id != now:
+            now, run = r.track_id, motion.Run(300_000_000)
+        run.add(r.pts_ns, r._11, (r.class_name, r.class_id), np.array(r[7:11]))
+        want.append((run.seen, *run.p, *run.v))
+    for size in (7, 240):
+        cut = [part.iloc[k : k + size] for k in range(0, len(part), size)]
+        got = pd.concat(motion._follower(300_000_000, ["source_id", "generation", "track_id"])(iter(cut)))
+        columns = ["seen", *[f"{axis}_p" for axis in motion.AXES], *[f"{axis}_v" for axis in motion.AXES]]
+        assert np.array_equal(got[columns].to_numpy(np.float64), np.array(want, np.float64))

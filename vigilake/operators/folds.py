@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vigilake.session import shared_folder
+
 
 def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable, advance: Callable, schema: StructType | str) -> DataFrame:
     """`advance(state, part)` over each key's rows in order, `state` being `start()` at the key's first row.
@@ -76,6 +78,21 @@ def carried(rows: DataFrame, keys: list[str], made: dict[str, Column], carry: di
     return rows.join(slices, same, "left").drop(*[f"_of_{n}" for n in names])
 
 
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their number in `order`, from 1, as `name`. They are dealt by ranges of the order and numbered within
+    each; only the ranges' counts meet. Rows alike in `order` are numbered in any order."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "ranked")
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    held = dealt.join(F.broadcast(counts), "_range")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return held.withColumn(name, number).select(*rows.columns, name)
+
+
 def last_known(column: Column) -> Column:
     return F.last(column, ignorenulls=True)
 

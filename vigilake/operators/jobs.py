@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.operators.folds import ranked
+
 
 def _set(jobs: DataFrame, hit: Column, **values: Column) -> DataFrame:
     """The table with `values` where `hit` holds."""
@@ -61,14 +63,9 @@ def fail(jobs: DataFrame, job_id: int, owner: str, attempt: int, now_ms: int, de
 def claim_many(jobs: DataFrame, requests: DataFrame, kind: str, now_ms: int, lease_ms: int) -> DataFrame:
     """The jobs that change as all `requests` (owner, and any column `asked` that orders them) claim one job each: the
     claimable job of the k-th lowest id goes to the k-th request, by `asked` and owner. Claimable jobs are due as in
-    `claimable`. An owner that asks twice gets two. There are as many rows in the ranking as there are requests or fewer,
-    so it is one task over workers, not over jobs."""
-    asked = requests.select("owner", F.col("asked").cast("long").alias("asked"))
-    order = Window.orderBy("asked", "owner")
-    asked = asked.withColumn("_k", F.row_number().over(order))
-    many = asked.count()
-    free = jobs.where((F.col("kind") == kind) & claimable(now_ms)).orderBy("job_id").limit(many)
-    free = free.withColumn("_k", F.row_number().over(Window.orderBy("job_id")))
+    `claimable`. An owner that asks twice gets two. Both are numbered by ranges of their order, many tasks each."""
+    asked = ranked(requests.select("owner", F.col("asked").cast("long").alias("asked")), ["asked", "owner"], "_k")
+    free = ranked(jobs.where((F.col("kind") == kind) & claimable(now_ms)), ["job_id"], "_k")
     taken = free.join(asked, "_k")
     values = {"state": F.lit("processing"), "attempts": F.col("attempts") + 1, "lease_owner": F.col("owner"), "lease_expires_ms": F.lit(now_ms + lease_ms)}
     return taken.withColumns({k: v.cast(jobs.schema[k].dataType) for k, v in values.items()}).select(jobs.columns)

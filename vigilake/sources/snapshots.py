@@ -3,7 +3,8 @@
 A table's rows lie in buckets by the hash of their key. A transaction writes new files for the buckets that its rows
 touch, and then one manifest that names all tables' files; until that is there nobody sees any of it. Manifests are
 numbered and never replaced, so of two writers on one version the second starts again from the first one's. A reader needs
-no shuffle: a bucket's files hold one row a key.
+no shuffle: a bucket's files hold one row a key. A bucket is written in parts by its rows' keys, whose number follows the
+table's rows, so no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ class Merge:
     mode: str = "keep"
 
 
+#: Rows of a bucket that meet in one task as the bucket is written again.
+PART_ROWS = 100_000
+
+
 class Conflict(Exception):
     """Another writer was first, too often."""
 
@@ -154,7 +159,11 @@ class Snapshots:
                 order, choose = F.struct(~F.col("_new"), row), F.min_by
             else:
                 order, choose = F.struct(change.mode, ~F.col("_new"), row), F.max_by
-            kept = both.repartition("_bucket").groupBy("_bucket", *self.keys[name]).agg(choose(row, order).alias("_r"), F.bool_or("_new").alias("_new"))
+            # as many parts as the rows need: both counts are read from the files' footers
+            parts = max(1, -(-(old.count() + new.count()) // (PART_ROWS * len(touched))))
+            part = F.pmod(F.xxhash64(F.lit(1), *self.keys[name]), F.lit(parts)).cast("int")
+            both = both.withColumn("_part", part).repartition(parts * len(touched), "_bucket", "_part")
+            kept = both.groupBy("_bucket", "_part", *self.keys[name]).agg(choose(row, order).alias("_r"), F.bool_or("_new").alias("_new"))
             if change.mode == "drop":
                 kept = kept.where("NOT _new")
             folder = f"data/{name}/{uuid.uuid4().hex}"
