@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.operators.folds import carried, folded, sliced, within
+from vigilake.operators.folds import carried, sliced, within
 from vigilake.operators.timeline import asof_within
 
 PROCESS_NOISE = MEASUREMENT_NOISE = 1e-4
@@ -43,14 +45,9 @@ def observations(frames: DataFrame, horizon_ns: int) -> DataFrame:
     # no null, as one among pandas' integers would make doubles of them all
     tracked = tracked.select(*columns, F.coalesce(F.col("_before").cast("long"), F.lit(NEVER)).alias("_before"))
     kinds = ", ".join(f"{n} {t}" for n, t in tracked.dtypes)
-    followed = folded(
-        tracked,
-        ["source_id", "generation", "track_id"],
-        ["pts_ns"],
-        lambda: Run(horizon_ns),
-        Run.rows,
-        f"{kinds}, seen int, {states}",
-    ).drop("_before")
+    tracks = ["source_id", "generation", "track_id"]
+    ordered = tracked.repartition(*tracks).sortWithinPartitions(*tracks, "pts_ns")
+    followed = ordered.mapInPandas(_follower(horizon_ns, tracks), f"{kinds}, seen int, {states}").drop("_before")
     alone = rows.where("track_id < 0").select(*columns, F.lit(1).alias("seen"))
     alone = alone.select("*", *[c for axis in AXES for c in (F.col(axis).alias(f"{axis}_p"), F.lit(0.0).alias(f"{axis}_v"))])
     return followed.unionByName(alone)
@@ -81,27 +78,62 @@ class Run:
             self.p, self.v, self.seen = measured.copy(), np.zeros(len(AXES)), 0
             self.a, self.b, self.d = MEASUREMENT_NOISE, 0.0, 1.0  # alike for all axes
         else:
-            dt, q = (at - self.at) / 1e9, PROCESS_NOISE
-            p = self.p + dt * self.v
-            a = self.a + 2 * dt * self.b + dt * dt * self.d + q * dt**4 / 4
-            b, d = self.b + dt * self.d + q * dt**3 / 2, self.d + q * dt * dt
-            gain, speed = a / (a + MEASUREMENT_NOISE), b / (a + MEASUREMENT_NOISE)
-            self.p, self.v = p + gain * (measured - p), self.v + speed * (measured - p)
-            self.a, self.b, self.d = (1 - gain) * a, ((1 - gain) * b + b - speed * a) / 2, d - speed * b
+            state = _step((at - self.at) / 1e9, measured, self.p, self.v, self.a, self.b, self.d)
+            self.p, self.v, self.a, self.b, self.d = state
         self.at, self.named, self.seen = at, named, self.seen + 1
 
-    def rows(self, part: pd.DataFrame) -> pd.DataFrame:
-        measured = part[list(AXES)].to_numpy(np.float64)
-        befores = part["_before"].tolist()
-        seen, p, v = [], [], []
-        for k, (at, name, ident) in enumerate(zip(part["pts_ns"].tolist(), part["class_name"], part["class_id"], strict=True)):
-            self.add(at, befores[k], (name, ident), measured[k])
-            seen.append(self.seen)
-            p.append(self.p)
-            v.append(self.v)
-        p, v = np.array(p), np.array(v)
-        states = {f"{axis}_{name}": x[:, k] for k, axis in enumerate(AXES) for name, x in (("p", p), ("v", v))}
-        return part.assign(seen=seen, **states)
+
+def _step(dt, measured, p, v, a, b, d):
+    """A filter's numbers after an observation, `dt` seconds after the one before."""
+    square = dt * dt
+    p = p + dt * v
+    a = a + 2 * dt * b + square * d + PROCESS_NOISE * square * square / 4
+    b, d = b + dt * d + PROCESS_NOISE * square * dt / 2, d + PROCESS_NOISE * square
+    gain, speed = a / (a + MEASUREMENT_NOISE), b / (a + MEASUREMENT_NOISE)
+    return p + gain * (measured - p), v + speed * (measured - p), (1 - gain) * a, ((1 - gain) * b + b - speed * a) / 2, d - speed * b
+
+
+def _follower(horizon_ns: int, tracks: list[str]):
+    """Rows in order of their track and time with the state of their run's filter: the runs of a batch advance side by
+    side, all their second observations, all their third, and so on; only the last row's state goes to the next batch."""
+    names = [*tracks, "class_name", "class_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            n = len(part)
+            if not n:
+                continue
+            # the row before the batch stands at 0
+            first = held["row"] if held else part[[*names, "pts_ns"]].iloc[0]
+            same = np.ones(n, bool)
+            for c in names:
+                codes = pd.factorize(np.concatenate([np.array([first[c]], object), part[c].to_numpy(object)]))[0]
+                same &= codes[1:] == codes[:-1]
+            at = np.concatenate([[first["pts_ns"]], part["pts_ns"].to_numpy()]).astype(np.int64)
+            gap = at[1:] - at[:-1]
+            goes_on = np.concatenate([[False], same & (part["_before"].to_numpy(np.int64) == at[:-1]) & (gap <= horizon_ns)])
+            if held is None:
+                goes_on[1] = False
+            measured = np.concatenate([np.zeros((1, len(AXES))), part[list(AXES)].to_numpy(np.float64)])
+            p, v, seen = measured.copy(), np.zeros_like(measured), np.ones(n + 1, np.int64)
+            a, b, d = (np.full((n + 1, 1), x) for x in (MEASUREMENT_NOISE, 0.0, 1.0))  # alike for all axes
+            if held:
+                for x, value in zip((p, v, a, b, d, seen), held["state"], strict=True):
+                    x[0] = value
+            places = np.arange(n + 1)
+            nth = places - np.maximum.accumulate(np.where(goes_on, 0, places))
+            order = np.argsort(nth, kind="stable")
+            for rows in np.split(order, np.cumsum(np.bincount(nth)))[1:-1]:
+                before = rows - 1
+                dt = gap[before][:, None] / 1e9
+                p[rows], v[rows], a[rows], b[rows], d[rows] = _step(dt, measured[rows], *(x[before] for x in (p, v, a, b, d)))
+                seen[rows] = seen[before] + 1
+            held = {"row": part[[*names, "pts_ns"]].iloc[-1], "state": [x[-1].copy() for x in (p, v, a, b, d, seen)]}
+            states = {f"{axis}_{name}": x[1:, k] for k, axis in enumerate(AXES) for name, x in (("p", p), ("v", v))}
+            yield part.assign(seen=seen[1:].astype(np.int32), **states)
+
+    return run
 
 
 def predict(frames: DataFrame, displays: DataFrame, horizon_ns: int = 300_000_000, motion: bool = True) -> DataFrame:
