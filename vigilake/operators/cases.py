@@ -105,15 +105,19 @@ def recheck(cases: DataFrame, query: EventQuery) -> DataFrame:
 
 def find_cases(events: DataFrame, detections: DataFrame, evidence: DataFrame, reviews: DataFrame, query: EventQuery) -> DataFrame:
     """The cases that meet the conditions as they now stand. What doesn't need a case filters first: the events' own
-    columns, the class, and, where a verdict is asked for, the latest review's or the event's verdict; children are
-    nested only for what is left."""
-    own = replace(query, verdict=None)
+    columns, and, where a verdict is asked for, the latest review's or the event's verdict, then the class, of which only
+    the detections of what is left are looked up; children are nested only for what is left."""
+    own = replace(query, verdict=None, class_name=None)
     events = select_events(events, detections, own)
     latest = latest_reviews(reviews)
     if query.verdict is not None:
         said = latest.select("event_id", F.struct(F.col("verdict").alias("said")).alias("r"))
         now = F.when(F.col("r").isNotNull(), F.coalesce("r.said", "verdict")).otherwise(F.col("verdict"))
         events = events.join(said, "event_id", "left").where(now == query.verdict).drop("r")
+    if query.class_name is not None:
+        of_class = detections.where(F.col("class_name") == query.class_name).select("event_id")
+        of_class = of_class.join(events.select("event_id"), "event_id", "left_semi").distinct()
+        events = events.join(of_class, "event_id", "left_semi")
     ids = events.select("event_id")
     sides = [side.join(ids, "event_id", "left_semi") for side in (detections, evidence, reviews)]
     return recheck(event_cases(events, *sides), query)
