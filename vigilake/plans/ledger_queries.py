@@ -231,6 +231,6 @@ def reclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.transact(lambda _: {"entries": Merge(entries)})
     first, last, many = rows.agg(F.min("timestamp_ms"), F.max("timestamp_ms"), F.count("*")).first()
     cut, page = first + (last - first) // 2, many // 4 + 1
-    while len(pending.reclaim(store, "me", 10**12, cut + 10**12, page)) == page:
+    while pending.reclaim_page(store, "me", 10**12, cut + 10**12, page) == page:
         pass
     return store.table("entries").select("message_id", "consumer", "deliveries")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.operators.folds import ranked
 from vigilake.operators.jobs import keyset_page
 from vigilake.sources.messages import Log
 from vigilake.sources.snapshots import Merge, Snapshots
@@ -39,32 +41,56 @@ def _moved(store: Snapshots, name: str, after) -> Merge:
     return Merge(store.spark.createDataFrame([(name, after)], "name string, after string"), "replace")
 
 
-def reclaim(store: Snapshots, consumer: str, idle_ms: int, now_ms: int, page: int = 1_000) -> list:
-    """Take over the next page of entries that were delivered `idle_ms` or longer ago, in order of their ids; the ids.
-
-    The page begins behind the cursor that is kept for the consumer, which goes back to the start after a page that isn't
-    full. Cursor and entries change in one version, so a crash loses no page and takes none twice.
-    """
-    taken: list = []
+def _reclaimed(store: Snapshots, consumer: str, idle_ms: int, now_ms: int, page: int, taken: Callable) -> None:
+    """Take over a page. `taken` gets the idle entries' ids behind the cursor and gives the page's last one and its size."""
 
     def step(table) -> dict[str, Merge]:
-        taken.clear()
         entries = table("entries")
         if entries is None:
             return {}
+        after = _cursor(table, consumer)
         idle = entries.where(F.col("delivered_ms") <= now_ms - idle_ms)
-        taken.extend(r[0] for r in keyset_page(idle.select("message_id"), "message_id", _cursor(table, consumer), page).collect())  # at most a page
-        if not taken:
+        idle = idle if after is None else idle.where(F.col("message_id") > after)
+        last, many = taken(idle.select("message_id"))
+        if not many:
             return {"cursors": _moved(store, consumer, None)}
-        ids = store.spark.createDataFrame([(i,) for i in taken], entries.select("message_id").schema)
-        rows = entries.join(F.broadcast(ids), "message_id", "left_semi").withColumns(
+        rows = idle.where(F.col("message_id") <= last).withColumns(
             {"consumer": F.lit(consumer), "delivered_ms": F.lit(now_ms).cast("long"), "deliveries": F.col("deliveries") + 1}
         )
-        after = taken[-1] if len(taken) == page else None
-        return {"entries": Merge(rows, "replace"), "cursors": _moved(store, consumer, after)}
+        return {"entries": Merge(rows, "replace"), "cursors": _moved(store, consumer, last if many == page else None)}
 
     store.transact(step)
-    return list(taken)
+
+
+def reclaim(store: Snapshots, consumer: str, idle_ms: int, now_ms: int, page: int = 1_000) -> list:
+    """Take over the next page of entries that were delivered `idle_ms` or longer ago, in order of their ids; the ids.
+
+    The page begins behind the cursor that is kept for the consumer, which goes back to the start after a page that isn't
+    full. Cursor and entries change in one version, so a crash loses no page and takes none twice. The ids come to the
+    driver; where pages are large, `reclaim_page` keeps them on the cluster.
+    """
+    ids: list = []
+
+    def taken(idle: DataFrame) -> tuple:
+        ids[:] = [r[0] for r in keyset_page(idle, "message_id", None, page).collect()]  # at most a page
+        return (ids[-1] if ids else None), len(ids)
+
+    _reclaimed(store, consumer, idle_ms, now_ms, page, taken)
+    return ids
+
+
+def reclaim_page(store: Snapshots, consumer: str, idle_ms: int, now_ms: int, page: int) -> int:
+    """`reclaim` for pages of any size: how many entries were taken over. Of the ids only the page's last one comes to the
+    driver, and no task sorts the whole page."""
+    many = 0
+
+    def taken(idle: DataFrame) -> tuple:
+        nonlocal many
+        last, many = ranked(idle, ["message_id"], "_k").where(F.col("_k") <= page).agg(F.max("message_id"), F.count("*")).first()
+        return last, many
+
+    _reclaimed(store, consumer, idle_ms, now_ms, page, taken)
+    return many
 
 
 @dataclass(frozen=True)
