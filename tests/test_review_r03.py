@@ -114,3 +114,22 @@ def test_runs_advance_side_by_side_as_one_by_one():
         got = pd.concat(motion._follower(300_000_000, ["source_id", "generation", "track_id"])(iter(cut)))
         columns = ["seen", *[f"{axis}_p" for axis in motion.AXES], *[f"{axis}_v" for axis in motion.AXES]]
         assert np.array_equal(got[columns].to_numpy(np.float64), np.array(want, np.float64))
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
+    from vigilake.sources import ledger
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+
+    body = '{"type": "x", "source": "s", "timestamp_ms": 1, "detections": []}'
+    rows = spark.range(20).select(F.concat(F.lit("m"), "id").alias("ingress_id"), seen.asNondeterministic()(F.lit(body)).alias("event"))
+    store = ledger.open_ledger(spark, str(tmp_path), 2)
+    ledger.record(store, rows, 1, "w", 0)
+    assert store.table("events").count() == 20 and store.table("jobs").count() == 40
+    assert calls.value == 20  # before: once for each of the tables
+    assert store._listed("staged") == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,8 @@ def job_rows(jobs: DataFrame) -> DataFrame:
     )
 
 
-def recorded(ingress: DataFrame, now_ms: int) -> dict[str, Merge]:
-    """What a batch of messages adds to the ledger's tables; malformed and invalid messages go to quarantine."""
-    decoded = decode_events(ingress)
+def recorded(decoded: DataFrame, now_ms: int) -> dict[str, Merge]:
+    """What a batch of decoded messages adds to the ledger's tables; malformed and invalid messages go to quarantine."""
     rows = ledger_rows(decoded, now_ms)
     rows["jobs"] = job_rows(rows["jobs"])
     rows["quarantine"] = decoded.where("problem IS NOT NULL").select("ingress_id", "event", "problem")
@@ -51,9 +52,19 @@ def recorded(ingress: DataFrame, now_ms: int) -> dict[str, Merge]:
 def record(ledger: Snapshots, ingress: DataFrame, now_ms: int, writer: str | None = None, batch: int | None = None) -> int:
     """Record messages in one version of all tables: no event is ever seen without its detections, evidence and jobs.
 
-    Rows whose key a table holds stay as they are, so messages that come again change nothing.
+    Rows whose key a table holds stay as they are, so messages that come again change nothing. Messages are decoded once,
+    into a staged table from which all the ledger's tables are made.
     """
-    return ledger.transact(lambda _: recorded(ingress, now_ms), writer, batch)
+    staged = f"{ledger.root}/staged/{uuid.uuid4().hex}"
+
+    def step(_) -> dict[str, Merge]:
+        decode_events(ingress).write.mode("overwrite").parquet(staged)
+        return recorded(ledger.spark.read.parquet(staged), now_ms)
+
+    try:
+        return ledger.transact(step, writer, batch)
+    finally:
+        ledger.discard(staged)
 
 
 def record_batch(root: str, now_ms: int, writer: str = "ingest"):

@@ -172,9 +172,13 @@ class Snapshots:
             filled = {int(n.split("=")[1]) for n in self._listed(folder) if n.startswith("_bucket=")}  # of a bucket all rows may go
             files = [{"bucket": b, "path": f"{folder}/_bucket={b}", "schema": len(entry["schemas"]) - 1} for b in sorted(filled)]
             entry = entry | {"files": [f for f in entry["files"] if f["bucket"] not in touched] + files}
-        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+        self.discard(staged)
         return entry
 
+    def discard(self, staged: str) -> None:
+        """Delete a staged table."""
+        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
     def migrate(self, name: str, column: str, kind: str, fill: str) -> int:
         """Add a column; `fill`, an SQL expression over a row's other columns, is its value in rows from before. No file
         is rewritten. A column that is there already stays as it is."""
