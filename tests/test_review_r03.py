@@ -133,3 +133,20 @@ def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
     assert store.table("events").count() == 20 and store.table("jobs").count() == 40
     assert calls.value == 20  # before: once for each of the tables
     assert store._listed("staged") == []
+
+
+def test_pieces_are_those_of_the_tokenizer_s_own_pattern():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from vigilake.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, whole, draw = packing.encoder(path), Tokenizer.from_file(path), random.Random(1)
+    assert "++" in packing.PIECES  # before: with steps back, over the budget
+    letters = ["'", "s", "ll", "ve", " ", "  ", "\n", "\t", " ", "　", "é", "1", "٣", "-", "!", "漢", "a", "B", "\r", "🙂"]
+    for _ in range(5_000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 9)))
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text

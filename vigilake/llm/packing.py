@@ -29,8 +29,9 @@ WINDOW = 2048
 SHARD_DOCS = 512
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: The pattern by which a byte-level BPE of this kind splits text before its merges.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern by which a byte-level BPE of this kind splits text before its merges, written without steps back, in which
+#: it gives the same pieces in less time.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 PIECE_SCHEMA = (
     "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,16 +104,17 @@ def _cut_documents(tokenizer: str, end_id: int, window: int) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, sequence = encoder(tokenizer), (1 << 62) | (TaskContext.get().partitionId() << 36)
-        held = np.zeros(0, np.int64)
+        held, last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id))
                 n = len(ids)
-                has = np.unique(ids)
-                if has[-1] >= len(held):
-                    held = np.pad(held, (0, int(has[-1]) + 1 - len(held)))
-                held[has] += 1
+                most, places = int(ids.max()), np.arange(n)
+                if most >= len(held):
+                    held, last = (np.pad(x, (0, most + 1 - len(x))) for x in (held, last))
+                last[ids] = places
+                held[ids[last[ids] == places]] += 1  # each token where it stands last
                 whole = n - n % window
                 for start in range(0, whole, window):
                     rows.append((0, doc_id, start, window, _crc(ids[start : start + window]), n, sequence, None, None))
