@@ -150,3 +150,40 @@ def test_pieces_are_those_of_the_tokenizer_s_own_pattern():
     for _ in range(5_000):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 9)))
         assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_notices_of_a_host_s_articles_go_by_the_suffix_array(spark):
+    import random
+
+    from vigilake.llm import html
+
+    draw = random.Random(8)
+    words = lambda n: " ".join(f"w{draw.randrange(5_000)}" for _ in range(n))
+    notice, quoted, copied = "Get our letter every week and read what the others only tell later", words(15), [words(20) for _ in range(6)]
+    pages, want = [], {}
+
+    def add(host, blocks, kept):
+        k = len(pages)
+        pages.append((k, f"http://{host}/{k}", "<body><nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"))
+        want[k] = "\n\n".join(kept)
+
+    for k in range(24):
+        own = [words(30), words(40), "Short."]
+        for host, n in (("site.example", 24), ("small.example", 12)):  # too few pages say nothing of a host
+            if k < n:
+                said = own + [quoted] * (k < 9)  # a passage of fewer than half of the articles stays
+                whole = [said[0], f"{notice} says author{k}", *said[1:]]  # a notice that differs at its end
+                add(host, whole, said if n == 24 else whole)
+        # near copies of one article are all alike, and stay
+        add("copies.example", near := [*copied[:3], f"{copied[3]} and {k}", *copied[4:]], near)
+        # a short article under a long notice is too alike to tell
+        add("short.example", near := [notice, words(9)], near)
+        # repeated rows are one page, however many: what one other page quotes of it isn't the site's
+        add("rows.example", near := [*own, words(20) if k else copied[0]], near)
+    one = "<article>" + "".join(f"<p>{b}</p>" for b in copied) + "</article>"
+    for _ in range(60):
+        want[len(pages)] = "\n\n".join(copied)
+        pages.append((len(pages), "http://rows.example/", one))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html.extract_text(rows).collect()}
+    assert got == want  # before: articles never met, and the notices stayed
