@@ -187,3 +187,47 @@ def test_notices_of_a_host_s_articles_go_by_the_suffix_array(spark):
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in html.extract_text(rows).collect()}
     assert got == want  # before: articles never met, and the notices stayed
+
+
+def test_more_requests_are_more_tasks(spark, monkeypatch):
+    from vigilake.operators import jobs
+
+    monkeypatch.setattr(jobs, "PART_ROWS", 20)
+    table = spark.createDataFrame(
+        [(i, "processing", "w", 1, 900) for i in range(200)], "job_id long, state string, lease_owner string, attempts int, lease_expires_ms long"
+    )
+    asked = spark.createDataFrame([(i, "w" if i % 3 else "x", 1) for i in range(0, 300, 2)], "job_id long, owner string, attempt long")
+    want = sorted(i for i in range(0, 200, 2) if i % 3)
+    for moved in (jobs.renew_many(table, asked.union(asked), 500, 700), jobs.complete_many(table, asked.union(asked), 500)):
+        got = moved.select("job_id", F.spark_partition_id().alias("at")).collect()
+        assert sorted(r.job_id for r in got) == want
+    # before: as many tasks as the session has shuffle partitions, 4 here, whatever the rows; 200 jobs and 150 requests are 18
+    asked = asked.select("job_id", "owner", F.col("attempt").cast("int").alias("attempt"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = jobs.renew_many(table, asked, 500, 700).select(F.spark_partition_id().alias("at")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(want) and len({r.at for r in got}) > 8
+
+
+def test_each_part_of_a_bucket_is_a_task_and_reads_are_small(spark, tmp_path, monkeypatch):
+    from vigilake.sources import snapshots
+    from vigilake.sources.snapshots import Merge, Snapshots
+
+    monkeypatch.setattr(snapshots, "PART_ROWS", 50)
+    monkeypatch.setattr(snapshots, "STAGED_ROWS", 30)
+    conf, seen = "spark.sql.files.maxPartitionBytes", []
+    before, discard = spark.conf.get(conf), Snapshots.discard
+
+    def noted(self, staged):
+        seen.append((spark.conf.get(conf), spark.read.parquet(staged).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]))
+        discard(self, staged)
+
+    monkeypatch.setattr(Snapshots, "discard", noted)
+    store = Snapshots(spark, str(tmp_path), {"t": ["k"]}, 2)
+    rows = spark.range(1_000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    store.transact(lambda _: {"t": Merge(rows)})
+    assert seen == [(str(snapshots.READ_BYTES), 30)] and spark.conf.get(conf) == before
+    sizes = [r["count"] for r in store.table("t").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1_000  # before: fewer, as parts met in one task by their hashes

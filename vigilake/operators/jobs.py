@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.operators.folds import ranked
 
+#: Requests and jobs that meet in one task.
+PART_ROWS = 100_000
+
 
 def _set(jobs: DataFrame, hit: Column, **values: Column) -> DataFrame:
     """The table with `values` where `hit` holds."""
@@ -73,12 +79,17 @@ def claim_many(jobs: DataFrame, requests: DataFrame, kind: str, now_ms: int, lea
 
 def _held(jobs: DataFrame, requests: DataFrame, now_ms: int, *more: str) -> DataFrame:
     """Each job that a request (job_id, owner, attempt) names under its own running lease, once, with the request's
-    other columns; of requests alike the least counts. Requests of others fall away: their lease is lost."""
-    asked = requests.groupBy(F.col("job_id").alias("_id"), F.col("owner").alias("_owner"), F.col("attempt").alias("_attempt")).agg(
-        F.min(F.struct(F.lit(0).alias("_zero"), *more)).alias("_more")
-    )
-    mine = (F.col("job_id") == F.col("_id")) & (F.col("lease_owner") == F.col("_owner")) & (F.col("attempts") == F.col("_attempt"))
-    return jobs.where((F.col("state") == "processing") & (F.col("lease_expires_ms") > now_ms)).join(asked, mine)
+    other columns; of requests alike the least counts. Requests of others fall away: their lease is lost.
+
+    Requests and jobs are dealt once for both steps, into as many parts as they need, before requests are grouped: they
+    are seldom alike, so a map of those that one task reads would hold them all."""
+    running = jobs.where((F.col("state") == "processing") & (F.col("lease_expires_ms") > now_ms))
+    parts = (jobs.count() + requests.count()) // PART_ROWS + 1
+    key = {"_id": ("job_id", "job_id"), "_owner": ("owner", "lease_owner"), "_attempt": ("attempt", "attempts")}
+    named = requests.select(*[F.col(a).alias(k) for k, (a, _) in key.items()], *more)
+    asked = named.repartition(parts, *key).groupBy(*key).agg(F.min(F.struct(F.lit(0).alias("_zero"), *more)).alias("_more"))
+    mine = reduce(and_, [F.col(b) == F.col(k) for k, (_, b) in key.items()])
+    return running.repartition(parts, *[b for _, b in key.values()]).join(asked, mine)
 
 
 def _changed(held: DataFrame, jobs: DataFrame, **values: Column) -> DataFrame:

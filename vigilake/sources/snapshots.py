@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,8 +32,21 @@ class Merge:
     mode: str = "keep"
 
 
-#: Rows of a bucket that meet in one task as the bucket is written again.
-PART_ROWS = 100_000
+#: Rows of a bucket that meet in one task as the bucket is written again; rows of a staged file, and bytes of files that a
+#: task reads to deal them out: a task's shuffle holds what it has read.
+PART_ROWS, STAGED_ROWS, READ_BYTES = 100_000, 500_000, 8 << 20
+
+
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """Let tasks of the session read READ_BYTES of files at most, so that more rows are more tasks."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(READ_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Conflict(Exception):
@@ -125,8 +139,9 @@ class Snapshots:
                 return base["version"]
             changes = step(lambda name, base=base: self._rows(base["tables"].get(name), None))
             tables = dict(base["tables"])
-            for name, change in changes.items():
-                tables[name] = self._merged(name, tables.get(name), change)
+            with small_reads(self.spark):
+                for name, change in changes.items():
+                    tables[name] = self._merged(name, tables.get(name), change)
             applied = base["applied"] | ({} if writer is None else {writer: batch})
             after = {"version": base["version"] + 1, "tables": tables, "applied": applied}
             if self._put(after["version"], after):
@@ -144,7 +159,7 @@ class Snapshots:
         given = self.keys[name] if change.mode == "drop" else now.names
         new = change.rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in now if f.name in given])
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        new.withColumn("_bucket", self.bucket(name)).write.parquet(staged)
+        new.withColumn("_bucket", self.bucket(name)).write.option("maxRecordsPerFile", STAGED_ROWS).parquet(staged)
         new = self.spark.read.parquet(staged)
         touched = {r[0] for r in new.select("_bucket").distinct().collect()}  # no more than there are buckets
         if touched:
@@ -162,8 +177,10 @@ class Snapshots:
             # as many parts as the rows need: both counts are read from the files' footers
             parts = max(1, -(-(old.count() + new.count()) // (PART_ROWS * len(touched))))
             part = F.pmod(F.xxhash64(F.lit(1), *self.keys[name]), F.lit(parts)).cast("int")
-            both = both.withColumn("_part", part).repartition(parts * len(touched), "_bucket", "_part")
-            kept = both.groupBy("_bucket", "_part", *self.keys[name]).agg(choose(row, order).alias("_r"), F.bool_or("_new").alias("_new"))
+            number = F.array_position(F.array(*map(F.lit, sorted(touched))), F.col("_bucket")).cast("int") - 1
+            # each part is a task of its own: dealt by hashes, several would meet in one
+            both = both.withColumn("_part", number * parts + part).repartitionById(parts * len(touched), F.col("_part"))
+            kept = both.groupBy("_part", "_bucket", *self.keys[name]).agg(choose(row, order).alias("_r"), F.bool_or("_new").alias("_new"))
             if change.mode == "drop":
                 kept = kept.where("NOT _new")
             folder = f"data/{name}/{uuid.uuid4().hex}"
