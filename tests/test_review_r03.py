@@ -231,3 +231,40 @@ def test_each_part_of_a_bucket_is_a_task_and_reads_are_small(spark, tmp_path, mo
     assert seen == [(str(snapshots.READ_BYTES), 30)] and spark.conf.get(conf) == before
     sizes = [r["count"] for r in store.table("t").groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 20 and sum(sizes) == 1_000  # before: fewer, as parts met in one task by their hashes
+
+
+def test_components_and_near_dedup_run_no_rounds_that_change_nothing(spark, monkeypatch):
+    import random
+
+    from vigilake.llm import graph, similar
+
+    made = []
+
+    def noted(frame, name, plain=graph.written):
+        made.append(name)
+        return plain(frame, name)
+
+    monkeypatch.setattr(graph, "written", noted)
+    monkeypatch.setattr(similar, "written", noted)
+
+    def roots(pairs):
+        made.clear()
+        rows = graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.root for r in rows}
+
+    stars = [(k, k // 10 * 10) for k in range(50) if k % 10]
+    assert roots(stars + [(b, a) for a, b in stars] + [(7, 7), (3, None)]) == {k: k // 10 * 10 for k in range(50)}
+    assert made == ["edges"]  # before: a round more, to see that nothing changes
+    assert roots([(1, 1)]) == {} and made == ["edges"]
+    assert set(roots([(k, k + 1) for k in range(30)]).values()) == {0} and len(made) > 1
+    for edges in ([(2, 1), (3, 1), (3, 2)], [(2, 1), (3, 2)], [(3, 1), (3, 2)], [(4, 1), (4, 3), (5, 3)]):  # not yet stars
+        assert set(roots(edges).values()) == {1}
+
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:5])], "doc_id long, text string")
+    made.clear()
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == list(range(20))
+    assert "pairs" in made and not {"ids", "sets", "links"} & {*made}  # before: all of them, of nothing, in each turn
+    assert made.count("edges") == 1 and made.count("bases") == 1

@@ -84,10 +84,10 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         return pd.Series([shingle_set(t, size)[1].view("<i8") for t in column], dtype=object)
 
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.explode(distinct("text")).alias("h"))
-    top = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    hashes = top["h"].to_numpy("int64").view("uint64")
+    top = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes = top["h"].to_numpy().view("uint64")
     order = np.argsort(hashes)
-    return hashes[order], top["count"].to_numpy("int64")[order]
+    return hashes[order], top["count"].to_numpy()[order]
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,6 +146,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, bases: Data
     pairs = pairs.where("root_a <> root_b").select("a", "b")
     counts = prints.groupBy("key").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     pairs = written(_possible(pairs, counts, threshold), "pairs")
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     ids = prints.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("of")).select("of").distinct()
     ids = written(ids, "ids")  # its size is known, so that few ids are broadcast and the texts stay where they are
@@ -171,11 +173,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, bases: Data
 
 
 def _components(bases: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, root) of `bases` once the links (a, b) between keys have joined their roots."""
+    """(key, root) of `bases`, a written table, once the links (a, b) between keys have joined their roots, as another."""
+    if links.isEmpty():
+        return bases
     ends = links.join(bases.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a")
     ends = ends.join(bases.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b").select("ra", "rb")
     joined = connected_components(ends).withColumnRenamed("root", "now")
-    return bases.join(joined, bases["root"] == joined["node"], "left").select("key", F.coalesce("now", "root").alias("root"))
+    after = bases.join(joined, bases["root"] == joined["node"], "left").select("key", F.coalesce("now", "root").alias("root"))
+    return written(after, "bases")
 
 
 def similar_components(texts: DataFrame, prints: DataFrame, bases: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -204,14 +209,14 @@ def similar_components(texts: DataFrame, prints: DataFrame, bases: DataFrame, si
             led = met.where("key <> lead_key")
         could = _could_be(F.col("lead_n"), F.col("lead_pos"), F.col("n"), F.col("pos"), threshold)
         links = _verified(led.where(could).select(*pair).distinct(), texts, prints, bases, size, threshold)
-        bases = written(_components(bases, links), "bases")
+        bases = _components(bases, links)
 
     placed = _apart(met, bases)
     x, y = placed.alias("x"), placed.alias("y")
     could = _could_be(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), threshold)
     others = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & could)
     others = others.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    bases = written(_components(bases, _verified(others, texts, prints, bases, size, threshold)), "bases")
+    bases = _components(bases, _verified(others, texts, prints, bases, size, threshold))
     discard(met)
     return bases
 
