@@ -17,3 +17,48 @@ def test_pseudonyms_without_a_key_run_on_a_cluster():
         assert queries.pii_key(session("spark://host:7077")) == drawn  # one key for all of a process's texts
     assert drawn != known and len(drawn) == 64
     assert queries.pii_key(session("spark://host:7077", **{"spark.vigilake.pii.key": "mine"})) == "mine"
+
+
+def test_trackers_side_by_side_are_trackers_of_their_own():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vigilake.operators import tracking
+
+    draw = np.random.default_rng(5)
+    box = pa.struct([(c, pa.int32() if c == "class_id" else pa.float64()) for c in tracking._KEPT])
+    numbers = [("generation", pa.int64()), ("pts_ns", pa.int64()), ("width", pa.int32()), ("height", pa.int32())]
+    schema = pa.schema([("source_id", pa.string()), *numbers, ("detections", pa.list_(box)), ("warp", pa.list_(pa.float64()))])
+
+    def frame(lane: int, k: int) -> dict:
+        """Boxes on a coarse grid, so that costs tie; a new size, a null one, frames without boxes, and warps."""
+        boxes = [
+            {"class_id": int(draw.integers(0, 2)), "confidence": float(draw.choice([0.05, 0.3, 0.65, 0.8, 0.95])), "x1": x, "y1": y, "x2": x + 0.25, "y2": y + 0.3}
+            for x, y in (draw.integers(0, 12, (draw.integers(0, 8), 2)) / 20).tolist()
+        ]
+        wide = 320 if lane == 2 and k > 40 else None if lane == 3 and k > 70 else 640
+        warp = [1.0, 0.01, 2.0, -0.01, 1.0, 1.0] if lane == 1 and k % 3 == 0 else None
+        return {"source_id": str(lane), "generation": 1, "pts_ns": k, "width": wide, "height": 360, "detections": boxes if k % 11 else None, "warp": warp}
+
+    for settings, n in ((tracking.Settings(by_class=True), 8), (tracking.Settings(buffer=5), 64)):
+        films = [[frame(lane, k) for k in range(100 + lane % 7)] for lane in range(n)]
+        place = draw.permutation(n)  # lanes begin at other steps, and their rows stand in any order within one
+        rows = sorted(((k + lane % 5, draw.random(), int(place[lane]), r) for lane, film in enumerate(films) for k, r in enumerate(film)), key=lambda x: x[:2])
+        lanes, got, began = tracking.Lanes(settings), {}, time.perf_counter()
+        for _ in films:
+            lanes.opened(tracking.Frames(settings))
+        for a in range(0, len(rows), 1_000):  # a step may be in two batches
+            part = rows[a : a + 1_000]
+            cuts = [0, *[i for i in range(1, len(part)) if part[i][0] != part[i - 1][0]], len(part)]
+            told, exact = lanes.told(pa.RecordBatch.from_pylist([r for *_, r in part], schema), np.array([x[2] for x in part]), cuts, lambda a, b: None)
+            got |= {(r["source_id"], r["pts_ns"]): (r, e) for r, e in zip(told.to_pylist(), exact.tolist(), strict=True)}
+        together, began = time.perf_counter() - began, time.perf_counter()
+        for lane, film in enumerate(films):
+            own = tracking.Frames(settings)
+            told, exact = own.told(pa.RecordBatch.from_pylist(film, schema))
+            assert {(r["source_id"], r["pts_ns"]): (r, e) for r, e in zip(told.to_pylist(), exact, strict=True)}.items() <= got.items()
+            state = lanes.frames_of(int(place[lane]))
+            assert (state.digest(), state.names(), state.exact, state.shape) == (own.digest(), own.names(), own.exact, own.shape)
+        assert n < 64 or together < (time.perf_counter() - began) / 2, together

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -192,6 +192,17 @@ def overlap_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, 1 - both / np.where(union > 0, union, 1), 1.0)
 
 
+def _pair_costs(a: np.ndarray, row: np.ndarray, b: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """`overlap_cost` of the boxes of `a` and `b` that `row` and `column` pair."""
+    first, second = a[row], b[column]
+    common = np.minimum(first[:, 2:], second[:, 2:]) - np.maximum(first[:, :2], second[:, :2])
+    np.maximum(common, 0, out=common)
+    both = common[:, 0] * common[:, 1]
+    areas = [(x := np.maximum(y[:, 2:] - y[:, :2], 0))[:, 0] * x[:, 1] for y in (a, b)]
+    union = areas[0][row] + areas[1][column] - both
+    return np.where(union > 0, 1 - both / np.where(union > 0, union, 1), 1.0)
+
+
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs (row, column) of the least total cost, where a row and a column that stay alone cost half of `limit` each.
 
@@ -362,12 +373,32 @@ SCHEMA = f"source_id string, generation bigint, pts_ns bigint, objects array<{_O
 _KEPT = ("class_id", "confidence", "x1", "y1", "x2", "y2")
 _MADE = {"track_id": pa.int32(), "track_state": pa.int32(), "occluded": pa.bool_()}
 KEY = ["source_id", "generation"]
-#: Frames in a chunk, and those before it over which its tracker gathers its state.
-CHUNK, LEAD = 8_192, 1_024
+#: Frames in a chunk, those before it over which its tracker gathers its state, chunks at most in a task, and chunks
+#: of a range in which frames are sorted.
+CHUNK, LEAD, LANES, RANGE = 4_096, 1_024, 256, 16
 #: How often chunks that began from another state than the one before ended in run again side by side; then one by one.
 ROUNDS = 3
 
 
+#: A frame's width or height that is null.
+_NO_SIZE = np.iinfo(np.int64).min
+
+
+def _sizes(wide: list, high: list) -> np.ndarray:
+    return np.array([[_NO_SIZE if x is None else x for x in side] for side in (wide, high)], np.int64).T.reshape(-1, 2)
+
+
+def _told(part: pa.RecordBatch, ends: np.ndarray, kept: dict, columns: list, stats: np.ndarray) -> pa.RecordBatch:
+    """SCHEMA's columns for frames, of their detections' columns and what the tracker says of each, and the counters."""
+    kinds = {"class_id": pa.int32()}
+    values = [kept[c].cast(kinds.get(c, pa.float64())) for c in _KEPT]
+    values += [pa.array(c).cast(kind) for c, kind in zip(columns, _MADE.values(), strict=True)]
+    objects = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, [*_KEPT, *_MADE]))
+    return pa.RecordBatch.from_arrays(
+        [*[part.column(c) for c in FRAME[:3]], objects, *[pa.array(np.ascontiguousarray(c)) for c in stats.T]], names=[*FRAME[:3], "objects", *STATS]
+    )
+
+
 class Frames:
     """A key's tracker, begun anew where the source's size changes. `exact` says whether its ids are the key's own: they
     are from the key's first frame and from a change of size on."""
@@ -403,14 +434,7 @@ class Frames:
             counters.append(found[3])
             exact.append(self.exact)
         columns = [np.concatenate(c) for c in zip(*made, strict=True)]
-        kinds = {"class_id": pa.int32()}
-        values = [kept[c].cast(kinds.get(c, pa.float64())) for c in _KEPT]
-        values += [pa.array(c).cast(kind) for c, kind in zip(columns, _MADE.values(), strict=True)]
-        objects = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, [*_KEPT, *_MADE]))
-        stats = np.asarray(counters, np.int64).T
-        return pa.RecordBatch.from_arrays(
-            [*[part.column(c) for c in FRAME[:3]], objects, *[pa.array(c) for c in stats]], names=[*FRAME[:3], "objects", *STATS]
-        ), exact
+        return _told(part, ends, kept, columns, np.asarray(counters, np.int64)), exact
 
     # ------------------------------------------------------------ from chunk to chunk
 
@@ -440,57 +464,346 @@ class Frames:
         return h.hexdigest()
 
 
+def _least_total_of(cost: list[list[float]], limit: float) -> list[tuple[int, int]]:
+    """`_least_total` of a few rows and columns, in the same steps over plain numbers."""
+    n, m, inf = len(cost), len(cost[0]), float("inf")
+    cost = [[x - limit for x in row] + [0.0 if k == r else inf for k in range(n)] for r, row in enumerate(cost)]
+    u, v, row_of, column_of = [0.0] * n, [0.0] * (n + m), [-1] * (n + m), [-1] * n
+    columns = range(n + m)
+    for first in range(n):
+        best, via, done = [inf] * (n + m), [-1] * (n + m), [False] * (n + m)
+        row, length = first, 0.0
+        while True:
+            own, least, column = cost[row], inf, -1
+            for c in columns:
+                if done[c]:
+                    continue
+                reach = length + own[c] - u[row] - v[c]
+                if reach < best[c]:
+                    best[c], via[c] = reach, row
+                if best[c] < least:
+                    least, column = best[c], c
+            length, done[column] = best[column], True
+            if row_of[column] < 0:
+                break
+            row = row_of[column]
+        u[first] += length
+        for c in columns:
+            if done[c]:
+                if row_of[c] >= 0:
+                    u[row_of[c]] += length - best[c]
+                v[c] -= length - best[c]
+        while True:
+            row = via[column]
+            row_of[column] = row
+            column_of[row], column = column, column_of[row]
+            if row == first:
+                break
+    return [(r, c) for r, c in enumerate(column_of) if c < m and cost[r][c] <= 1e-12]
+
+
+class Lanes:
+    """Trackers of many chunks side by side: a step takes a frame of each, and all their tracks are advanced together. A
+    lane's tracks are those that a `Tracker` of its own would have, to the last bit: pools are in order of lanes, and
+    within a lane in the tracker's order. A track's `known` has its lane as a fifth number."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+        self.frame, self.next_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shape, self.shaped, self.exact = np.zeros((0, 2), np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        self.tracked = self.lost = self.fresh = self._none()
+
+    @staticmethod
+    def _none() -> Tracks:
+        return Tracks(known=np.zeros((0, 5), np.int64))
+
+    @staticmethod
+    def _merged(*parts: Tracks) -> Tracks:
+        """The parts' tracks by lane, those of a lane in the parts' order."""
+        parts = [p for p in parts if len(p)]
+        if len(parts) < 2:
+            return parts[0] if parts else Lanes._none()
+        both = reduce(Tracks.plus, parts)
+        return both.take(np.argsort(both.known[:, 4], kind="stable"))
+
+    def opened(self, frames: Frames) -> int:
+        """A new lane with the state of `frames`."""
+        lane, t = len(self.frame), frames.tracker
+        self.frame, self.next_id = np.append(self.frame, t.frame if t else 0), np.append(self.next_id, t.next_id if t else 1)
+        self.shape, self.shaped = np.vstack([self.shape, _sizes(*[[x] for x in frames.shape or (None, None)])]), np.append(self.shaped, frames.shape is not None)
+        self.exact = np.append(self.exact, frames.exact)
+        for name in ("tracked", "lost", "fresh"):
+            pool = getattr(t, name) if t else Tracks()
+            known = np.column_stack([pool.known, np.full(len(pool), lane)]).astype(np.int64)
+            setattr(self, name, self._merged(getattr(self, name), Tracks(pool.mean, pool.cov, known)))
+        return lane
+
+    def frames_of(self, lane: int) -> Frames:
+        """The lane's state as one of its own."""
+        if not self.shaped[lane]:
+            return Frames(self.settings, exact=bool(self.exact[lane]))
+        t = Tracker(self.settings)
+        t.frame, t.next_id = int(self.frame[lane]), int(self.next_id[lane])
+        for name in ("tracked", "lost", "fresh"):
+            pool = getattr(self, name)
+            a, b = np.searchsorted(pool.known[:, 4], [lane, lane + 1])
+            setattr(t, name, Tracks(pool.mean[a:b], pool.cov[a:b], np.ascontiguousarray(pool.known[a:b, :4])))
+        shape = tuple(None if x == _NO_SIZE else int(x) for x in self.shape[lane])
+        return Frames(self.settings, shape, t, bool(self.exact[lane]))
+
+    def told(self, part: pa.RecordBatch, lanes: np.ndarray, cuts: list[int], before: Callable[[int, int], None]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """`Frames.told` of rows in steps, which `cuts` part: a step has one row at most of a lane, and its rows go to `before` first."""
+        detections = part.column("detections")
+        sizes = np.asarray(detections.value_lengths().fill_null(0), np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = detections.drop_null().flatten()
+        kept = {c: flat.field(flat.type.get_field_index(c)) for c in _KEPT}
+        numbers = {c: v.to_numpy(zero_copy_only=False) for c, v in kept.items()}
+        shapes = _sizes(*[part.column(c).to_pylist() for c in ("width", "height")])
+        scale = float32(np.where(shapes == _NO_SIZE, np.nan, shapes))[:, [0, 1, 0, 1]]
+        boxes = np.column_stack([float32(numbers[c]) for c in ("x1", "y1", "x2", "y2")]).reshape(-1, 4) * np.repeat(scale, sizes, axis=0)
+        scores, classes = float32(numbers["confidence"]), np.asarray(numbers["class_id"], np.int64)
+        column = part.column("warp")
+        warps = column.to_pylist() if column.null_count < len(column) else None
+        ids, states = np.full(len(boxes), -1), np.zeros(len(boxes), np.int64)
+        stats, exact = np.zeros((part.num_rows, len(STATS)), np.int64), np.zeros(part.num_rows, bool)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            before(a, b)
+            here, own = lanes[a:b], slice(ends[a], ends[b])
+            self._begin_anew(here, shapes[a:b])
+            exact[a:b] = self.exact[here]
+            moved = {int(here[k - a]): warps[k] for k in range(a, b) if warps[k] is not None and len(warps[k]) == 6} if warps else {}
+            at = np.repeat(here, sizes[a:b])
+            stats[a:b] = self.update(here, at, boxes[own], scores[own], classes[own], moved, ids[own], states[own])
+            stats[a:b, 0] = sizes[a:b]
+        occluded = (ids >= 0) & (scores < np.float32(self.settings.occluded_below))
+        return _told(part, ends, kept, [ids, states, occluded], stats), exact
+
+    def _begin_anew(self, lanes: np.ndarray, shapes: np.ndarray) -> None:
+        """Lanes whose frames have another size than before have a tracker of no frame."""
+        other = ~self.shaped[lanes] | (self.shape[lanes] != shapes).any(axis=1)
+        if not other.any():
+            return
+        anew = lanes[other]
+        self.exact[anew] |= self.shaped[anew]
+        self.shape[anew], self.shaped[anew], self.frame[anew], self.next_id[anew] = shapes[other], True, 0, 1
+        for name in ("tracked", "lost", "fresh"):
+            pool = getattr(self, name)
+            gone = np.isin(pool.known[:, 4], anew)
+            if gone.any():
+                setattr(self, name, pool.take(np.flatnonzero(~gone)))
+
+    def _pairs(self, tracks: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a track and a detection of one lane, as places in both (given by their lanes; detections of a lane
+        are side by side), in order of the tracks."""
+        many = np.bincount(found, minlength=len(self.frame))
+        first = np.zeros(len(self.frame), np.int64)
+        if len(found):
+            heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            first[found[heads]] = heads
+        c = many[tracks]
+        row = np.repeat(np.arange(len(tracks)), c)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + first[tracks][row]
+
+    def _assigned(self, row: np.ndarray, column: np.ndarray, cost: np.ndarray, limit: float, n: int, m: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`assign` in each lane, over pairs as of `_pairs`; `of` has the rows' lanes."""
+        near = np.flatnonzero(cost <= limit)
+        r, c = row[near], column[near]
+        in_row, in_column = np.bincount(r, minlength=n), np.bincount(c, minlength=m)
+        alone = in_column[c] == 1
+        only = alone & (in_row[r] == 1)
+        rows, columns = [r[only]], [c[only]]
+        # a row whose columns are no other row's takes the first of its least costs
+        theirs = ~only & (np.bincount(r, weights=~alone, minlength=n)[r] == 0)
+        if theirs.any():
+            order = np.lexsort((c[theirs], cost[near[theirs]], r[theirs]))
+            r1, c1 = r[theirs][order], c[theirs][order]
+            head = np.concatenate([[True], r1[1:] != r1[:-1]]) & (cost[near[theirs]][order].astype(np.float64) - limit <= 0)
+            rows.append(r1[head])
+            columns.append(c1[head])
+        rest = np.flatnonzero(~only & ~theirs)
+        if len(rest):
+            lane = of[r[rest]]
+            cuts = [0, *(np.flatnonzero(lane[1:] != lane[:-1]) + 1).tolist(), len(rest)]
+            start = np.searchsorted(row, r[rest])  # a row's pairs stand side by side, for all columns of its lane
+            r2, c2, at, base = r[rest].tolist(), c[rest].tolist(), start.tolist(), column[start].tolist()
+            more_r, more_c = [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                of_row = dict(zip(r2[a:b], at[a:b], strict=True))
+                its_rows, its_columns = sorted(of_row), sorted(set(c2[a:b]))
+                places = [of_row[x] + y - base[a] for x in its_rows for y in its_columns]
+                values, w = cost[places].tolist(), len(its_columns)
+                for x, y in _least_total_of([values[k : k + w] for k in range(0, len(values), w)], limit):
+                    more_r.append(its_rows[x])
+                    more_c.append(its_columns[y])
+            rows.append(np.array(more_r, np.int64))
+            columns.append(np.array(more_c, np.int64))
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+        order = np.argsort(rows, kind="stable")
+        return rows[order], columns[order]
+
+    def update(self, lanes, at, boxes, scores, classes, warps, ids, states) -> np.ndarray:
+        """A frame of each of `lanes`: `at` has its detections' lanes. Fills `ids` and `states`; gives the counters."""
+        s, k = self.settings, len(self.frame)
+        self.frame[lanes] += 1
+        usable = (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1]) & (scores > np.float32(s.low))
+        high = np.flatnonzero(usable & (scores > np.float32(s.high)))
+        low = np.flatnonzero(usable & ~(scores > np.float32(s.high)))
+        counted = lambda which: np.bincount(which, minlength=k)[lanes]
+
+        idle = [self._none()] * 3
+        pools = [self.tracked, self.lost, self.fresh]
+        if len(lanes) < k:  # the others' tracks wait
+            now = np.zeros(k, bool)
+            now[lanes] = True
+            on = [now[p.known[:, 4]] for p in pools]
+            idle = [p.take(np.flatnonzero(~x)) for p, x in zip(pools, on, strict=True)]
+            pools = [p.take(np.flatnonzero(x)) for p, x in zip(pools, on, strict=True)]
+        lost = Tracks(pools[1].mean.copy(), pools[1].cov, pools[1].known)
+        lost.mean[:, 6:] = 0  # a lost box keeps its size
+        both = pools[0].plus(lost)
+        order = np.argsort(both.known[:, 4], kind="stable")
+        pool, was_lost, fresh = predicted(both.take(order)), order >= len(pools[0]), pools[2]
+        if warps:
+            pool, fresh = self._warped(pool, warps), self._warped(fresh, warps)
+        free = np.ones(len(boxes), bool)
+        after, measured = [], []
+
+        def round_of(pool: Tracks, places: np.ndarray, limit: float, fuse: bool) -> np.ndarray:
+            """Match tracks with detections; the tracks that found one."""
+            out = np.zeros(len(pool), bool)
+            if not len(pool) or not len(places):
+                return out
+            row, column = self._pairs(pool.known[:, 4], at[places])
+            found = places[column]
+            cost = _pair_costs(pool.boxes(), row, boxes, found)
+            if fuse and s.fuse_scores:
+                cost = 1 - (1 - cost) * scores[found]
+            if s.by_class:
+                a, b = pool.known[row, 1], classes[found]
+                cost = np.where((a < 0) | (b < 0) | (a == b), cost, 2.0)
+            row, column = self._assigned(row, column, cost, limit, len(pool), len(places), pool.known[:, 4])
+            if not len(row):
+                return out
+            found, hit = places[column], pool.take(row)
+            hit.known[:, 1], hit.known[:, 3] = classes[found], self.frame[hit.known[:, 4]]
+            after.append(corrected(hit, boxes[found]))
+            measured.append(boxes[found])
+            ids[found], states[found], free[found], out[row] = hit.known[:, 0], MATCHED, False, True
+            return out
+
+        hit = round_of(pool, high, s.match, True)
+        first = counted(pool.known[hit, 4])
+        left, waiting = pool.take(np.flatnonzero(~hit & ~was_lost)), pool.take(np.flatnonzero(~hit & was_lost))
+        hit = round_of(left, low, SECOND, False)
+        second, left = counted(left.known[hit, 4]), left.take(np.flatnonzero(~hit))
+        hit = round_of(fresh, high[free[high]], THIRD, True)
+        removed = counted(fresh.known[~hit, 4])
+        over = self.frame[waiting.known[:, 4]] - waiting.known[:, 3] > s.lost_frames
+        if over.any():
+            removed = removed + counted(waiting.known[over, 4])
+            waiting = waiting.take(np.flatnonzero(~over))
+        now_lost = self._merged(left, waiting)
+
+        opens = high[free[high] & (scores[high] >= np.float32(s.new))]
+        opens = opens[np.argsort(at[opens], kind="stable")]
+        of = at[opens]
+        names = self.next_id[of] + np.arange(len(of)) - np.searchsorted(of, of)
+        self.next_id += np.bincount(of, minlength=k)
+        ids[opens], states[opens] = names, NEW
+        born = begun(boxes[opens], np.column_stack([names, classes[opens], self.frame[of], self.frame[of], of]).astype(np.int64))
+        at_once = self.frame[of] == 1
+        if at_once.any():
+            after.append(born.take(np.flatnonzero(at_once)))
+            measured.append(boxes[opens[at_once]])
+            born = born.take(np.flatnonzero(~at_once))
+
+        # of a tracked track, where it was measured, and a lost one in the same place the longer-lived stays
+        seen = reduce(Tracks.plus, after) if after else self._none()
+        order = np.argsort(seen.known[:, 4], kind="stable")
+        seen = seen.take(order)
+        if len(seen) and len(now_lost):
+            row, column = self._pairs(seen.known[:, 4], now_lost.known[:, 4])
+            same = np.flatnonzero(_pair_costs(np.concatenate(measured)[order], row, now_lost.boxes(), column) < DUPLICATE)
+            if len(same):
+                row, column = row[same], column[same]
+                ages = [t.known[:, 3] - t.known[:, 2] for t in (seen, now_lost)]
+                older = ages[0][row] > ages[1][column]
+                stays = [np.ones(len(t), bool) for t in (seen, now_lost)]
+                stays[0][row[~older]], stays[1][column[older]] = False, False
+                seen, now_lost = seen.take(np.flatnonzero(stays[0])), now_lost.take(np.flatnonzero(stays[1]))
+        self.tracked, self.lost, self.fresh = (self._merged(a, b) for a, b in zip(idle, (seen, now_lost, born), strict=True))
+        counts = (counted(at[high]) + counted(at[low]), counted(at[high]), counted(at[low]), first, second, counted(of), counted(left.known[:, 4]), removed)
+        return np.column_stack([np.zeros(len(lanes), np.int64), *counts])
+
+    def _warped(self, tracks: Tracks, warps: dict) -> Tracks:
+        """Each lane's tracks under its warp."""
+        parts, ends = [], np.searchsorted(tracks.known[:, 4], np.arange(len(self.frame) + 1))
+        for lane in np.unique(tracks.known[:, 4]).tolist():
+            parts.append(warped(tracks.take(slice(ends[lane], ends[lane + 1])), warps.get(lane)))
+        return reduce(Tracks.plus, parts) if parts else tracks
+
+
 #: A chunk's row in the table of chunks, which stands beside its frames' rows.
 _CHUNK = "begin_digest string, end_digest string, begin_ids array<bigint>, begin_next bigint, end_ids array<bigint>, end_next bigint, end_exact boolean, end_state binary"
 
 
 def _run_chunks(settings: Settings, schema: pa.Schema):
-    """Frames' rows (FRAME, _chunk, _lead) in order of key, chunk and time, as rows of SCHEMA, and one for each chunk. A
-    row with `_state` stands before a chunk's others and is what its tracker begins with."""
+    """Frames' rows (FRAME, _chunk, _lead, _step) in order of _step, of many chunks side by side, as rows of SCHEMA, and one
+    for each chunk. A row with `_state` stands before a chunk's others and is what its tracker begins with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, frames, begun, told = None, None, None, None
+        lanes, of, begun = Lanes(settings), {}, []
 
         def padded(columns: dict) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        def closed() -> pa.RecordBatch:
-            ids, following = frames.names()
-            values = (*now, *begun, ids, following, frames.exact, frames.state())
-            names = [*KEY, "_chunk", "begin_digest", "begin_ids", "begin_next", "end_ids", "end_next", "end_exact", "end_state"]
-            made = {n: pa.array([v], schema.field(n).type) for n, v in zip(names, values, strict=True)}
-            return padded(made | {"end_digest": pa.array([frames.digest()])})
+        def note(lane: int) -> None:
+            """What a chunk begins with."""
+            state = lanes.frames_of(lane)
+            begun[lane] = (state.digest(), *state.names())
+
+        def told(part: pa.RecordBatch, at: np.ndarray, leads: np.ndarray) -> pa.RecordBatch | None:
+            steps, waiting = part.column("_step").to_numpy(), np.array([b is None for b in begun])
+
+            def before(a: int, b: int) -> None:
+                for lane in at[a:b][~leads[a:b] & waiting[at[a:b]]].tolist():
+                    note(lane)
+                    waiting[lane] = False
+
+            made, exact = lanes.told(part, at, [0, *(np.flatnonzero(steps[1:] != steps[:-1]) + 1).tolist(), len(steps)], before)
+            own = pa.array(np.flatnonzero(~leads))
+            if not len(own):
+                return None
+            made = made.append_column("_chunk", part.column("_chunk")).append_column("_exact", pa.array(exact)).take(own)
+            return padded(dict(zip(made.schema.names, made.columns, strict=True)))
 
         for batch in batches:
             names = list(zip(*[batch.column(k).to_pylist() for k in (*KEY, "_chunk")], strict=True))
-            leads = batch.column("_lead").to_pylist()
-            marks = [(n, lead) for n, lead in zip(names, leads, strict=True)]
-            cuts = [0, *[i for i in range(1, len(marks)) if marks[i] != marks[i - 1]], len(marks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if names[a] != now:
-                    if frames is not None:
-                        yield closed()
-                    now, begun, told = names[a], None, True
-                    state = part.column("_state")[0].as_py()
+            leads, states = np.asarray(batch.column("_lead").to_pylist(), bool), batch.column("_state")
+            heads = np.asarray(states.is_valid())
+            for k, name in enumerate(names):
+                if name not in of:
                     # without a state or frames before, these are the key's first
-                    frames = Frames(settings, exact=not leads[a]) if state is None else Frames.of_state(settings, state)
-                    if state is not None:
-                        part = part.slice(1)
-                if leads[a]:
-                    frames.told(part) if len(part) else None
-                    continue
-                if begun is None:
-                    begun = (frames.digest(), *frames.names())
-                if len(part):
-                    rows, exact = frames.told(part)
-                    columns = dict(zip(rows.schema.names, rows.columns, strict=True))
-                    yield padded(columns | {"_chunk": part.column("_chunk"), "_exact": pa.array(exact)})
-        if frames is not None:
-            yield closed()
+                    start = Frames.of_state(settings, states[k].as_py()) if heads[k] else Frames(settings, exact=not leads[k])
+                    of[name] = lanes.opened(start)
+                    begun.append(None)
+            at, own = np.array([of[n] for n in names], np.int64), np.flatnonzero(~heads)
+            for k in np.flatnonzero(heads).tolist():
+                note(of[names[k]])
+            if len(own):
+                part = batch if len(own) == len(names) else batch.take(pa.array(own))
+                rows = told(part, at[own], leads[own])
+                if rows is not None:
+                    yield rows
+        for name, lane in of.items():
+            if begun[lane] is None:
+                note(lane)
+            state = lanes.frames_of(lane)
+            values = (*name, *begun[lane], *state.names(), state.exact, state.state(), state.digest())
+            columns = [*KEY, "_chunk", "begin_digest", "begin_ids", "begin_next", "end_ids", "end_next", "end_exact", "end_state", "end_digest"]
+            yield padded({n: pa.array([v], schema.field(n).type) for n, v in zip(columns, values, strict=True)})
 
     return run
 
@@ -530,10 +843,10 @@ def track(frames: DataFrame, settings: Settings = Settings(), chunk: int = CHUNK
     Detections without a track have id -1. A source's frames of one generation are a fold, in order of time, whose state is
     its living tracks; another size of the frame begins it anew. Ids run from 1 in each.
 
-    The fold runs in chunks side by side. What lived long ago has no effect once it is lost, so a chunk's tracker gathers
-    its state over the frames before it, and that state is compared with the one that the chunk before ended in, to the
-    last bit. Where they differ, the chunk runs again from the right state; what differs still after `rounds` of this runs
-    in one task a key. So the result is that of the plain fold.
+    The fold runs in chunks side by side, LANES at most in a task. What lived long ago has no effect once it is lost, so a
+    chunk's tracker gathers its state over the frames before it, and that state is compared with the one that the chunk
+    before ended in, to the last bit. Where they differ, the chunk runs again from the right state; what differs still after
+    `rounds` of this runs in one task a key. So the result is that of the plain fold.
     """
     spark, root = frames.sparkSession, shared_folder(frames.sparkSession, "tracker")
 
@@ -542,31 +855,37 @@ def track(frames: DataFrame, settings: Settings = Settings(), chunk: int = CHUNK
         return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
 
     rows = kept(frames.select(*FRAME).withColumn("generation", F.col("generation").cast("long")), "frames")
-    many = max(1, -(-rows.count() // chunk))
-    if many > 1:
-        rows = rows.repartitionByRange(many, *KEY, "pts_ns").withColumn("_chunk", F.spark_partition_id())
-        rows = kept(rows, "chunks")
-    else:
-        rows = rows.withColumn("_chunk", F.lit(0))
-    rows = rows.select(*FRAME, "_chunk", F.lit(False).alias("_lead"), F.lit(None).cast("binary").alias("_state"))
-
-    # the frames before a chunk: the last ones of the chunk before it
-    nth = F.row_number().over(Window.partitionBy(*KEY, "_chunk").orderBy(F.desc("pts_ns")))
-    last = rows.select(*KEY, "_chunk", "pts_ns").withColumn("_nth", nth).where(F.col("_nth") <= lead)
-    last = last.groupBy(*KEY, "_chunk").agg(F.min("pts_ns").alias("_from"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*KEY, "_chunk")]
-    before = rows.alias("r").join(F.broadcast(last.alias("l")), reduce(and_, [*same, F.col("r.pts_ns") >= F.col("l._from")]))
-    before = before.select("r.*").withColumns({"_chunk": F.col("_chunk") + 1, "_lead": F.lit(True)})
+    many, slots = max(1, -(-rows.count() // chunk)), spark.sparkContext.defaultParallelism
+    # ranges of the frames' order, of several chunks each; frames of one time are in the order of their other columns
+    rows = rows.repartitionByRange(max(min(many, slots), -(-many // RANGE)), *KEY, "pts_ns")
+    rows = rows.sortWithinPartitions(*KEY, "pts_ns", "width", "height", "detections", "warp")
+    rows = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumns({"_range": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))})
+    ranges = rows.groupBy("_range").agg(F.count("*").alias("_all"))
+    ranges = ranges.withColumn("_width", F.ceil(F.col("_all") / F.greatest(F.lit(1), F.round(F.col("_all") / chunk))))
+    preceding = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum(F.ceil(F.col("_all") / F.col("_width"))).over(preceding), F.lit(0)))
+    part = F.floor(F.col("_place") / F.col("_width"))
+    rows = rows.join(F.broadcast(ranges), "_range").withColumns({
+        "_chunk": (F.col("_before") + part).cast("int"), "_step": F.col("_place") - part * F.col("_width"),
+        "_n": F.least(F.col("_width"), F.col("_all") - part * F.col("_width")), "_lead": F.lit(False), "_state": F.lit(None).cast("binary"),
+    })
+
+    # the frames before a chunk: the last ones of the chunk before it, if that ends with the same key
+    columns = [*FRAME, "_row", "_chunk", "_lead", "_step", "_state"]
+    before = rows.where(F.col("_step") >= F.col("_n") - lead)
+    before = before.withColumns({"_chunk": F.col("_chunk") + 1, "_lead": F.lit(True), "_step": F.col("_step") - F.col("_n")}).select(columns)
+    rows = rows.select(columns)
     here = rows.select(*KEY, "_chunk").distinct()
     before = before.alias("b").join(F.broadcast(here.alias("h")), reduce(and_, [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*KEY, "_chunk")]), "left_semi")
+    tasks = min(many, slots * -(-many // (slots * LANES)))
 
     kinds = f"{SCHEMA}, _chunk int, _exact boolean, {_CHUNK}"
     run = _run_chunks(settings, to_arrow_schema(StructType.fromDDL(kinds)))
 
     def ran(dealt: DataFrame, name: str) -> DataFrame:
-        # frames of one time are in the order of their other columns each time
-        order = [*KEY, "_chunk", F.col("_state").isNull(), "pts_ns", "width", "height", "detections", "warp"]
-        return kept(dealt.repartition(many, *KEY, "_chunk").sortWithinPartitions(*order).mapInArrow(run, kinds), name)
+        dealt = dealt.repartitionById(tasks, F.col("_chunk") % tasks).sortWithinPartitions("_step", "_chunk", *KEY)
+        return kept(dealt.mapInArrow(run, kinds), name)
 
     made = ran(rows.unionByName(before), "made-0")
     told, chunks = made.where("end_digest IS NULL"), made.where("end_digest IS NOT NULL")
@@ -582,8 +901,9 @@ def track(frames: DataFrame, settings: Settings = Settings(), chunk: int = CHUNK
         on = lambda a, b: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in KEY])
         of = F.col("r._chunk") == F.col("w._chunk") if k <= rounds else F.col("r._chunk") >= F.col("w._chunk")
         names = wrong.select(*KEY, "_chunk").alias("w")
-        again = rows.alias("r").join(F.broadcast(names), on("r", "w") & of).select(*[F.col(f"r.{c}") for c in rows.columns if c != "_chunk"], F.col("w._chunk"))
-        heads = wrong.withColumn("_lead", F.lit(False))
+        step = F.col("r._step" if k <= rounds else "r._row").alias("_step")
+        again = rows.alias("r").join(F.broadcast(names), on("r", "w") & of).select(*[F.col(f"r.{c}") for c in rows.columns if c not in ("_chunk", "_step")], F.col("w._chunk"), step)
+        heads = wrong.withColumns({"_lead": F.lit(False), "_step": F.lit(-1).cast("long")})
         made = ran(again.unionByName(heads, allowMissingColumns=True), f"made-{k}")
         stays = lambda x: x.alias("r").join(F.broadcast(names), on("r", "w") & of, "left_anti")  # noqa: E731, B023
         told = stays(told).unionByName(made.where("end_digest IS NULL"))
