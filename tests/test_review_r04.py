@@ -62,3 +62,57 @@ def test_trackers_side_by_side_are_trackers_of_their_own():
             state = lanes.frames_of(int(place[lane]))
             assert (state.digest(), state.names(), state.exact, state.shape) == (own.digest(), own.names(), own.exact, own.shape)
         assert n < 64 or together < (time.perf_counter() - began) / 2, together
+
+
+def test_all_suffixes_of_articles_are_counted_over_the_host(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from vigilake.llm import html
+
+    draw = random.Random(4)
+    words = lambda n: " ".join(f"w{draw.randrange(9_000)}" for _ in range(n))
+    told, half, quoted = [words(12) for _ in range(4)], words(14), words(15)
+    pages, texts = [], {}
+
+    def add(host, blocks, times=1):
+        for _ in range(times):
+            texts[len(pages)] = (host, blocks)
+            pages.append((len(pages), f"http://{host}/{len(pages)}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+
+    for host, n in (("large.example", 64), ("small.example", 21), ("none.example", 19)):
+        for k in range(n):
+            # between what is the same stands what no other page has, so that the least rank of the block is seldom shared
+            notice = " ".join(f"{x} {host}{k}n{j}" for j, x in enumerate(told))
+            blocks = [words(90), words(120), notice, words(60), *[half] * (2 * k < n), *[quoted] * (2 * k < n - 3), "Short."]
+            add(host, blocks, 40 if k == n - 1 else 1 + k % 2)
+
+    def brute() -> dict:
+        found = {}
+        for host in {h for h, _ in texts.values()}:
+            different = {tuple(b) for h, b in texts.values() if h == host}
+            runs = lambda b: set(zip(*[(ts := " ".join(b).split())[j:] for j in range(8)], strict=False))
+            counts = Counter(r for b in different for r in runs(b))
+            site = {r for r, c in counts.items() if len(different) >= 20 and c >= len(different) / 2}
+            for k, (h, b) in texts.items():
+                if h == host:
+                    ts, at, kept = " ".join(b).split(), 0, []
+                    covered = [any(tuple(ts[j : j + 8]) in site for j in range(max(0, i - 7), i + 1)) for i in range(len(ts))]
+                    for block in b:
+                        n = len(block.split())
+                        if sum(covered[at : at + n]) < 0.8 * n:
+                            kept.append(block)
+                        at += n
+                    found[k] = "\n\n".join(b if sum(covered) > 0.25 * len(ts) else kept)
+        return found
+
+    want = brute()
+    cut = [k for k, (h, b) in texts.items() if want[k] != "\n\n".join(b)]
+    assert {texts[k][0] for k in cut} == {"large.example", "small.example"} and len(cut) > 100
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    # a host's pages in few and in many parts, in tasks of many pages and of single ones
+    for parts, most, few in ((1, 4_000_000, 8), (7, 4_000_000, 8), (3, 900, 3), (16, 1, 1)):
+        monkeypatch.setattr(html, "PART_RUNS", most)
+        monkeypatch.setattr(html, "FEW_PAGES", few)
+        got = {r.page_id: r.text for r in html.extract_text(rows.repartition(parts)).collect()}
+        assert got == want, (parts, most, few)  # before: the notices stayed
